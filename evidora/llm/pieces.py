@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evidora.llm.sentences import Splitter, blocks
 
@@ -144,7 +145,7 @@ def split_items(items: DataFrame, key: str = "passage_seq", text: str = "text",
     sent = items.sparkSession.sparkContext.broadcast(rules)
     source = items.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct(*[F.col(c) for c in keep]).alias("kept") if keep else F.lit(None).cast("struct<none:int>").alias("kept"))
     source = source.where(F.length("text") > size) if only_oversized else source.where(F.col("text").isNotNull())
-    schema = source.schema.add("piece", "integer").add("start_char", "integer").add("end_char", "integer").add("boundary", "string").add("level", "string")
+    schema = StructType(list(source.schema.fields)).add("piece", "integer").add("start_char", "integer").add("end_char", "integer").add("boundary", "string").add("level", "string")
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(sent.value)
