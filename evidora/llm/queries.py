@@ -38,3 +38,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
 }
 SQL: dict[str, str] = {}
+
+
+def _unifier(spark: SparkSession, d: str):
+    from evidora.llm.lookalike import Unifier, citations
+
+    return Unifier.of(table(spark, d, "passages").select("text"), citations(table(spark, d, "ledger")).select("quote"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Citations whose quote only matches once look-alikes are unified."""
+    from evidora.llm.lookalike import citations, quote_matches
+
+    cited = citations(table(spark, d, "ledger"))
+    found = quote_matches(cited, table(spark, d, "passages"), _unifier(spark, d)).where("unified and not verbatim")
+    return cited.join(found, ["doc_id", "quote"], "left_semi").select("claim_id", "cit_no").distinct()
+
+
+def p4_texts(spark: SparkSession, d: str) -> DataFrame:
+    """All passages in their one form."""
+    unifier = _unifier(spark, d)
+    return table(spark, d, "passages").select("passage_seq", unifier.column(F.col("text")).alias("text"))
+
+
+QUERIES |= {"p4_found": p4_found, "p4_texts": p4_texts}
