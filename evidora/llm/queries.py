@@ -62,3 +62,15 @@ def p4_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p4_found": p4_found, "p4_texts": p4_texts}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of similar passages (word triples, 0.6) and titles (letter triples, 0.65)."""
+    from evidora.llm.neardup import linked_pairs, near_duplicates
+
+    passages = linked_pairs(*near_duplicates(table(spark, d, "passages"), "passage_id", "text", 3, "word", 0.6))
+    titles = linked_pairs(*near_duplicates(table(spark, d, "docs"), "doc_id", "title", 3, "char", 0.65))
+    return passages.select(F.lit("passage").alias("rec"), "key_a", "key_b").unionByName(titles.select(F.lit("title").alias("rec"), "key_a", "key_b"))
+
+
+QUERIES |= {"p5_found": p5_found}
