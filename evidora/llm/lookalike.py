@@ -202,9 +202,9 @@ class Unifier:
             total[row["s"]] += row["n"]
         return cls(total)
 
-    def column(self, text: Column) -> Column:
+    def column(self, text: Column, sparse: bool = False) -> Column:
         """``text`` in its one form; null stays null. Rows that the rewriting
-        can't change stay in the JVM."""
+        can't change stay in the JVM; ``sparse`` gives null for them."""
         points, strings = self.points, self.strings
 
         @F.arrow_udf("string")
@@ -214,7 +214,8 @@ class Unifier:
 
         if not self.ascii_stays:
             return rewrite(text)
-        return F.coalesce(rewrite(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+        changed = rewrite(F.when(text.rlike(r"[^\x00-\x7F]"), text))
+        return changed if sparse else F.coalesce(changed, text)
 
 
 def fingerprints(text: str, k: int, w: int) -> np.ndarray:
@@ -239,7 +240,7 @@ def fingerprints(text: str, k: int, w: int) -> np.ndarray:
 
 
 # k and w by the length from which they find every shared stretch.
-TIERS = ((40, 16, 25), (12, 6, 7), (1, 1, 1))
+TIERS = ((32, 12, 21), (12, 6, 7), (1, 1, 1))
 
 
 def _marks(frame: DataFrame, key: str, text: str) -> DataFrame:
@@ -265,39 +266,44 @@ def _marks(frame: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col("key").alias(key), F.xxhash64("doc", "tier", "mark").alias("mark"))
 
 
-def quote_matches(quotes: DataFrame, passages: DataFrame, unifier: Unifier, hot: int = 256) -> DataFrame:
+def quote_matches(quotes: DataFrame, passages: DataFrame, unifier: Unifier, hot: int = 256, share: float = 1e-5) -> DataFrame:
     """For every distinct (doc_id, quote): ``verbatim``, whether some passage of
     that document contains it as it stands, and ``unified``, whether one does
     in the one form.
 
-    Documents of at most ``hot`` passages join on doc_id. In larger ones a
-    quote meets only the passages that hold its rarest fingerprint, so that a
+    Documents of at most ``hot`` passages, or of ``share`` of them all, join on
+    doc_id. In larger ones, of which there are at most ``1/share``, a quote
+    meets only the passages that hold its rarest fingerprint, so that a
     document with any share of all rows isn't matched pair by pair. Quotes
     that are null, empty or nothing but invisible characters match nothing; a
     document without passages gives false for both. Repeated rows count once.
     """
-    from evidora.session import cut
-
-    q = quotes.where(F.col("doc_id").isNotNull() & F.col("quote").isNotNull()).select("doc_id", "quote").distinct()
-    q = q.withColumn("q_form", unifier.column(F.col("quote"))).where(F.trim("q_form") != "")
-    q = cut(q.withColumn("q_id", F.xxhash64("doc_id", "quote")))
-    tier = F.coalesce(*[F.when(F.char_length("q_form") >= least, least) for least, _, _ in TIERS])
+    q = quotes.where(F.col("doc_id").isNotNull() & (F.col("quote") != "")).select("doc_id", "quote").distinct()
+    q = q.withColumn("q_form", unifier.column(F.col("quote"), sparse=True)).where(F.trim(F.coalesce("q_form", "quote")) != "")
+    q = q.withColumn("q_id", F.xxhash64("doc_id", "quote"))
+    p = passages.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    q_form, p_form = F.coalesce("q_form", "quote"), F.coalesce("p_form", "text")
+    tier = F.coalesce(*[F.when(F.char_length(q_form) >= least, least) for least, _, _ in TIERS])
+
+    sizes = p.groupBy("doc_id").agg(F.count("*").alias("n"))
+    least = max(hot, int(share * p.count()))
     wanted = q.groupBy("doc_id").agg(F.collect_set(tier).alias("tiers"))
-    sizes = passages.where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"))
-    large = cut(sizes.where(F.col("n") > hot).join(wanted, "doc_id").select("doc_id", "tiers"))
-    p = passages.where(F.col("text").isNotNull()).select("doc_id", "text").withColumn("p_form", unifier.column(F.col("text")))
+    rows = sizes.where(F.col("n") > least).join(wanted, "doc_id").select("doc_id", "tiers").collect()
+    large = F.broadcast(q.sparkSession.createDataFrame(rows, "doc_id string, tiers array<int>"))
 
-    inside = F.col("p_form").contains(F.col("q_form"))
+    inside = p_form.contains(q_form)
     same = F.col("text").contains(F.col("quote"))
-    plain = p.join(large, "doc_id", "left_anti").join(q, "doc_id").where(inside).select("q_id", same.alias("same"))
+    small_p = p.join(large, "doc_id", "left_anti").withColumn("p_form", unifier.column(F.col("text"), sparse=True))
+    plain = small_p.join(q, "doc_id").where(inside).select("q_id", same.alias("same"))
 
-    big_p = cut(p.join(large, "doc_id").withColumn("p_id", F.xxhash64("doc_id", "text")))
+    big_p = p.join(large, "doc_id").withColumn("p_form", unifier.column(F.col("text"), sparse=True)).withColumn("p_id", F.xxhash64("doc_id", "text"))
     big_q = q.join(large.select("doc_id"), "doc_id").withColumn("tiers", F.array(tier))
-    p_marks = cut(_marks(big_p, "p_id", "p_form"))
+    p_marks = _marks(big_p.withColumn("form", p_form), "p_id", "form")
+    q_marks = _marks(big_q.withColumn("form", q_form), "q_id", "form")
     known = p_marks.groupBy("mark").agg(F.count("*").alias("df"))
-    rarest = _marks(big_q, "q_id", "q_form").join(known, "mark").groupBy("q_id").agg(F.min_by("mark", F.struct("df", "mark")).alias("mark"))
-    pairs = p_marks.join(rarest, "mark").select("p_id", "q_id")
-    met = pairs.join(big_p.select("p_id", "text", "p_form"), "p_id").join(big_q.select("q_id", "quote", "q_form"), "q_id").where(inside).select("q_id", same.alias("same"))
+    rarest = q_marks.join(known, "mark").groupBy("q_id").agg(F.min_by("mark", F.struct("df", "mark")).alias("mark"))
+    pairs = p_marks.join(rarest, "mark").select("p_id", "q_id").distinct()
+    met = pairs.join(big_q.select("q_id", "quote", "q_form"), "q_id").join(big_p.select("p_id", "text", "p_form"), "p_id").where(inside).select("q_id", same.alias("same"))
 
     hits = plain.unionByName(met).groupBy("q_id").agg(F.bool_or("same").alias("verbatim"))
     return q.join(hits, "q_id", "left").select("doc_id", "quote", F.coalesce("verbatim", F.lit(False)).alias("verbatim"), F.col("verbatim").isNotNull().alias("unified"))
