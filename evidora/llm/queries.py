@@ -85,3 +85,46 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p3_found": p3_found}
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold 13 words in a row of an evaluation item."""
+    return p6_report(spark, d).select("doc_id", "item_id")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items by document, with how much of the item is there."""
+    from evidora.llm.leaks import contained_items
+
+    return contained_items(table(spark, d, "documents"), table(spark, d, "eval_items"), size=13)
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    from evidora.llm.mixing import token_counts
+
+    targets = table(spark, d, "mix_targets").select("source").distinct()
+    wanted = table(spark, d, "documents").select("doc_id", "source", "text").join(targets, "source", "left_semi")
+    return token_counts(wanted).select("doc_id", "source", "tokens")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that can't reach their share within their passes."""
+    return p7_shares(spark, d).where("short").select("source")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source of the mix."""
+    from evidora.llm.mixing import shares
+
+    return shares(_counted(spark, d), table(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed documents by slot and pass."""
+    from evidora.llm.mixing import mix
+    from evidora.session import cut
+
+    return mix(cut(_counted(spark, d)), table(spark, d, "mix_targets"))
+
+
+QUERIES |= {"p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_shares": p7_shares, "p7_mix": p7_mix}
