@@ -128,3 +128,20 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_shares": p7_shares, "p7_mix": p7_mix}
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Passages by the kind of scan damage that the repair undoes."""
+    from evidora.llm.scans import scan_repair
+
+    return scan_repair(table(spark, d, "passages"), repair=False).select("passage_seq", F.explode("kinds").alias("kind")).distinct()
+
+
+def p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    """All passages repaired."""
+    from evidora.llm.scans import scan_repair
+
+    return scan_repair(table(spark, d, "passages")).select("passage_seq", "section", "text")
+
+
+QUERIES |= {"p1_found": p1_found, "p1_texts": p1_texts}
