@@ -128,11 +128,10 @@ def band_rows(texts: DataFrame, n: int, unit: str, bands: int, rows: int) -> Dat
 
 
 def bucket_pairs(banded: DataFrame, all_pairs_up_to: int = 64) -> DataFrame:
-    """Candidate pairs (x, y, hot) of the texts in a band bucket. A bucket of up
-    to ``all_pairs_up_to`` texts gives all its pairs; in a larger one every
-    further text is paired with the bucket's first text only, as ``hot`` pairs
-    with the bucket's ``h``: :func:`links` compares what doesn't match it with
-    the whole bucket. Buckets stream through in order, none is held at once."""
+    """Candidate pairs (x, y, hot) of the texts in a band bucket. A bucket of
+    fewer than ``all_pairs_up_to`` texts gives all its pairs; a larger one also
+    pairs every text with its first one, as ``hot`` pairs with the bucket's
+    ``h``: :func:`links` compares what doesn't match it with the whole bucket. Buckets stream through in order, none is held at once."""
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("hot", pa.int64())])
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +161,10 @@ def bucket_pairs(banded: DataFrame, all_pairs_up_to: int = 64) -> DataFrame:
                         ys.append(b)
                         hots.append(None)
                     members.append(b)
+                    if len(members) == all_pairs_up_to:
+                        xs += [members[0]] * (len(members) - 1)
+                        ys += members[1:]
+                        hots += [a] * (len(members) - 1)
                 else:
                     xs.append(members[0])
                     ys.append(b)
@@ -171,11 +174,33 @@ def bucket_pairs(banded: DataFrame, all_pairs_up_to: int = 64) -> DataFrame:
     return banded.repartition("h").sortWithinPartitions("h", "tid").mapInArrow(pairs, "x bigint, y bigint, hot bigint")
 
 
+BLOOM_BITS = 1 << 26
+
+
+def _among(ids: DataFrame, column: str):
+    """A condition that holds for all of ``ids`` and for few others: a bitmap of
+    :data:`BLOOM_BITS` hash places, 8 MB whatever the number of ids. It only
+    spares the shuffle texts that are in no pair; the join decides."""
+    place = F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(BLOOM_BITS))
+    words = ids.select(place.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    bitmap = np.zeros(BLOOM_BITS // 64, np.int64)
+    rows = words.toPandas()
+    bitmap[rows["k"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    sent = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def held(at: pa.Array) -> pa.Array:
+        k = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((sent.value[k >> 6] >> (k & 63)) & 1 == 1)
+
+    return held(place)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, unit: str, threshold: float) -> DataFrame:
     """The pairs (x, y) whose texts' n-gram sets have at least the Jaccard
     similarity ``threshold``, with it."""
     ids = pairs.select(F.col("x").alias("tid")).union(pairs.select(F.col("y").alias("tid"))).distinct()
-    held = texts.join(ids, "tid", "left_semi").groupBy("tid").agg(F.min("text").alias("text"))
+    held = texts.where(_among(ids, "tid")).join(ids, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
 
     @F.arrow_udf("double")
     def jaccard(p: pa.Array, q: pa.Array) -> pa.Array:
@@ -193,8 +218,8 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, unit: str, threshold: f
 def links(texts: DataFrame, n: int, unit: str, threshold: float, recall: float, most_bands: int = 50) -> DataFrame:
     """Verified links (x, y, similarity) between different texts of (tid, text).
 
-    All links of buckets up to 64 texts; of a larger bucket the links of every
-    text to the bucket's first, and all links of those that don't match that
+    All links of buckets of fewer than 64 texts; of a larger bucket the links
+    of the first 64, of every text to the bucket's first, and all links of those that don't match that
     one, so that the chained classes are the same as with all links.
     """
     bands, rows = choose_bands(threshold, recall, most_bands)
@@ -206,7 +231,8 @@ def links(texts: DataFrame, n: int, unit: str, threshold: float, recall: float,
     if hot.isEmpty():
         return good
     rest = hot.join(good, ["x", "y"], "left_anti").select(F.col("hot").alias("h"), F.col("y").alias("one")).distinct()
-    members = banded.join(rest.select("h").distinct(), "h", "left_semi").distinct()
+    bucket = hot.select(F.col("hot").alias("h"), "x", "y")
+    members = bucket.select("h", F.col("x").alias("tid")).union(bucket.select("h", F.col("y").alias("tid"))).distinct()
     more = rest.join(members, "h").where("one <> tid").select(F.least("one", "tid").alias("x"), F.greatest("one", "tid").alias("y")).distinct()
     more = more.join(plain, ["x", "y"], "left_anti")
     return cut(good.unionByName(verified(more, texts, n, unit, threshold)))
