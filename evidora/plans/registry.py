@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from evidora.plans import search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES}
+SQL: dict[str, str] = {**search.SQL}
