@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidora.plans import search
+from evidora.plans import panel, search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES}
-SQL: dict[str, str] = {**search.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **panel.QUERIES}
+SQL: dict[str, str] = {**search.SQL, **panel.SQL}

@@ -9,6 +9,7 @@ from evidora.functions.text import STOPWORDS, index_tokens, question_terms
 from evidora.operators import index as ix
 from evidora.operators import packet as pk
 from evidora.plans.sqltext import POST, PSG, bm25, question, tok
+from evidora.session import cut
 from evidora.sources.tables import table
 
 
@@ -75,7 +76,7 @@ def focus_terms(spark: SparkSession, d: str) -> DataFrame:
     terms = item_terms(spark, d)
     df = ix.term_statistics(ix.postings(p)).select("term", "df")
     vocab = title_vocab(spark, d)
-    fit = terms.join(df, "term").join(vocab, "term").crossJoin(F.broadcast(n)).where((F.col("n_docs") >= 5) & (F.col("df") <= 0.05 * F.col("n")))
+    fit = terms.join(df, "term").join(vocab, "term").crossJoin(F.broadcast(n)).where((F.col("n_docs") >= 1) & (F.col("df") <= 0.25 * F.col("n")))
     rare = fit.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "term"))).where("r <= 3")
     return rare.groupBy("item_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("r", "term"))).getField("term"), " AND ").alias("focus"), F.count("*").alias("k")).where("k >= 2").select("item_id", "focus")
 
@@ -94,7 +95,7 @@ def match_expressions(spark: SparkSession, d: str) -> DataFrame:
 def packets(spark: SparkSession, d: str) -> DataFrame:
     p = passages_of(spark, d)
     own = own_documents(spark, d)
-    return pk.build(p, ix.bm25(p, seat_terms(spark, d), "name"), own, seat="name").select("name", "stratum", "passage_seq", "pick")
+    return pk.build(p, cut(ix.bm25(p, seat_terms(spark, d), "name")), own, seat="name").select("name", "stratum", "passage_seq", "pick")
 
 
 def own_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +126,7 @@ packet as (select name, stratum, passage_seq, pick from seeds union all select n
 
 def packet_audit(spark: SparkSession, d: str) -> DataFrame:
     p = passages_of(spark, d)
-    chosen = packets(spark, d).select("name", "passage_seq").join(p.select("passage_seq", "doc_id", "text"), "passage_seq")
+    chosen = cut(packets(spark, d)).select("name", "passage_seq").join(p.select("passage_seq", "doc_id", "text"), "passage_seq")
     asked = table(spark, d, "seats").select("name", question_terms(F.concat_ws(" ", "display", "probe", "territory")).alias("terms"))
     return pk.audit(chosen, asked, own_documents(spark, d), seat="name")
 
@@ -134,13 +135,13 @@ def packet_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Packet passages in source order, with how many passages are skipped before each."""
     p = passages_of(spark, d).select("passage_seq", "doc_id", "ord")
     order = Window.partitionBy("name", "doc_id").orderBy("ord", "passage_seq")
-    return packets(spark, d).select("name", "passage_seq").join(p, "passage_seq").withColumn("gap", F.coalesce(F.col("ord") - F.lag("ord").over(order) - 1, F.col("ord"))).select("name", "passage_seq", "gap")
+    return cut(packets(spark, d)).select("name", "passage_seq").join(p, "passage_seq").withColumn("gap", F.coalesce(F.col("ord") - F.lag("ord").over(order) - 1, F.col("ord"))).select("name", "passage_seq", "gap")
 
 
 def retrieved_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Overlap coefficient of the document sets of each two seats' packets."""
     p = passages_of(spark, d).select("passage_seq", "doc_id")
-    sets = packets(spark, d).select("name", "passage_seq").join(p, "passage_seq").select(F.col("name").alias("seat"), F.col("doc_id").alias("item")).distinct()
+    sets = cut(packets(spark, d)).select("name", "passage_seq").join(p, "passage_seq").select(F.col("name").alias("seat"), F.col("doc_id").alias("item")).distinct()
     from evidora.operators.measure import overlap_coefficients
 
     return overlap_coefficients(sets, "seat", "item")
@@ -175,7 +176,7 @@ SQL = {
     "scope_count": f"with {PSG}, {_SCOPE_SQL} select count(*) as n_passages, count(distinct doc_id) as n_docs from scope",
     "context_window": f"with {POST}, {_SEATS}, {bm25('seat_terms', 'name')}, hits as ({_TOP.format(q='name', k=10)}) select distinct h.name, h.passage_seq, q.passage_seq as near_seq, q.ord as near_ord from hits h join psg p using (passage_seq) join psg q on q.doc_id = p.doc_id and q.ord between p.ord - 1 and p.ord + 1",
     "focus_terms": f"""with {POST}, {_ITEMS}, vocab as (select term, count(*) as n_docs from (select distinct doc_id, unnest({tok('title')}) as term from docs) where length(term) >= 3 group by 1),
-fit as (select item_id, term, row_number() over (partition by item_id order by df, term) as r from item_terms join df using (term) join vocab using (term) cross join whole where n_docs >= 5 and df <= 0.05 * n)
+fit as (select item_id, term, row_number() over (partition by item_id order by df, term) as r from item_terms join df using (term) join vocab using (term) cross join whole where n_docs >= 1 and df <= 0.25 * n)
 select item_id, string_agg(term, ' AND ' order by r) as focus from fit where r <= 3 group by 1 having count(*) >= 2""",
     "index_stats": "select topic, count(*) as n_docs from (select unnest(topics) as topic from docs) group by 1",
     "match_expressions": f"""with {PSG}, t as (select ' ' || array_to_string({tok('text')}, ' ') || ' ' as x from psg),

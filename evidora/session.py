@@ -20,6 +20,7 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "evi
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("EVIDORA_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
