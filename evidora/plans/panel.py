@@ -10,7 +10,7 @@ from evidora.operators import measure as ms
 from evidora.operators import verify as vf
 from evidora.operators.index import once
 from evidora.plans.search import own_documents
-from evidora.plans.sqltext import content
+from evidora.plans.sqltext import LLR, content
 from evidora.session import cut
 from evidora.sources.tables import table
 
@@ -303,6 +303,7 @@ select run, turn, round(observed, 6) as observed, round(nul, 6) as null_mean, ro
     "self_restatement": _earlier("run, seat", "round(avg(case when round(most, 9) >= 0.8 then 1 else 0 end), 6) as restated"),
     "herding": f"with {_C}, s as (select run, turn, seat, avg(case declared['confidence'] when 'low' then 0 when 'middling' then 1 when 'high' then 2 end) as v from claims where declared['confidence'] in ('low', 'middling', 'high') group by 1, 2, 3), m as (select run, turn, round(v - lag(v) over (partition by run, seat order by turn), 9) as mv from s) select run, turn, count(*) filter (where mv > 0) as toward, count(*) filter (where mv < 0) as away from m group by 1, 2",
     "trajectory": f"with {_C}, s as (select distinct run, turn, doc_id from cited), f as (select *, turn = min(turn) over (partition by run, doc_id) as new from s), per as (select run, turn, count(*) as n_docs, count(*) filter (where new) as n_new from f group by 1, 2) select run, turn, n_docs, n_new, round(n_new / n_docs, 6) as new_share, cast(sum(n_new) over (partition by run order by turn) as bigint) as docs_so_far from per",
+    "monitor_llr": f"with recursive {_C}, s as (select distinct run, turn, doc_id from cited), f as (select *, turn = min(turn) over (partition by run, doc_id) as new from s), series as (select run, turn, avg(case when new then 1.0 else 0.0 end) as x from f group by 1, 2), " + LLR.format(run="run", turn="turn", more=", string_agg(cast(round(raw, 6) as varchar), ' ' order by i) as history"),
     "territory": f"with {_C}, {_OWN}, per as (select run, turn, seat, count(o.doc_id) / count(*) as share from cited c left join own o on o.name = c.seat and o.doc_id = c.doc_id group by 1, 2, 3) select run, turn, seat, round(share, 6) as own_share, case when share >= 0.2 then 'home' when share >= 0.05 then 'adjacent' else 'foreign' end as zone from per",
     "evidenced_minority": f"with {_C}, alone as (select run, turn, doc_id, min(seat) as seat from cited group by 1, 2, 3 having count(*) = 1), o as (select run, turn, seat, count(*) as n_only from alone group by 1, 2, 3), low as (select distinct run, turn, seat from claims where declared['confidence'] = 'low') select run, turn, seat, n_only from (select *, row_number() over (partition by run, turn order by n_only desc, seat) as r from o join low using (run, turn, seat)) where r = 1",
     "disclosure_set": f"with {_V}, c as (select run, turn, doc_id, count(distinct seat) as n_seats, count(distinct quote) as n_quotes from verified where status = 'verified' group by 1, 2, 3) select * from (select *, row_number() over (partition by run, turn order by n_seats desc, doc_id) as r from c) where r <= 16",

@@ -33,3 +33,10 @@ def bm25(queries: str, query: str) -> str:
     return f"""scores as (
   select {query}, p.passage_seq, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score, count(distinct p.term) as hits
   from post p join sizes using (passage_seq) join df using (term) join {queries} q using (term) cross join whole group by 1, 2)"""
+
+
+# The sequential test as a recursive walk over a CTE ``series`` with a column x.
+LLR = """steps as (select {run}, row_number() over (partition by {run} order by {turn}) as i, 4 * ln((1 - least(1 - 1e-6, greatest(1e-6, x))) / least(1 - 1e-6, greatest(1e-6, x))) as inc from series),
+walk as (select {run}, i, inc as raw, case when abs(inc) >= ln(19) then 0.0 else inc end as llr, case when abs(inc) >= ln(19) then 1 else 0 end as fired from steps where i = 1
+  union all select s.{run}, s.i, w.llr + s.inc, case when abs(w.llr + s.inc) >= ln(19) then 0.0 else w.llr + s.inc end, w.fired + case when abs(w.llr + s.inc) >= ln(19) then 1 else 0 end from walk w join steps s on s.{run} = w.{run} and s.i = w.i + 1)
+select {run} as run, round(arg_max(llr, i), 6) as llr, arg_max(fired, i) as fired{more} from walk group by 1"""
