@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidora.operators.graph import components
+from evidora.operators.graph import class_pairs, components
 from evidora.session import cut
 
 
@@ -254,16 +254,14 @@ def near_duplicates(records: DataFrame, key: str, text: str, n: int = 5, unit: s
     return base.select("key", "tid").distinct(), found, components(found, "x", "y")
 
 
-def linked_pairs(members: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (key_a, key_b) with key_a < key_b: the links between the first
-    records of different texts, every record with the first of its class, and
-    every copy with the first of its text. Chained, they are the classes; their
-    number is that of the records and links, whatever the size of a class."""
-    roots = members.join(classes.withColumnRenamed("member", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    first = members.groupBy("tid").agg(F.min("key").alias("first"))
-    top = roots.groupBy("root").agg(F.min("key").alias("top"), F.count("*").alias("n")).where("n > 1").select("root", "top")
-    star = roots.join(top, "root").select(F.col("top").alias("key_a"), F.col("key").alias("key_b"))
-    copies = members.join(first, "tid").select(F.col("first").alias("key_a"), F.col("key").alias("key_b"))
+def linked_pairs(members: DataFrame, found: DataFrame, classes: DataFrame, all_pairs_up_to: int = 64) -> DataFrame:
+    """Pairs (key_a, key_b) with key_a < key_b that, chained, are the classes: a
+    class of up to ``all_pairs_up_to`` records is written as all its pairs, a
+    larger one as the pairs with its first record and the verified links
+    between the first records of different texts."""
+    roots = cut(members.join(classes.withColumnRenamed("member", "tid"), "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root")))
+    large = roots.groupBy("root").agg(F.count_distinct("key").alias("n")).where(F.col("n") > all_pairs_up_to)
+    first = roots.join(large.select("root"), "root", "left_semi").groupBy("tid").agg(F.min("key").alias("first"))
     ends = found.join(first.select(F.col("tid").alias("x"), F.col("first").alias("a")), "x").join(first.select(F.col("tid").alias("y"), F.col("first").alias("b")), "y")
-    ends = ends.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b"))
-    return star.unionByName(copies).unionByName(ends).where("key_a < key_b").distinct()
+    ends = ends.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).where("key_a < key_b")
+    return class_pairs(roots, "key", "root", all_pairs_up_to).unionByName(ends).distinct()

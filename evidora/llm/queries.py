@@ -78,7 +78,8 @@ QUERIES |= {"p5_found": p5_found}
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of distinct spellings of one person or organisation."""
-    from evidora.llm.names import class_pairs, entities
+    from evidora.llm.names import entities
+    from evidora.operators.graph import class_pairs
 
     names = table(spark, d, "docmeta").select(F.explode("authors").alias("name")).unionByName(table(spark, d, "docs").select(F.col("first_author").alias("name")))
     return class_pairs(entities(names), "name", "entity").toDF("name_a", "name_b")
