@@ -19,7 +19,7 @@ def coauthor_keys(name: Column) -> Column:
     """Both readings of a name's order: last|first initial and first|last
     initial, of its plain words; empty for fewer than two words."""
     w = F.filter(F.split(plain(name), " "), lambda x: x != "")
-    last, first = F.element_at(w, -1), F.element_at(w, 1)
+    last, first = F.try_element_at(w, F.lit(-1)), F.try_element_at(w, F.lit(1))
     return F.when(F.size(w) >= 2, F.array(F.concat(last, F.lit("|"), F.substring(first, 1, 1)), F.concat(first, F.lit("|"), F.substring(last, 1, 1)))).otherwise(F.array().cast("array<string>"))
 
 
@@ -50,7 +50,32 @@ def coauthor_counts(authored: DataFrame) -> DataFrame:
     """(a, b, n_docs): how often two author keys share a document. Documents of
     more than 30 authors count as consortia and are left out, which bounds the
     pairs of a document."""
-    keyed = authored.select("doc_id", F.element_at(coauthor_keys(F.col("author")), 1).alias("k")).where("k is not null").distinct()
+    keyed = authored.select("doc_id", F.try_element_at(coauthor_keys(F.col("author")), F.lit(1)).alias("k")).where("k is not null").distinct()
     few = keyed.groupBy("doc_id").agg(F.sort_array(F.collect_set("k")).alias("ks")).where(F.size("ks") <= 30)
     a = few.select("ks", F.posexplode("ks").alias("i", "a"))
     return a.select("a", F.explode(F.slice("ks", F.col("i") + 2, F.size("ks"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n_docs"))
+
+
+def full_name_key(name: Column) -> Column:
+    """Sorted words of more than one letter; empty for fewer than two."""
+    w = F.array_sort(F.filter(F.split(plain(name), " "), lambda x: F.length(x) > 1))
+    return F.when(F.size(w) >= 2, F.array_join(w, " ")).otherwise("")
+
+
+def document_id(first_author: Column, year: Column, venue: Column) -> Column:
+    """surname + year + the first twelve letters of the venue: the last word of
+    the author's name, or what stands before a comma; anon and nd where absent."""
+    before = F.when(first_author.contains(","), F.substring_index(first_author, ",", 1))
+    words = F.split(plain(F.coalesce(before, first_author)), " ")
+    surname = F.coalesce(F.nullif(F.when(before.isNotNull(), F.array_join(words, "")).otherwise(F.try_element_at(words, F.lit(-1))), F.lit("")), F.lit("anon"))
+    return F.concat(surname, F.coalesce(year.cast("string"), F.lit("nd")), F.substring(F.regexp_replace(plain(F.coalesce(venue, F.lit(""))), " ", ""), 1, 12))
+
+
+def disambiguated(rows: DataFrame, base: str, order: str) -> DataFrame:
+    """Adds ``id``: ``base``, with the suffixes a to z, then v27 on, for the
+    second and further rows of the same base in ``order``."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
+    suffix = F.when(n == 1, "").when(n <= 27, F.chr(n + F.lit(95))).otherwise(F.concat(F.lit("v"), n.cast("string")))
+    return rows.withColumn("id", F.concat(base, suffix))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidora.plans import library, panel, search
+from evidora.plans import library, more, panel, search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **panel.QUERIES, **library.QUERIES}
-SQL: dict[str, str] = {**search.SQL, **panel.SQL, **library.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **panel.QUERIES, **library.QUERIES, **more.QUERIES}
+SQL: dict[str, str] = {**search.SQL, **panel.SQL, **library.SQL, **more.SQL}
