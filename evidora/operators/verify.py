@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidora.functions.text import verify_fold
+from evidora.operators.contain import containing
 
 
 def claims(ledger: DataFrame) -> DataFrame:
@@ -30,13 +31,15 @@ def verify(cited: DataFrame, passages: DataFrame, docs: DataFrame, own: DataFram
     (seat, doc_id) is in ``own``, else read, for verified ones. A null quote
     counts as empty, a null doc_id as invented.
 
-    Quotes are matched once per (doc_id, folded quote) by an equi-join on
-    doc_id; adaptive execution splits the partitions of a hot document.
+    Quotes are matched once per (doc_id, folded quote), within the document's
+    passages, and by fingerprints in documents of very many.
     """
     q = cited.withColumn("form", verify_fold(F.coalesce("quote", F.lit(""))))
-    long = q.where(F.char_length("form") >= least).select("doc_id", "form").distinct()
-    p = passages.where(F.col("text").isNotNull()).select("doc_id", "passage_id", "ord", "passage_seq", verify_fold(F.col("text")).alias("body"))
-    hits = p.join(long, "doc_id").where(F.col("body").contains(F.col("form"))).groupBy("doc_id", "form").agg(F.min_by("passage_id", F.struct("ord", "passage_seq")).alias("passage_id"))
+    long = q.where(F.char_length("form") >= least).select("doc_id", "form").distinct().withColumn("q_id", F.xxhash64("doc_id", "form"))
+    p = passages.where(F.col("text").isNotNull())
+    pairs = containing(long, p.select(F.col("passage_seq").alias("p_id"), "doc_id", verify_fold(F.col("text")).alias("body")))
+    at = pairs.join(p.select(F.col("passage_seq").alias("p_id"), "passage_id", "ord"), "p_id").groupBy("q_id").agg(F.min_by("passage_id", F.struct("ord", "p_id")).alias("passage_id"))
+    hits = long.join(at, "q_id").select("doc_id", "form", "passage_id")
     known = docs.select("doc_id", F.lit(True).alias("known")).distinct()
     held = passages.select("doc_id", F.lit(True).alias("held")).distinct()
     out = q.join(hits, ["doc_id", "form"], "left").join(known, "doc_id", "left").join(held, "doc_id", "left")

@@ -217,3 +217,20 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("ﬁne  co-\nop — “x”", "Café_COX-2")], "a string, b string")
     r = df.select(tx.verify_fold(F.col("a")), tx.canonical(F.col("a")), tx.index_tokens(F.col("b")), tx.question_terms(F.lit("What is the COX-2 rate, 2020?")), tx.extract_year(F.lit("in 1999-05")), tx.nfkc(F.lit("ｆull")), tx.fold_name(F.lit("O'Brien-Šmit, J."))).first()
     assert r[0] == 'fine coop - "x"' and r[1] == 'fine coop - "x"' and r[2] == ["cafe", "cox", "2"] and r[3] == ["cox", "rate"] and r[4] == 1999 and r[5] == "full" and r[6] == "o brien smit j"
+
+
+def test_containment_in_hot_documents(spark):
+    from evidora.operators.contain import containing
+
+    rnd = random.Random(6)
+    texts = [(i, "hot" if i < 300 else f"d{i % 9}", "".join(rnd.choice("abcd ") for _ in range(120))) for i in range(360)] + [(900, "hot", None), (901, None, "abc")]
+    needles = []
+    for k in range(150):
+        i, d, t = texts[rnd.randrange(360)]
+        a, n = rnd.randrange(60), rnd.choice([1, 4, 15, 40])
+        needles.append((k, d, t[a : a + n] if k % 5 else t[a : a + n] + "z"))
+    needles += [(997, "hot", ""), (998, "hot", None), (999, None, "abc")]
+    p, q = spark.createDataFrame(texts, "p_id bigint, doc_id string, body string"), spark.createDataFrame(needles, "q_id bigint, doc_id string, form string")
+    want = {(k, i) for k, d, f in needles for i, e, t in texts if f and d and d == e and t and f in t}
+    for hot in (10, 10_000):
+        assert {(r["q_id"], r["p_id"]) for r in containing(q, p, hot=hot).collect()} == want
