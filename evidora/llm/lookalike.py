@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidora.operators.contain import TIERS, marks
+
 # Letters of other scripts that are drawn like Latin ones, in
 # order, and below them signs that are drawn alike.
 ALIKE = (
@@ -218,54 +220,6 @@ class Unifier:
         return changed if sparse else F.coalesce(changed, text)
 
 
-def fingerprints(text: str, k: int, w: int) -> np.ndarray:
-    """Hashes of the k-grams that are smallest in a window of w of them: two
-    texts that share k+w-1 characters in a row share a fingerprint."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes) - k + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for i in range(k):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n] + np.uint64(1)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    least = h
-    if n > 1 and w > 1:
-        width = min(w, n)
-        least = np.lib.stride_tricks.sliding_window_view(h, width).min(axis=1)
-    return np.unique(least)
-
-
-# k and w by the length from which they find every shared stretch.
-TIERS = ((32, 12, 21), (12, 6, 7), (1, 1, 1))
-
-
-def _marks(frame: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, mark), a mark for each fingerprint of the tiers named in the
-    array column ``tiers``; marks of different documents and tiers differ."""
-
-    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("tier", pa.int32()), ("mark", pa.int64())])
-        for batch in batches:
-            keys, docs, names, marks = [], [], [], []
-            for key_, doc, t, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                for least, k, w in TIERS:
-                    if least in wanted:
-                        found = fingerprints(t, k, w).view(np.int64)
-                        keys.append(np.full(len(found), key_, np.int64))
-                        docs.append(np.full(len(found), doc, np.int64))
-                        names.append(np.full(len(found), least, np.int32))
-                        marks.append(found)
-            whole = [pa.array(np.concatenate(x) if x else [], f.type) for x, f in zip((keys, docs, names, marks), schema)]
-            yield pa.RecordBatch.from_arrays(whole, schema=schema)
-
-    rows = frame.select(F.col(key).alias("key"), F.xxhash64("doc_id").alias("doc"), F.col(text).alias("text"), "tiers").mapInArrow(make, "key bigint, doc bigint, tier int, mark bigint")
-    return rows.select(F.col("key").alias(key), F.xxhash64("doc", "tier", "mark").alias("mark"))
-
-
 def quote_matches(quotes: DataFrame, passages: DataFrame, unifier: Unifier, hot: int = 256, share: float = 1e-5) -> DataFrame:
     """For every distinct (doc_id, quote): ``verbatim``, whether some passage of
     that document contains it as it stands, and ``unified``, whether one does
@@ -298,8 +252,8 @@ def quote_matches(quotes: DataFrame, passages: DataFrame, unifier: Unifier, hot:
 
     big_p = p.join(large, "doc_id").withColumn("p_form", unifier.column(F.col("text"), sparse=True)).withColumn("p_id", F.xxhash64("doc_id", "text"))
     big_q = q.join(large.select("doc_id"), "doc_id").withColumn("tiers", F.array(tier))
-    p_marks = _marks(big_p.withColumn("form", p_form), "p_id", "form")
-    q_marks = _marks(big_q.withColumn("form", q_form), "q_id", "form")
+    p_marks = marks(big_p.withColumn("form", p_form), "p_id", "form")
+    q_marks = marks(big_q.withColumn("form", q_form), "q_id", "form")
     known = p_marks.groupBy("mark").agg(F.count("*").alias("df"))
     rarest = q_marks.join(known, "mark").groupBy("q_id").agg(F.min_by("mark", F.struct("df", "mark")).alias("mark"))
     pairs = p_marks.join(rarest, "mark").select("p_id", "q_id").distinct()
