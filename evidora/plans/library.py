@@ -199,6 +199,10 @@ select doc_id, 'short_title' from b where listed and coalesce(length(title), 0)
     "manifest_difference": f"with {_PSG}, p as (select doc_id, count(*) as n from psg where doc_id is not null group by 1) select case when d.doc_id is null then 'index_only' when n is null then 'manifest_only' else 'both' end as side, count(*) as n_docs, cast(coalesce(sum(n), 0) as bigint) as n_passages from docs d full join p on p.doc_id = d.doc_id group by 1",
     "library_stats": " union all ".join(f"select '{n}' as dimension, coalesce({x}, '?') as value, count(*) as n_docs, cast(sum(coalesce(n_passages, 0)) as bigint) as n_passages from docs group by 2" for n, x in (("status", "fulltext_status"), ("type", "doc_type"), ("channel", "channel"), ("decade", "cast(year // 10 * 10 as varchar)"))),
     "fulltext_class": f"with {_CUR} select doc_id, {_class('n_passages', 'n_chars', chr(102) + 'ulltext_status = ' + chr(39) + 'abstract_only' + chr(39))} as derived, fulltext_status from cur",
+    "passage_pack": """with recursive l as (select doc_id, row_number() over (partition by doc_id order by ord) as i, t from (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as ord from documents) where length(trim(t, ' ')) > 0),
+w as (select doc_id, i, t as body, 1 as g from l where i = 1 union all select l.doc_id, l.i, case when length(w.body) < 1500 and length(w.body) + 1 + length(l.t) <= 3000 then w.body || chr(10) || l.t else l.t end, case when length(w.body) < 1500 and length(w.body) + 1 + length(l.t) <= 3000 then w.g else w.g + 1 end from w join l on l.doc_id = w.doc_id and l.i = w.i + 1),
+ps as (select doc_id, g, arg_max(body, i) as body from w group by 1, 2)
+select doc_id, cast(row_number() over (partition by doc_id order by g) - 1 as int) as n, cast(length(body) as int) as n_chars, md5(body) as digest from ps where len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) >= 3""",
     "text_functions": f"""select distinct seq, regexp_replace(lower(trim(doi)), '^(?:https?://)?(?:dx\\.)?doi\\.org/|^doi:\\s*', '') as doi, {_YEAR.format(x='coalesce(pub_date, retrieved_at)')} as found_year, regexp_replace(translate(lower(venue), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]+', '', 'g') as venue_slug,
 coalesce(year, {_YEAR.format(x='pub_date')}) as year_known, len(regexp_extract_all(title, '[A-Za-z0-9][A-Za-z0-9\\-''/.]*')) as n_words, sha256(title) as title_sha from docmeta""",
     "attribution": f"""with {_CUR}, au as (select doc_id, unnest(authors) as author from cur), w as (select doc_id, author, list_filter(string_split({_plain('author')}, ' '), lambda x: x <> '') as ws from au), s as (select name, {_plain('surname')} as sn, list_transform(initials, lambda i: {_plain('i')}) as ini from seats where surname is not null),
