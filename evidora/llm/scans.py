@@ -1,15 +1,16 @@
 """Repair of text from scanned pages (problem 1).
 
 Running headers and page numbers are taken out of the line structure; what is
-left is one stream of characters, whose words are decoded jointly under the
-corpus's word counts, allowing hyphenated breaks, splits, merges and confused
-characters; paragraph boundaries are chosen by dynamic programming over lines.
+left is one stream of characters, which is read along the cheapest path under the
+corpus's word counts, hyphenated breaks, missing and stray spaces and confused
+characters being edges with a price; paragraph boundaries are chosen by dynamic programming over lines.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -20,7 +21,12 @@ from pyspark.sql import functions as F
 # What a scanner reads (left) and what may stand there (right).
 # SIGNS never belong inside a word, LETTERS may.
 SIGNS = {"€": "ec", "¢": "ce", "@": "ao", "|": "li", "!": "il", "ſ": "fs", "$": "s", "0": "o", "1": "li", "3": "e", "4": "a", "5": "s", "6": "b", "7": "t", "8": "b", "9": "g", "£": "e", "¦": "li"}
-LETTERS = {"c": "e", "f": "t", "b": "h", "e": "c", "t": "f", "h": "b", "l": "i", "i": "l", "I": "l", "cl": "d", "vv": "w", "ii": "u", "rn": "m", "m": ("in", "rn", "ni"), "ri": "n", "li": "h", "d": "cl", "0": "O", "1": "I"}
+LETTERS = {"c": "e", "f": "t", "b": "h", "e": "c", "t": "f", "h": "b", "l": "i", "i": "l", "I": "l", "cl": "d", "vv": "w", "ii": "u", "rn": "m", "m": ("in", "rn", "ni"), "ri": "n", "li": "h", "d": ("cl",), "0": "O", "1": "I"}
+# Characters that SIGNS and LETTERS connect have one spelling in atoms, so a
+# damaged word and what it stands for are spelled alike, also in parts.
+ATOMS = str.maketrans(
+    {c: "i" for c in "ilr|!1¦"} | {c: "e" for c in "ec€¢3£"} | {c: "o" for c in "ao@04"} | {c: "f" for c in "fts$57ſ"} | {c: "ii" for c in "bhnu68"} | {"m": "iii", "d": "ei", "w": "vv", "9": "g"}
+)
 BREAK_MARKS = "-‐‑¬­"
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
@@ -160,6 +166,15 @@ class Decoder:
         self.seen: dict[str, str | None] = {}
         self.fine: set[str] = set()
         self.log = math.log(self.total)
+        self.spelled: dict[str, list[str]] = {}
+        for word in known:
+            self.spelled.setdefault(word.lower().translate(ATOMS), []).append(word)
+        self.spellings = sorted(self.spelled)
+        self.shut: set[tuple[str, str]] = set()
+        self.ajar: set[tuple[str, str]] = set()
+        self.read: dict[str, list[tuple[str, float, bool]]] = {}
+        self.runs: dict[tuple[str, ...], tuple] = {}
+        self.alone: dict[str, list[tuple[str, bool]] | None] = {}
 
     def count(self, word: str) -> int:
         n = self.known.get(word, 0)
@@ -171,29 +186,40 @@ class Decoder:
         n = self.count(word)
         return self.log - math.log(n) if n else max(self.log - math.log(self.floor), self.UNKNOWN) + self.PER_CHAR * len(word)
 
-    def variants(self, word: str, most: int = 2) -> Iterator[tuple[str, float, bool]]:
-        """Readings of a word with up to ``most`` confusions undone, all signs
-        first: (reading, cost, whether a sign was among them)."""
-        level = [(word, 0.0, False, 0)]
-        for depth in range(most + 2):
-            following = []
-            for w, c, sign, start in level:
-                signs = [i for i, x in enumerate(w) if x in SIGNS and i >= start]
-                if signs:
-                    i = signs[0]
-                    for x in SIGNS[w[i]]:
-                        following.append((w[:i] + x + w[i + 1 :], c + self.SIGN, True, i + 1))
-                elif depth < most:
-                    for i in range(start, len(w)):
-                        for size in (2, 1):
-                            for x in LETTERS.get(w[i : i + size], ()) if len(w[i : i + size]) == size else ():
-                                following.append((w[:i] + x + w[i + size :], c + self.LETTER, sign, i + len(x)))
-            for w, c, sign, start in following:
-                if not any(x in SIGNS for x in w):
-                    yield w, c, sign
-            level = following[:400]
-            if not level:
-                return
+    def undone(self, chars: str, word: str) -> tuple[float, bool]:
+        """What it costs to read characters as a word, by the confusions to
+        undo, and whether a sign was among them; infinite if it can't be."""
+        if chars == word:
+            return 0.0, False
+        row: dict[int, tuple[float, bool]] = {0: (0.0, False)}
+        rows = [row] + [{} for _ in chars]
+        for i, c in enumerate(chars):
+            for j, (paid, sign) in rows[i].items():
+                steps = [(i + 1, c, 0.0, False)] + [(i + 1, x, self.SIGN, True) for x in SIGNS.get(c, ())]
+                for size in (1, 2):
+                    steps += [(i + size, x, self.LETTER, False) for x in LETTERS.get(chars[i : i + size], ()) if i + size <= len(chars)]
+                for to, x, price, by_sign in steps:
+                    if word.startswith(x, j) and (new := (paid + price, sign or by_sign)) < rows[to].get(j + len(x), (math.inf, False)):
+                        rows[to][j + len(x)] = new
+        return rows[-1].get(len(word), (math.inf, False))
+
+    def readings(self, chars: str) -> list[tuple[str, float, bool]]:
+        """Known words that characters without a gap may stand for: (word, cost
+        of the confusions undone, whether a sign was among them). Cached."""
+        if chars not in self.read:
+            if len(self.read) > 300_000:
+                self.read.clear()
+            self.read[chars] = list(self._readings(chars))
+        return self.read[chars]
+
+    def _readings(self, chars: str) -> Iterator[tuple[str, float, bool]]:
+        capital = chars[:1].isupper()
+        for word in self.spelled.get(chars.lower().translate(ATOMS), ()):
+            forms = {word, word[0].upper() + word[1:]} if capital else {word}
+            for w in forms:
+                paid, sign = self.undone(chars, w)
+                if 0 < paid < math.inf:
+                    yield w, paid, sign
 
     def reading(self, token: str) -> str | None:
         """The word that a token with confused characters stands for; None if
@@ -203,10 +229,6 @@ class Decoder:
         if len(self.seen) > 300_000:
             self.seen.clear()
         self.seen[token] = found = self._reading(token)
-        if found is None:
-            if len(self.fine) > 300_000:
-                self.fine.clear()
-            self.fine.add(token)
         return found
 
     def _reading(self, token: str) -> str | None:
@@ -232,7 +254,7 @@ class Decoder:
             new = "-".join(read)
             return token.replace(core, new) if new != core else None
         best, least, by_sign = None, math.inf, False
-        for w, c, sign in self.variants(core, 2 if len(core) > 4 else 1):
+        for w, c, sign in self.readings(core):
             k = self.count(w)
             if k and (total := c + self.log - math.log(k)) < least:
                 best, least, by_sign = w, total, sign
@@ -245,26 +267,214 @@ class Decoder:
             return token.replace(core, best)
         return None
 
-    def join(self, left: str, mark: str, right: str, at_line: bool) -> tuple[str, str]:
-        """How a broken word is read: ("word", joined), ("compound", with the
-        hyphen), or ("apart", "")."""
-        joined, compound = left + right, f"{left}-{right}"
-        options = [(self._best(joined) + self.JOIN + (0.0 if at_line else 2.0), "word")]
-        if mark in "-‐‑":
-            whole = self.count(compound)
-            options.append((self.log - math.log(whole) if whole else self.cost(left) + self.cost(right) + 1.0, "compound"))
-            hanging = self.count(left + "-")
-            options.append(((self.log - math.log(hanging) if hanging else self.cost(left) + 6.0) + self.cost(right) + (3.0 if at_line and not hanging else 0.0), "apart"))
-        how = min(options)[1]
-        return how, {"word": joined, "compound": compound, "apart": ""}[how]
-
-    def _best(self, word: str) -> float:
-        c = self.cost(word)
-        if not self.count(word) and word[:1].islower():
-            read = self.reading(word)
-            if read:
-                c = min(c, self.cost(read) + self.SIGN)
-        return c
+    def settled(self, core: str) -> bool:
+        """Whether a token is so frequent that neither its split nor another
+        reading can be cheaper."""
+        return self.count(core) > 40 * self.floor
+
+    def core(self, token: str) -> str:
+        """The letters (and signs) of a token that may be decoded, or nothing."""
+        core = token.strip(_EDGE)
+        if not core or len(core) > 40 or len(core) > 1 and core.isupper() or _NOT_LATIN.search(core):
+            return ""
+        if core.isalpha():
+            return core
+        plain = all(c.isalpha() or c in SIGNS for c in core) and any(c.isalpha() for c in core)
+        return core if plain and sum(c.isdigit() for c in core) <= 2 else ""
+
+    def open(self, left: str, right: str) -> bool:
+        """Whether some word may reach over the gap between two tokens. Cached."""
+        pair = (left, right)
+        if pair in self.shut:
+            return False
+        if pair in self.ajar:
+            return True
+        found = self._open(left, right)
+        held = self.ajar if found else self.shut
+        if len(held) > 700_000:
+            held.clear()
+        held.add(pair)
+        return found
+
+    def _open(self, left: str, right: str) -> bool:
+        a, b = self.core(left), self.core(right)
+        if not a or not b or not left.endswith(a) or not right.startswith(b):
+            return False
+        x = a.lower().translate(ATOMS)
+        both, at, firm, last = x + b.lower().translate(ATOMS), len(x), self.settled(a), self.settled(b)
+        for k in (0,) if firm else range(at):
+            if not self._begins(both[k : at + 1]):
+                continue
+            if self._begins(both[k:], longer=True) or not last and any(both[k:e] in self.spelled for e in range(at + 1, len(both))):
+                return True
+            if both[k:] in self.spelled and (k or self._pays(a, b)):
+                return True
+        return False
+
+    def _pays(self, a: str, b: str) -> bool:
+        """Whether a word is cheaper than the two that it is written as, and
+        frequent enough beside the rarer of them."""
+        apart, rare = self.cost(a) + self.cost(b), max(self.floor, min(self.count(a), self.count(b)))
+        words = [*self.readings(a + b), (a + b, 0.0, False)]
+        return any((n := self.count(w)) >= 8 * rare and self.MERGE + paid + self.log - math.log(n) < apart for w, paid, _ in words)
+
+    def _begins(self, atoms: str, longer: bool = False) -> bool:
+        i = bisect_left(self.spellings, atoms)
+        if longer and i < len(self.spellings) and self.spellings[i] == atoms:
+            i += 1
+        return i < len(self.spellings) and self.spellings[i].startswith(atoms)
+
+    def path(self, tokens: list[str], hyphens: dict[int, tuple[str, bool]]) -> tuple[str, list[tuple[int | None, str, bool, bool]], str]:
+        """The cheapest way to read tokens whose gaps are open: the marks before,
+        the words as (token at which it begins if at a gap, text, whether a
+        confusion was undone, whether a hyphen was read over), the marks after.
+        ``hyphens`` has the mark behind token k and whether a line ends there."""
+        cores = [t[:-1] if k in hyphens else t for k, t in enumerate(tokens)]
+        lead = cores[0][: len(cores[0]) - len(cores[0].lstrip(_EDGE))]
+        tail = cores[-1][len(cores[-1].rstrip(_EDGE)) :]
+        cores[0] = cores[0][len(lead) :]
+        cores[-1] = cores[-1][: len(cores[-1]) - len(tail)]
+        chars = "".join(cores)
+        starts, at = [], 0
+        for c in cores:
+            starts.append(at)
+            at += len(c)
+        n, ends = at, [*starts[1:], at]
+        inside = [0] * n
+        for k, (a, b) in enumerate(zip(starts, ends)):
+            inside[a:b] = [k] * (b - a)
+        seen = [self.count(c) for c in cores]
+        firm = [self.settled(c) for c in cores]
+        best: list[tuple] = [(0.0,)] + [(math.inf,)] * n
+        boundary = {*starts, n}
+        spelt = [c.lower().translate(ATOMS) for c in chars]
+
+        def gap(k: int) -> float:
+            return self.MERGE if k not in hyphens else self.JOIN + (0.0 if hyphens[k][1] else 2.0)
+
+        def put(i: int, j: int, price: float, text: str, confused: bool, joined: bool) -> None:
+            price += best[i][0] + (self.SPLIT if i not in boundary else 0.0)
+            if price < best[j][0]:
+                best[j] = (price, i, text, confused, joined)
+
+        for i in range(n):
+            if best[i][0] == math.inf:
+                continue
+            k = inside[i]
+            if i == starts[k]:
+                own = self.cost(cores[k])
+                if k not in hyphens:
+                    put(i, ends[k], own, cores[k], False, False)
+                else:
+                    mark, at_line = hyphens[k]
+                    hanging = self.count(cores[k] + "-")
+                    if mark in "-‐‑":
+                        put(i, ends[k], own + 1.0, cores[k] + "-", False, False)
+                        if hanging:
+                            put(i, ends[k], self.log - math.log(hanging), cores[k], False, False)
+                        if k + 1 < len(cores) and (whole := self.count(f"{cores[k]}-{cores[k + 1]}")):
+                            put(i, ends[k + 1], self.log - math.log(whole), f"{cores[k]}-{cores[k + 1]}", False, False)
+                    else:
+                        put(i, ends[k], own + 6.0, cores[k], False, False)
+                    if k + 1 < len(cores):
+                        word = cores[k] + cores[k + 1]
+                        put(i, ends[k + 1], self.cost(word) + gap(k), word, False, True)
+            elif firm[k]:
+                continue
+            if i != starts[k] and chars[i].isupper() and chars[i - 1].islower() or i == starts[k] and not firm[k]:
+                for j in range(i + 1, ends[k]):  # an unknown word runs into another where a capital shows it
+                    if chars[j].isupper() and chars[j - 1].islower():
+                        put(i, j, self.cost(chars[i:j]), chars[i:j], False, False)
+                if i != starts[k]:
+                    put(i, ends[k], self.cost(chars[i : ends[k]]), chars[i : ends[k]], False, False)
+            atoms, first = "", chars[i].isupper()
+            for j in range(i + 1, min(n, i + 40) + 1):
+                atoms += spelt[j - 1]
+                if not self._begins(atoms):
+                    break
+                e = inside[j - 1]
+                if atoms not in self.spelled or j != ends[e] and firm[e] or (i == starts[k] and j == ends[k] and firm[k]):
+                    continue
+                piece = chars[i:j]
+                over = [x for x in range(k, e)]
+                cut = (i != starts[k], j != ends[e])
+                for w, paid, sign in [*([(piece, 0.0, False)] if self.count(piece) else ()), *self.readings(piece)]:
+                    if first != w[0].isupper() and paid == 0:
+                        continue
+                    count = self.count(w)
+                    rare = max([self.floor, *(seen[x] for x, y in ((k, cut[0]), (e, cut[1])) if y)])
+                    if any(x not in hyphens for x in over):
+                        rare = max(rare, min(seen[k : e + 1]))
+                    if (any(cut) or any(x not in hyphens for x in over)) and count < 8 * rare or any(cut) and len(w) == 1 and w not in "aI":
+                        continue
+                    if paid:
+                        written = self.count(piece)
+                        if not sign and (len(piece) < 4 or count < 8 * max(written, self.floor) or written > 40 * self.floor):
+                            continue
+                        if not over and not any(cut):
+                            if self.reading(piece) != w:
+                                continue
+                            paid = min(paid, self.cost(piece) - self.log + math.log(count) - 1e-6)
+                    put(i, j, paid + self.log - math.log(count) + sum(gap(x) for x in over), w, paid > 0, any(x in hyphens for x in over))
+        out, j = [], n
+        while j:
+            _, i, text, confused, joined = best[j]
+            out.append((starts.index(i) if i in boundary else None, text, confused, joined))
+            j = i
+        out.reverse()
+        return lead, out, tail
+
+    def run(self, tokens: tuple[str, ...]) -> tuple[str, list[tuple[int | None, str, bool, bool]], str]:
+        """The path of tokens without hyphens, cached."""
+        if tokens not in self.runs:
+            if len(self.runs) > 200_000:
+                self.runs.clear()
+            self.runs[tokens] = self.path(list(tokens), {})
+        return self.runs[tokens]
+
+    def single(self, token: str) -> tuple[str, bool] | None:
+        """A token between shut gaps as it is read, and whether a confusion was
+        undone; None if it is best read as it is. Cached by token."""
+        if token in self.fine:
+            return None
+        if token in self.alone:
+            return self.alone[token]
+        if len(self.alone) > 300_000:
+            self.alone.clear()
+        found, core = None, self.core(token)
+        if core and len(core) > 3 and not self.settled(core):
+            lead, pieces, tail = self.path([token], {})
+            new = lead + " ".join(text for _, text, *_ in pieces) + tail
+            found = (new, any(p[2] for p in pieces)) if new != token else None
+        elif word := self.reading(token):
+            found = (word, True)
+        if found:
+            self.alone[token] = found
+        else:
+            if len(self.fine) > 300_000:
+                self.fine.clear()
+            self.fine.add(token)
+        return found
+
+    def gaps_shut(self, words: list[str]) -> bool:
+        """Whether no word reaches over a gap of these tokens."""
+        pairs = list(zip(words, words[1:]))
+        reached = {pair for pair in set(pairs) - self.shut if self.open(*pair)}
+        if not reached:
+            return True
+        first = last = -1
+        for k in [k for k, pair in enumerate(pairs) if pair in reached]:
+            if k != last:
+                if first >= 0 and not self.same(tuple(words[first : last + 1])):
+                    return False
+                first = k
+            last = k + 1
+        return self.same(tuple(words[first : last + 1]))
+
+    def same(self, tokens: tuple[str, ...]) -> bool:
+        """Whether tokens are best read as they are."""
+        lead, pieces, tail = self.run(tokens)
+        return len(pieces) == len(tokens) and lead + " ".join(p[1] for p in pieces) + tail == " ".join(tokens)
 
     def segment(self, chars: str, gaps: list[float]) -> list[str]:
         """Words of a stretch of characters, by dynamic programming: ``gaps[i]``
@@ -337,6 +547,81 @@ def paragraphs(lines: list[str], blank_before: list[bool]) -> list[str]:
     return out[::-1]
 
 
+_TOKEN = re.compile(r"\S+")
+
+
+def decode(rest: str, decoder: Decoder) -> tuple[str, set[str]]:
+    """A text without headers and page numbers, read along the cheapest path
+    over its characters, and the kinds of damage (hyphen, chars) on the path.
+    Tokens between gaps that no word can reach over are read by themselves."""
+    words = rest.split()
+    broken = bool(_BREAK.search(rest))
+    shut = decoder.gaps_shut(words)
+    if not broken and shut and not any(decoder.single(t) for t in set(words) - decoder.fine):
+        return rest, set()
+    kinds: set[str] = set()
+    marks: dict[int, tuple[int, int, str, str, str, bool]] = {}
+    last = 0
+    for start, end, left, mark, right, at_line in breaks(rest) if broken else ():
+        if start < last:
+            continue
+        if not at_line and (mark in "¬­‑" or not right[0].islower()) and not (mark in "¬­" and not decoder.count(left) and decoder.count(left + right)):
+            continue
+        if _NOT_LATIN.search(left + right) or (start and rest[start - 1] in BREAK_MARKS):
+            continue
+        marks[start + len(left)] = (start, end, left, mark, right, at_line)
+        last = start + len(left)
+    out: list[str] = []
+    at = 0  # what of rest is in out
+    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(rest)]
+    k = 0
+    while k < len(tokens):
+        run, hyphens = [tokens[k]], {}
+        while True:
+            a, b = run[-1]
+            after = tokens[k + len(run)] if k + len(run) < len(tokens) else None
+            if after and b - 1 in marks and b - a > 1:
+                start, end, left, mark, right, at_line = marks[b - 1]
+                if start > a and len(run) == 1 and rest[start - 1] not in _EDGE:
+                    run[0] = (start, b)  # only the last part of a compound is broken
+                hyphens[len(run) - 1] = (mark, at_line)
+                stop = after[1] if not rest[end : after[1]].strip(_EDGE) else end
+                run.append((after[0], stop if stop - 1 not in marks else after[1]))
+                if run[-1][1] != after[1]:
+                    break
+            elif after and not shut and decoder.open(rest[a:b], rest[after[0] : after[1]]):
+                run.append(after)
+            else:
+                break
+        a, b = run[0][0], run[-1][1]
+        if len(run) == 1:
+            read = decoder.single(rest[a:b])
+            if read:
+                out += rest[at:a], read[0]
+                at = b
+                if read[1]:
+                    kinds.add("chars")
+        else:
+            lead, pieces, tail = decoder.run(tuple(rest[x:y] for x, y in run)) if not hyphens else decoder.path([rest[x:y] for x, y in run], hyphens)
+            new = [lead]
+            for place, text, confused, joined in pieces:
+                if place:
+                    mark = hyphens.get(place - 1)
+                    gap = rest[run[place - 1][1] : run[place][0]]
+                    new.append(gap if mark is None else "" if new[-1].endswith("-") else mark[0] + gap)
+                elif place is None:
+                    new.append(" ")
+                new.append(text)
+                if confused:
+                    kinds.add("chars")
+                if joined:
+                    kinds.add("hyphen")
+            out += rest[at:a], *new, tail
+            at = b
+        k += len(run)
+    return "".join([*out, rest[at:]]), kinds
+
+
 def examine(text: str, decoder: Decoder, repair: bool) -> tuple[list[str], str | None]:
     """Kinds of damage in a text, and the repaired text if asked for."""
     kinds = set()
@@ -346,37 +631,14 @@ def examine(text: str, decoder: Decoder, repair: bool) -> tuple[list[str], str |
         for *_, kind in spans:
             kinds.update(("header", "page_number") if kind == "both" else (kind,))
     rest = _without(text, spans) if spans else text
-    edits: dict[tuple[int, int], str] = {}
-    if _BREAK.search(rest):
-        last = 0
-        for start, end, left, mark, right, at_line in breaks(rest):
-            if start < last:
-                continue
-            if not at_line and (mark in "¬­‑" or not right[0].islower()) and not (mark in "¬­" and not decoder.count(left) and decoder.count(left + right)):
-                continue
-            if _NOT_LATIN.search(left + right) or (start and rest[start - 1] in BREAK_MARKS):
-                continue
-            how, word = decoder.join(left, mark, right, at_line)
-            if how == "word":
-                kinds.add("hyphen")
-            if how != "apart":
-                edits[start, end] = word
-                last = end
-    whole = rest
-    if edits:
-        out, at = [], 0
-        for (a, b), word in sorted(edits.items()):
-            out += rest[at:a], word
-            at = b
-        whole = "".join([*out, rest[at:]])
-    if any(decoder.reading(t) for t in set(whole.split()) - decoder.fine):
-        kinds.add("chars")
+    rest = _unspace(rest, decoder)
+    whole, found = decode(rest, decoder)
+    kinds |= found
     if not repair:
         return sorted(kinds), None
-    whole = _unspace(whole, decoder)
     lines, blanks, blank = [], [], False
     for line in whole.split("\n"):
-        words = [decoder.reading(t) or t for t in line.split()]
+        words = line.split()
         if words:
             lines.append(" ".join(words))
             blanks.append(blank)
@@ -441,13 +703,15 @@ def scan_repair(passages: DataFrame, key: str = "passage_seq", text: str = "text
     n = passages.count()
     often = {r[section]: r["count"] for r in labels.where(F.col("count") >= max(2, 1e-4 * n)).toLocalIterator()}
     spark = passages.sparkSession
-    sent = spark.sparkContext.broadcast((known, often))
+    sent = spark.sparkContext.broadcast({"known": known, "often": often})
     schema = passages.select(F.col(key).alias("key")).schema.add("kinds", "string").add("section", "string").add("text", "string")
     spec = ", ".join(f"{f.name} {'array<string>' if f.name == 'kinds' else f.dataType.simpleString()}" for f in schema)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (words, floor, total), counts = sent.value
-        decoder, sound = Decoder(words, floor, total), Labels(counts)
+        held = sent.value  # a worker's tasks share the decoder and what it has cached
+        if "decoder" not in held:
+            held["decoder"] = Decoder(*held["known"])
+        decoder, sound = held["decoder"], Labels(held["often"])
         cache: dict[str | None, str | None] = {}
         for batch in batches:
             kinds, texts, sections = [], [], []

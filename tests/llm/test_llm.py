@@ -331,6 +331,24 @@ def test_paragraphs_follow_blank_lines_and_sense():
     assert scans.paragraphs(lines, [False, False, True, False, True]) == ["A first line that goes on and ends here.", "A second begins after a gap and is torn by a header."]
 
 
+def test_stray_and_missing_spaces_are_decoded_with_the_rest():
+    words = {"the": 9000, "of": 5000, "was": 900, "substrate": 400, "in": 4000, "stance": 60, "range": 300, "turned": 200, "trend": 300, "an": 800, "other": 700, "another": 100}
+    d = scans.Decoder(words, 3, 100_000)
+    read = lambda text: scans.examine(text, d, True)
+    assert read("the subs trate was turned") == ([], "the substrate was turned")
+    assert read("the range ofthe trend") == ([], "the range of the trend")
+    assert read("the subs tratc was turned") == (["chars"], "the substrate was turned")
+    assert read("the sub-\nstratc was turned") == (["chars", "hyphen"], "the substrate was turned")
+    assert scans.examine("the sub-\nstratc was turned", d, False) == (["chars", "hyphen"], None)
+    assert read("in another range an other trend") == ([], "in another range an other trend")
+    assert read("the Xanronema was turned") == ([], "the Xanronema was turned")
+
+
+def test_atoms_agree_with_the_confusions():
+    spell = lambda x: x.lower().translate(scans.ATOMS)
+    assert all(spell(k) == spell(x) for table in (scans.SIGNS, scans.LETTERS) for k, v in table.items() for x in v)
+
+
 def test_segmentation_splits_and_merges():
     d = scans.Decoder({"the": 900, "trend": 50, "holds": 50}, 3, 10_000)
     assert d.segment("thetrendholds", [0.0] * 14) == ["the", "trend", "holds"]
