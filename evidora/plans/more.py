@@ -50,6 +50,47 @@ def panel_axes(spark: SparkSession, d: str) -> DataFrame:
     return ev.unionByName(lx).unionByName(st).unionByName(ps).withColumn("observed", F.round("observed", 5))
 
 
+DEALS, POSITION_DEALS = 200, 8  # 8: max(8, DEALS / 25)
+
+
+def panel_null(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence, lexical and positions axes of every turn beside their mean
+    over re-deals: of documents for evidence, of claims for the others. Positions
+    aren't corrected by their null."""
+    turn, dealt = ["run", "turn"], ["perm", "run", "turn"]
+    claims = cut(panel._claims(spark, d).where("run is not null and turn is not null and seat is not null").select(*turn, "seat", "claim_id", F.explode(content_tokens(F.col("text"))).alias("term")).groupBy(*turn, "seat", "claim_id", "term").agg(F.count("*").alias("n")))
+    owners = panel._claims(spark, d).where("run is not null and turn is not null and seat is not null").select(*turn, "seat", "claim_id")
+    cited = cut(panel._cited(spark, d))
+
+    def terms(times: int) -> DataFrame:
+        new = ms.redeal(owners, turn, "seat", "claim_id", times)
+        return cut(new.join(claims.drop("seat"), [*turn, "claim_id"]).groupBy(*dealt, "seat", "term").agg(F.sum("n").alias("n")))
+
+    def evidence(sets: DataFrame, group: list[str]) -> DataFrame:
+        return ms.jaccard_pairs(sets, group, "seat", "doc_id").groupBy(*group).agg(F.avg("distance").alias("v"))
+
+    def lexical(counts: DataFrame, group: list[str]) -> DataFrame:
+        return ms.js_pairs(counts, group, "seat").groupBy(*group).agg(F.avg("divergence").alias("v"))
+
+    def positions(counts: DataFrame, group: list[str]) -> DataFrame:
+        w = cut(ms.tfidf(counts, group, "seat"))
+        v = ms.vendi(ms.cosine_pairs(w, group, "seat"), w, group, "seat")
+        return v.select(*group, F.when(F.col("m") > 1, (F.col("vs2") - 1) / (F.col("m") - 1)).otherwise(0.0).alias("v"), "m")
+
+    seen = claims.groupBy(*turn, "seat", "term").agg(F.sum("n").alias("n"))
+    axes = {
+        "evidence": (evidence(cited, turn), evidence(ms.redeal(cited, turn, "seat", "doc_id", DEALS), dealt)),
+        "lexical": (lexical(seen, turn), lexical(terms(DEALS), dealt)),
+        "positions": (positions(seen, turn).where("m > 1"), positions(terms(POSITION_DEALS), dealt)),
+    }
+    out = []
+    for axis, (observed, null) in axes.items():
+        both = observed.select(*turn, F.col("v").alias("observed")).join(null.groupBy(*turn).agg(F.avg("v").alias("null")), turn)
+        apart, saturates = (F.col("observed"), F.lit(True)) if axis == "positions" else (ms.separation(F.col("observed"), F.col("null")), F.col("null") < 0.95)
+        out.append(both.select(*turn, F.lit(axis).alias("axis"), F.round("observed", 5).alias("observed"), F.round("null", 5).alias("null_mean"), F.round(apart, 4).alias("separation"), saturates.alias("informative")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def citation_plan(spark: SparkSession, d: str) -> DataFrame:
     """Works to read for each seat: its topics' documents, and what claims that
     cite them cite besides."""
@@ -64,7 +105,7 @@ def document_ids(spark: SparkSession, d: str) -> DataFrame:
     return idn.disambiguated(m, "base", "doc_id").select("doc_id", "id", "name_key")
 
 
-QUERIES = {f.__name__: f for f in (out_of_scope, preflight, panel_axes, citation_plan, document_ids)}
+QUERIES = {f.__name__: f for f in (out_of_scope, preflight, panel_axes, panel_null, citation_plan, document_ids)}
 
 _PK = search._PACKET_SQL.replace("with ", "", 1)
 _CUR = "cur as (select * from docmeta where doc_id is not null qualify row_number() over (partition by doc_id order by seq desc) = 1)"
@@ -72,6 +113,36 @@ _PLAIN = f"trim(regexp_replace(translate(lower({{x}}), '{idn.FROM}', '{idn.TO}')
 _EV = panel.SQL["perm_null_evidence"]
 _P = _PLAIN.format
 
+
+def _dealt(name: str, items: str, item: str, times: int) -> str:
+    """CTE ``name``: the items as written (perm -1) and dealt anew."""
+    return f"""{name}_s as (select run, turn, seat, {item}, p as perm from {items} cross join range({times}) r(p)),
+{name}_m as (select *, row_number() over (partition by perm, run, turn order by md5(concat_ws('|', perm, run, turn, seat, {item})), seat, {item}) as slot from {name}_s),
+{name}_p as (select *, row_number() over (partition by perm, run, turn order by seat, {item}) as slot from {name}_s),
+{name} as (select distinct p.perm, run, turn, p.seat, m.{item} from {name}_p p join {name}_m m using (perm, run, turn, slot) union all select -1, run, turn, seat, {item} from {items})"""
+
+
+def _null_sql() -> str:
+    pair = "a.perm = b.perm and a.run = b.run and a.turn = b.turn and a.seat < b.seat left join {k} k on k.perm = a.perm and k.run = a.run and k.turn = a.turn and k.a = a.seat and k.b = b.seat"
+    same = "using (perm, run, turn, {x}) where x.seat < y.seat group by all"
+    return f"""with {_C}, owners as (select run, turn, seat, claim_id from claims where run is not null and turn is not null and seat is not null),
+refs as (select run, turn, seat, doc_id from cited where run is not null and turn is not null and seat is not null),
+ct as (select claim_id, term, count(*) as n from (select claim_id, unnest({content("text")}) as term from claims) group by 1, 2),
+{_dealt("de", "refs", "doc_id", DEALS)}, {_dealt("dc", "owners", "claim_id", DEALS)},
+es as (select perm, run, turn, seat, count(*) as n from de group by all), ek as (select perm, run, turn, x.seat as a, y.seat as b, count(*) as sh from de x join de y {same.format(x="doc_id")}),
+ev as (select a.perm, a.run, a.turn, avg(1 - coalesce(sh, 0) / (a.n + b.n - coalesce(sh, 0))) as v from es a join es b on {pair.format(k="ek")} group by 1, 2, 3),
+tt as (select perm, run, turn, seat, term, sum(n) as n from dc join ct using (claim_id) group by all), tp as (select *, n / sum(n) over (partition by perm, run, turn, seat) as p from tt), ts as (select distinct perm, run, turn, seat from tt),
+lk as (select perm, run, turn, x.seat as a, y.seat as b, sum(0.5 * x.p * log2(2 * x.p / (x.p + y.p)) + 0.5 * y.p * log2(2 * y.p / (x.p + y.p)) - 0.5 * x.p - 0.5 * y.p) as part from tp x join tp y {same.format(x="term")}),
+lx as (select a.perm, a.run, a.turn, avg(greatest(0, 1 + coalesce(part, 0))) as v from ts a join ts b on {pair.format(k="lk")} group by 1, 2, 3),
+pt as (select * from tt where perm < {POSITION_DEALS}), pn as (select perm, run, turn, count(distinct seat) as m from pt group by all), pd as (select perm, run, turn, term, count(*) as df from pt group by all),
+pr as (select pt.*, (1 + ln(n)) * (ln((1 + m) / (1 + df)) + 1) as w from pt join pn using (perm, run, turn) join pd using (perm, run, turn, term)), pw as (select *, w / sqrt(sum(w * w) over (partition by perm, run, turn, seat)) as u from pr),
+pk as (select perm, run, turn, x.seat as a, y.seat as b, sum(x.u * y.u) as c from pw x join pw y {same.format(x="term")}), pq as (select perm, run, turn, sum(c * c) as sq from pk group by all),
+ps as (select perm, run, turn, case when m > 1 then (m * m / (m + 2 * coalesce(sq, 0)) - 1) / (m - 1) else 0 end as v from pn left join pq using (perm, run, turn) where m > 1 or perm >= 0),
+every as (select 'evidence' as axis, * from ev union all select 'lexical', * from lx union all select 'positions', * from ps),
+o as (select axis, run, turn, v as observed from every where perm = -1), z as (select axis, run, turn, avg(v) as nul from every where perm >= 0 group by all)
+select run, turn, axis, round(observed, 5) as observed, round(nul, 5) as null_mean,
+round(case when axis = 'positions' then observed when nul >= 1 then 0 else least(1, greatest(0, (observed - nul) / (1 - nul))) end, 4) as separation, axis = 'positions' or nul < 0.95 as informative from o join z using (axis, run, turn)"""
+
 SQL = {
     "out_of_scope": f"with {_PK}, {_C}, ho as (select distinct name, doc_id from packet join psg using (passage_seq)) select claim_id, cit_no, seat, doc_id from cits c where doc_id is not null and seat is not null and not exists (select 1 from ho where ho.name = c.seat and ho.doc_id = c.doc_id)",
     "preflight": f"""with {_PK}, ho as (select distinct name as seat, doc_id from packet join psg using (passage_seq)), hs as (select seat, count(*) as n from ho group by 1),
@@ -89,6 +160,7 @@ select run, turn, 'evidence' as axis, round(observed, 5) as observed from ({_EV}
 select a.run, a.turn, 'lexical', round(avg(greatest(0, 1 + coalesce(part, 0))), 5) from tm a join tm b on a.run = b.run and a.turn = b.turn and a.seat < b.seat left join jk on jk.run = a.run and jk.turn = a.turn and jk.a = a.seat and jk.b = b.seat group by 1, 2 union all
 select run, turn, 'stance', round(avg(case when declared['confidence'] <> 'high' then 1.0 else 0.0 end), 5) from claims where run is not null and turn is not null and declared['confidence'] is not null group by 1, 2 union all
 select run, turn, 'positions', round((m * m / (m + 2 * coalesce(sq, 0)) - 1) / (m - 1), 5) from vm left join vs using (run, turn) where m > 1""",
+    "panel_null": _null_sql(),
     "citation_plan": f"""with {_C}, own as (select distinct s.name as seat, d.doc_id as work from (select name, unnest(own_topics) as t from seats) s join (select doc_id, unnest(topics) as t from docs) d using (t)),
 e as (select distinct a.doc_id as src, b.doc_id as dst from cits a join cits b using (claim_id) where a.cit_no = 0 and b.cit_no > 0 and a.doc_id <> b.doc_id),
 wt as (select dst as work, count(*) as n from e group by 1),

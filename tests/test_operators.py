@@ -153,6 +153,15 @@ def test_redeal_keeps_sizes_at_most(spark):
     assert all(r["count"] <= {"a": 3, "b": 1, "c": 2}[r["seat"]] for r in out) and len({r["perm"] for r in out}) == 5
 
 
+def test_panel_null_deals_claims_and_documents_200_times(spark):
+    from evidora.plans import more, registry
+
+    assert more.DEALS == 200 and more.POSITION_DEALS == max(8, more.DEALS // 25)
+    out = registry.QUERIES["panel_null"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["axis"] for r in out} == {"evidence", "lexical", "positions"}
+    assert all(r["separation"] == round(r["observed"], 4) and r["informative"] for r in out if r["axis"] == "positions")
+
+
 def test_monitor_fires_resets_and_skips_nulls(spark):
     rows = [("p", t, x) for t, x in enumerate([0.5, None, 0.4, 0.2, 0.0])] + [("q", 0, 1.0)]
     out = {r["run"]: r for r in ms.monitor(spark.createDataFrame(rows, "run string, turn int, x double"), "run", "turn", "x").collect()}
