@@ -13,16 +13,20 @@ from evidora.sources.tables import table
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Passages over 3000 characters, by the boundary at which they are cut."""
     from evidora.llm.pieces import split_items
+    from evidora.llm.sentences import corpus_rules
 
-    pieces = split_items(table(spark, d, "passages"), size=3000, overlap=200, only_oversized=True)
+    passages = table(spark, d, "passages")
+    pieces = split_items(passages, size=3000, overlap=200, rules=corpus_rules(passages), only_oversized=True)
     return pieces.select("passage_seq", F.col("level").alias("boundary")).distinct()
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     """All passages in pieces of at most 3000 characters."""
     from evidora.llm.pieces import split_items
+    from evidora.llm.sentences import corpus_rules
 
-    return split_items(table(spark, d, "passages"), size=3000, overlap=200).select("passage_seq", "section", "piece", "start_char", "end_char", "boundary", "text")
+    passages = table(spark, d, "passages")
+    return split_items(passages, size=3000, overlap=200, rules=corpus_rules(passages)).select("passage_seq", "section", "piece", "start_char", "end_char", "boundary", "text")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

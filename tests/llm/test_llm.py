@@ -278,6 +278,17 @@ def test_entities_of_nothing(spark):
     assert names.entities(frame(spark, [], "name string")).count() == 0
 
 
+def test_oversized_items_are_cut_under_the_corpus_rules(spark, tmp_path):
+    from evidora.llm import queries
+
+    few = [(i, "We saw that the Abteil. was closed and the Abteil. Keller was open. The bank was dry.", "Methods") for i in range(100)]
+    parts = " ".join(["the shoots of the Abteil. Keller were watered and turned and surveyed again with the same care by"] * 45)
+    long = [(1000, f"We saw {parts} hand.", "Methods")]
+    frame(spark, few + long, "passage_seq bigint, text string, section string").write.parquet(f"{tmp_path}/passages.parquet")
+    assert [tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()] == [(1000, "word")]
+    assert {r["boundary"] for r in queries.p2_pieces(spark, str(tmp_path)).where("passage_seq = 1000 and piece > 0").collect()} == {"word"}
+
+
 # 1 scans
 
 
