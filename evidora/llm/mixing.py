@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import math
 import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR = os.environ.get("EVIDORA_TOKENIZERS", "/opt/tokenizers")
@@ -51,69 +52,72 @@ def _encoder(file: str):
 
 
 def plan(sizes: dict[str, int], targets: Iterable[tuple[str, float, int]], total: int | None = None) -> list[dict]:
-    """What each targeted source contributes to a mix of ``total`` tokens (by
-    default all targeted text): its share of the total, or what its capped
+    """What each targeted source is to contribute to a mix of ``total`` tokens
+    (by default all targeted text): its share of the total, or what its capped
     passes allow where that is less. Shares are taken relative to their sum."""
     rows = sorted({(s, float(w or 0), int(p or 0)) for s, w, p in targets if s is not None})
     whole = sum(w for _, w, _ in rows) or 1.0
     total = sum(sizes.get(s, 0) for s, _, _ in rows) if total is None else total
     out = []
     for s, w, p in rows:
-        share = w / whole if abs(whole - 1) > 1e-9 else w
-        wanted, available = share * total, sizes.get(s, 0) * p
-        out.append({"source": s, "target_share": w, "max_passes": p, "size": sizes.get(s, 0), "wanted": wanted, "available": available, "contributed": int(min(round(wanted), available)), "short": available < wanted})
-    mixed = sum(r["contributed"] for r in out) or 1
-    for r in out:
-        r["actual_share"] = r["contributed"] / mixed
+        wanted, available = (w / whole if abs(whole - 1) > 1e-9 else w) * total, sizes.get(s, 0) * p
+        out.append({"source": s, "target_share": w, "max_passes": p, "size": sizes.get(s, 0), "wanted": wanted, "contributed": int(min(math.ceil(wanted), available))})
     return out
 
 
-def schedule(blocks: dict[str, int]) -> list[tuple[int, str, int]]:
+def schedule(blocks: dict[str, int]) -> Iterator[tuple[int, str, int]]:
     """(slot, source, block number): one block a slot, each source's blocks in
-    the windows that its weight gives them, earliest deadline first."""
-    slots = sum(blocks.values())
-    waiting = []
-    for s, n in blocks.items():
-        waiting += [(j * slots // n, -(-(j + 1) * slots // n), s, j) for j in range(n)]
-    waiting.sort()
+    the windows that its weight gives them, earliest deadline first. Holds one
+    window a source: the next one is made when its block is placed."""
+    total = sum(blocks.values())
+
+    def window(s: str, j: int) -> tuple[int, int, str, int]:
+        return j * total // blocks[s], -(-(j + 1) * total // blocks[s]), s, j
+
+    waiting = [window(s, 0) for s, n in blocks.items() if n]
+    heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out, k = [], 0
-    for slot in range(slots):
-        while k < len(waiting) and waiting[k][0] <= slot:
-            _, due, s, j = waiting[k]
+    for slot in range(total):
+        while waiting and waiting[0][0] <= slot:
+            _, due, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, j))
-            k += 1
         _, s, j = heapq.heappop(ready)
-        out.append((slot, s, j))
-    return out
+        yield slot, s, j
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, window(s, j + 1))
 
 
 def source_sizes(counted: DataFrame, source: str = "source", tokens: str = "tokens") -> DataFrame:
     return counted.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("source")).agg(F.sum(tokens).alias("size"), F.count("*").alias("n"))
 
 
-MIX_FIELDS = "source string, target_share double, max_passes int, size bigint, wanted double, available bigint, contributed bigint, actual_share double, short boolean"
+def _plan_of(counted: DataFrame, targets: DataFrame, total: int | None) -> tuple[list[dict], int]:
+    """The plan, and the number of records of the largest source. Targets are a
+    stated table of mixing weights, one row each, taken to the driver."""
+    wanted = targets.select("source", "target_share", "max_passes").distinct()
+    sized = source_sizes(counted).join(wanted.select("source").distinct(), "source", "left_semi").collect()
+    return plan({r["source"]: int(r["size"] or 0) for r in sized}, [tuple(r) for r in wanted.collect()], total), max([r["n"] for r in sized], default=0)
 
 
-def shares(counted: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """One row a targeted source: its target, size, what it contributes, its
-    actual share, and whether it falls short of its target even at its capped
-    passes. A target without text counts as size 0. Targets are a stated table
-    of mixing weights, one row each, taken to the driver."""
-    rows = _plan_of(counted, targets, total)
-    fields = [f.split()[0] for f in MIX_FIELDS.split(", ")]
-    return counted.sparkSession.createDataFrame([tuple(r[f] for f in fields) for r in rows], MIX_FIELDS)
+def slots(spark: SparkSession, blocks: dict[str, int]) -> DataFrame:
+    """:func:`schedule` as rows (slot, source, block), made by one task that
+    holds the window of one block a source."""
+    spec, schema = "slot bigint, source string, block bigint", pa.schema([("slot", pa.int64()), ("source", pa.string()), ("block", pa.int64())])
 
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            order = schedule(blocks)
+            while part := list(itertools.islice(order, 65_536)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*part), schema)], schema=schema)
 
-def _plan_of(counted: DataFrame, targets: DataFrame, total: int | None) -> list[dict]:
-    wanted = targets.select("source", "target_share", "max_passes").distinct()
-    sized = source_sizes(counted).join(wanted.select("source").distinct(), "source", "left_semi").collect()
-    return plan({r["source"]: int(r["size"] or 0) for r in sized}, [tuple(r) for r in wanted.collect()], total)
+    return spark.range(0, 1, 1, 1).mapInArrow(work, spec)
 
 
-def mix(counted: DataFrame, targets: DataFrame, key: str = "doc_id", total: int | None = None, slots: int = 2048, buckets: int = 1024) -> DataFrame:
+def mix(counted: DataFrame, targets: DataFrame, key: str = "doc_id", total: int | None = None, block: int = 65_536) -> DataFrame:
     """The mix: rows (key, source, pass, slot, tokens), ``slot`` being the
-    place in the interleaved order of about ``slots`` blocks.
+    place in the interleaved order of blocks of ``block`` tokens, so that up to
+    any slot each source is less than ``block`` tokens (and the record that
+    crosses a block's end) from its share.
 
     Records of a source are laid end to end in an order that their hash gives,
     by prefix sums in two levels, so that no source is sorted in one task; a
@@ -121,11 +125,11 @@ def mix(counted: DataFrame, targets: DataFrame, key: str = "doc_id", total: int
     to the block in which it starts. Records with null source, sources without
     a target, and empty texts are left out.
     """
-    rows = [r for r in _plan_of(counted, targets, total) if r["contributed"] > 0]
+    planned, most = _plan_of(counted, targets, total)
+    rows = [r for r in planned if r["contributed"] > 0]
     spark = counted.sparkSession
-    size = max(1, math.ceil(sum(r["contributed"] for r in rows) / slots)) if rows else 1
-    order = schedule({r["source"]: -(-r["contributed"] // size) for r in rows})
-    placed = F.broadcast(spark.createDataFrame(order, "slot int, source string, block int"))
+    buckets = max(16, -(-most // 250_000))
+    placed = slots(spark, {r["source"]: -(-r["contributed"] // block) for r in rows})
     quota = F.broadcast(spark.createDataFrame([(r["source"], r["contributed"], r["size"], -(-r["contributed"] // r["size"])) for r in rows], "source string, contributed bigint, size bigint, passes bigint"))
     base = counted.where(F.col("tokens") > 0).select(key, "source", "tokens").join(quota, "source")
     base = base.withColumn("bucket", F.pmod(F.xxhash64(key, "source"), F.lit(buckets)))
@@ -135,5 +139,19 @@ def mix(counted: DataFrame, targets: DataFrame, key: str = "doc_id", total: int
     laid = base.withColumn("own", F.coalesce(F.sum("tokens").over(inner), F.lit(0))).join(before, ["source", "bucket"])
     each = laid.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - 1)))
     at = F.col("pass") * F.col("size") + F.col("before") + F.col("own")
-    each = each.withColumn("at", at).where(F.col("at") < F.col("contributed")).withColumn("block", F.floor(F.col("at") / size).cast("int"))
+    each = each.withColumn("at", at).where(F.col("at") < F.col("contributed")).withColumn("block", F.floor(F.col("at") / block))
     return each.join(placed, ["source", "block"]).select(key, "source", "pass", "slot", "tokens")
+
+
+def shares(counted: DataFrame, targets: DataFrame, total: int | None = None, block: int = 65_536) -> DataFrame:
+    """One row a targeted source: its target, its size, the tokens wanted of
+    it, and, measured on the rows of :func:`mix`, the tokens and passes that it
+    contributes, its actual share of the mix, and whether the mix holds less of
+    it than wanted. A target without text counts as size 0."""
+    planned, _ = _plan_of(counted, targets, total)
+    asked = counted.sparkSession.createDataFrame([(r["source"], r["target_share"], r["max_passes"], r["size"], r["wanted"]) for r in planned], "source string, target_share double, max_passes int, size bigint, wanted double")
+    mixed = mix(counted, targets, "doc_id", total, block).groupBy("source").agg(F.sum("tokens").alias("contributed"), (F.max("pass") + 1).alias("passes"))
+    got = F.coalesce("contributed", F.lit(0))
+    out = asked.join(mixed, "source", "left").withColumn("whole", F.sum(got).over(Window.partitionBy(F.lit(0))))
+    actual = F.when(F.col("whole") > 0, got / F.col("whole")).otherwise(0.0)
+    return out.select("source", "target_share", "max_passes", "size", "wanted", got.alias("contributed"), F.coalesce("passes", F.lit(0)).alias("passes"), actual.alias("actual_share"), (got < F.col("wanted")).alias("short"))

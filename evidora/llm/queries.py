@@ -104,12 +104,17 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return contained_items(table(spark, d, "documents"), table(spark, d, "eval_items"), size=13)
 
 
+MIX_BLOCK = 4096  # tokens
+
+
 def _counted(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, tokens) of the targeted text, tokenized once."""
     from evidora.llm.mixing import token_counts
+    from evidora.session import cut
 
     targets = table(spark, d, "mix_targets").select("source").distinct()
     wanted = table(spark, d, "documents").select("doc_id", "source", "text").join(targets, "source", "left_semi")
-    return token_counts(wanted).select("doc_id", "source", "tokens")
+    return cut(token_counts(wanted).select("doc_id", "source", "tokens"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -118,18 +123,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and actual share of each source of the mix."""
+    """Target and actual share of each source, measured on the rows of the mix."""
     from evidora.llm.mixing import shares
 
-    return shares(_counted(spark, d), table(spark, d, "mix_targets"))
+    return shares(_counted(spark, d), table(spark, d, "mix_targets"), block=MIX_BLOCK)
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """The mixed documents by slot and pass."""
     from evidora.llm.mixing import mix
-    from evidora.session import cut
 
-    return mix(cut(_counted(spark, d)), table(spark, d, "mix_targets"))
+    return mix(_counted(spark, d), table(spark, d, "mix_targets"), block=MIX_BLOCK)
 
 
 QUERIES |= {"p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_shares": p7_shares, "p7_mix": p7_mix}
