@@ -45,33 +45,19 @@ def _units(text: str, cuts: list[int]) -> Iterator[tuple[int, int]]:
     return zip(edges, edges[1:])
 
 
-def _longest(text: str, cuts: list[int]) -> int:
-    """Length of the longest unit, without the white space around it."""
-    return max((len(text[a:b].strip()) for a, b in _units(text, cuts)), default=0)
-
-
-def coarsest_level(text: str, size: int, splitter: Splitter) -> str:
-    """The coarsest of paragraph, sentence, word at which every unit fits
-    ``size`` characters; ``none`` if a single word doesn't."""
-    if _longest(text, _paragraph_cuts(text)) <= size:
-        return "paragraph"
-    if _longest(text, _sentence_cuts(text, splitter)) <= size:
-        return "sentence"
-    return "word" if _longest(text, _word_cuts(text)) <= size else "none"
-
-
-def atoms(text: str, most: int, splitter: Splitter) -> list[tuple[int, int]]:
+def atoms(text: str, size: int, overlap: int, splitter: Splitter) -> list[tuple[int, int]]:
     """Atomic segments as (start, strength of the boundary at start). Only the
-    units that exceed ``most`` are cut at the next finer level."""
+    units that exceed ``size``, without white space around them, are cut at the
+    next finer level; a word that does is cut so that the overlap fits too."""
     out: list[tuple[int, int]] = []
 
     def cut(a: int, b: int, level: int, strength: int) -> None:
-        if b - a <= most:
+        piece = text[a:b]
+        if len(piece.strip()) <= size:
             out.append((a, strength))
             return
-        piece = text[a:b]
         if level == 0:
-            for k in range(a, b, most):
+            for k in range(a, b, size - overlap):
                 out.append((k, strength if k == a else 0))
             return
         cuts = _paragraph_cuts(piece) if level == 3 else _sentence_cuts(piece, splitter) if level == 2 else _word_cuts(piece)
@@ -120,21 +106,30 @@ def merge(starts: list[tuple[int, int]], end: int, size: int, overlap: int) -> l
 
 def cut_text(text: str, size: int, overlap: int, splitter: Splitter) -> list[tuple[int, int, int]]:
     """Pieces of a text as (start, end, strength of the boundary at start).
-    ``start`` lies ``overlap`` characters before the end of the piece before.
-    No piece is longer than ``size``; without their overlaps the pieces are the
-    text. A text within ``size`` is one piece."""
+    ``start`` lies ``overlap`` characters before the end of the piece before;
+    less where a unit that fits ``size`` leaves no room for so many. No piece is
+    longer than ``size``; without their overlaps the pieces are the text, but
+    for white space at an end that wouldn't fit. A text within ``size`` is one
+    piece."""
     if len(text) <= size:
         return [(0, len(text), 3)]
-    found = atoms(text, size - overlap, splitter)
+    found = atoms(text, size, overlap, splitter)
     strength = dict(found)
-    return [(max(0, a - overlap) if a else 0, b, strength[a]) for a, b in merge(found, len(text), size, overlap)]
+    out = []
+    for a, b in merge(found, len(text), size, overlap):
+        kind = strength[a]
+        while b - a > size and text[a].isspace():
+            a += 1
+        b = min(b, a + size)  # what lies beyond is white space
+        out.append((max(0, a - overlap, b - size) if a else 0, b, kind))
+    return out
 
 
 def split_items(items: DataFrame, key: str = "passage_seq", text: str = "text", keep: tuple[str, ...] = ("section",), size: int = 3000, overlap: int = 200, rules: dict | None = None, only_oversized: bool = False) -> DataFrame:
     """Pieces of every item: key, ``keep`` columns, ``piece`` (from 0),
     ``start_char``, ``end_char``, ``boundary`` (kind of the boundary at the
-    start), ``level`` (the coarsest level at which all units of the item fit)
-    and ``text``.
+    start), ``level`` (the finest boundary between the item's pieces, which is
+    the coarsest level at which all its units fit) and ``text``.
 
     An item within ``size`` is one piece. Null texts give no row, an empty text
     one empty piece. Repeated rows repeat their pieces. ``only_oversized``
@@ -152,8 +147,9 @@ def split_items(items: DataFrame, key: str = "passage_seq", text: str = "text",
         for batch in batches:
             rows, texts, piece, starts, ends, bounds, levels = [], [], [], [], [], [], []
             for row, t in enumerate(batch.column(1).to_pylist()):
-                level = coarsest_level(t, size, splitter) if len(t) > size else "paragraph"
-                for n, (a, b, s) in enumerate(cut_text(t, size, overlap, splitter)):
+                cuts = cut_text(t, size, overlap, splitter)
+                level = LEVELS[min(s for _, _, s in cuts)]
+                for n, (a, b, s) in enumerate(cuts):
                     rows.append(row)
                     texts.append(t[a:b])
                     piece.append(n)
