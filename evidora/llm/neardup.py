@@ -12,9 +12,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidora.llm.sketch import Bits, bitmap
 from evidora.operators.graph import class_pairs, components
 from evidora.session import cut
 
@@ -100,10 +101,13 @@ class Signer:
         return h ^ (h >> np.uint64(29))
 
 
-def band_rows(texts: DataFrame, n: int, unit: str, bands: int, rows: int) -> DataFrame:
+def band_rows(texts: DataFrame, n: int, unit: str, bands: int, rows: int, hot: dict[int, int] | None = None) -> DataFrame:
     """(h, tid) for every band of every text of (tid, text). A task signs each
-    text once, so copies don't multiply before the shuffle."""
+    text once, so copies don't multiply before the shuffle. Rows of the ``hot``
+    buckets have their sides changed, (tid, h), so that a later shuffle on the
+    first column spreads them."""
     schema = pa.schema([("h", pa.int64()), ("tid", pa.int64())])
+    spread = np.sort(np.array(list(hot or ()), np.int64))
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(n, unit, bands, rows)
@@ -122,23 +126,52 @@ def band_rows(texts: DataFrame, n: int, unit: str, bands: int, rows: int) -> Dat
                         ids.append(tid)
                         marks.append(h)
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), bands))], schema=schema)
+                    h, t = np.concatenate(marks).view(np.int64), np.repeat(np.array(ids, np.int64), bands)
+                    if len(spread):
+                        swap = np.isin(h, spread)
+                        h, t = np.where(swap, t, h), np.where(swap, h, t)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(t)], schema=schema)
 
     return texts.select("tid", "text").mapInArrow(sign, "h bigint, tid bigint")
 
 
-def bucket_pairs(banded: DataFrame, all_pairs_up_to: int = 64) -> DataFrame:
+def hot_buckets(texts: DataFrame, n: int, unit: str, bands: int, rows: int, one_in: int = 64, share: float = 1e-3) -> dict[int, int]:
+    """(bucket -> a text of it) for the buckets that a 64th of the texts shows
+    to hold ``share`` of them all: at most ``bands / share``. It only decides
+    which rows aren't brought together by bucket; the pairs are the same."""
+    some = texts.where(F.pmod(F.xxhash64("tid", F.lit(3)), F.lit(one_in)) == 0)
+    banded = band_rows(some, n, unit, bands, rows).groupBy("h").agg(F.count_distinct("tid").alias("c"), F.min("tid").alias("first"))
+    least = max(16, share * some.count())
+    return {r["h"]: r["first"] for r in banded.where(F.col("c") >= least).collect()}
+
+
+def bucket_pairs(banded: DataFrame, all_pairs_up_to: int = 64, spread: dict[int, int] | None = None) -> DataFrame:
     """Candidate pairs (x, y, hot) of the texts in a band bucket. A bucket of
     fewer than ``all_pairs_up_to`` texts gives all its pairs; a larger one also
     pairs every text with its first one, as ``hot`` pairs with the bucket's
-    ``h``: :func:`links` compares what doesn't match it with the whole bucket. Buckets stream through in order, none is held at once."""
+    ``h``: :func:`links` sees to what doesn't match it. Buckets stream through
+    in order, none is held at once; rows of the ``spread`` buckets come as
+    (text, bucket) and are paired with the text named there wherever they are."""
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("hot", pa.int64())])
+    spread = spread or {}
+    far = np.sort(np.array(list(spread), np.int64))
+    leader = np.array([spread[int(h)] for h in far], np.int64)
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members, last = None, [], None
         for batch in batches:
             h = batch.column(0).to_numpy()
             t = batch.column(1).to_numpy()
+            if len(far):
+                out = np.isin(t, far)
+                if out.any():
+                    bucket, one = t[out], h[out]
+                    first = leader[np.searchsorted(far, bucket)]
+                    differ = first != one
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, one)[differ]), pa.array(np.maximum(first, one)[differ]), pa.array(bucket[differ])], schema=schema)
+                    h, t = h[~out], t[~out]
+                    if not len(h):
+                        continue
             xs, ys, hots = [], [], []
             # Rows alone in their bucket within the batch can't form a pair,
             # but for the first and the last.
@@ -179,23 +212,41 @@ BLOOM_BITS = 1 << 26
 
 def _among(ids: DataFrame, column: str):
     """A condition that holds for all of ``ids`` and for few others: a bitmap of
-    :data:`BLOOM_BITS` hash places, 8 MB whatever the number of ids. It only
+    :data:`BLOOM_BITS` places, 8 MB whatever the number of ids. It only
     spares the shuffle texts that are in no pair; the join decides."""
-    place = F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(BLOOM_BITS))
-    words = ids.select(place.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    bitmap = np.zeros(BLOOM_BITS // 64, np.int64)
-    rows = words.toPandas()
-    bitmap[rows["k"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    sent = ids.sparkSession.sparkContext.broadcast(bitmap)
+    place = F.xxhash64(F.col(column), F.lit(7))
+    bits = bitmap(ids.select(place.alias("at")), BLOOM_BITS)
+    sent = ids.sparkSession.sparkContext.broadcast((bits.bits, bits.words))
 
     @F.arrow_udf("boolean")
     def held(at: pa.Array) -> pa.Array:
-        k = at.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array((sent.value[k >> 6] >> (k & 63)) & 1 == 1)
+        return pa.array(Bits(*sent.value).held(at.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
 
     return held(place)
 
 
+def _narrowed(rest: DataFrame, members: DataFrame, texts: DataFrame, n: int, unit: str, threshold: float) -> DataFrame:
+    """Smaller buckets (h, tid) in which every pair of similar texts of a bucket
+    (h, tid) meets of which one is in ``rest``. Within a bucket the grams are
+    ordered by how many of its texts hold them; two sets of that similarity
+    share one of their ``size - ceil(threshold * size) + 1`` rarest grams, so
+    what the bucket's texts have in common, and met by, is in few prefixes."""
+    signer = Signer(n, unit, 1, 1)
+
+    @F.arrow_udf("array<int>")
+    def hashes(column: pa.Array) -> pa.Array:
+        with np.errstate(over="ignore"):
+            return pa.array([np.unique(signer.hashes(t)).view(np.int32) for t in column.to_pylist()], pa.list_(pa.int32()))
+
+    held = texts.where(_among(members, "tid")).join(members.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    each = members.join(held.select("tid", hashes("text").alias("gs")), "tid").select("h", "tid", F.size("gs").alias("size"), F.explode("gs").alias("g"))
+    df = each.groupBy("h", "g").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("h", "tid").orderBy("df", "g"))
+    prefix = each.join(df, ["h", "g"]).withColumn("r", rank).where(F.col("r") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).select("h", "g", "tid")
+    wanted = prefix.join(rest.select("h", F.col("one").alias("tid")), ["h", "tid"], "left_semi").select("h", "g").distinct()
+    return prefix.join(wanted, ["h", "g"], "left_semi").select(F.xxhash64("h", "g").alias("h"), "tid")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, unit: str, threshold: float) -> DataFrame:
     """The pairs (x, y) whose texts' n-gram sets have at least the Jaccard
     similarity ``threshold``, with it."""
@@ -215,27 +266,41 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, unit: str, threshold: f
     return joined.select("x", "y", jaccard("p", "q").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def links(texts: DataFrame, n: int, unit: str, threshold: float, recall: float, most_bands: int = 50) -> DataFrame:
+def links(texts: DataFrame, n: int, unit: str, threshold: float, recall: float, most_bands: int = 50, most_rounds: int = 8) -> DataFrame:
     """Verified links (x, y, similarity) between different texts of (tid, text).
 
-    All links of buckets of fewer than 64 texts; of a larger bucket the links
-    of the first 64, of every text to the bucket's first, and all links of those that don't match that
-    one, so that the chained classes are the same as with all links.
+    All links of buckets of fewer than 64 texts. Of a larger bucket the links
+    of every text to one of its texts; those that don't match that one meet
+    the others in the smaller buckets of :func:`_narrowed`, round by round, so
+    that the chained classes are the same as with all links while unlike texts
+    aren't paired off. What is left after ``most_rounds`` meets its whole bucket.
     """
     bands, rows = choose_bands(threshold, recall, most_bands)
-    banded = band_rows(texts, n, unit, bands, rows)
-    found = cut(bucket_pairs(banded).distinct())
-    plain = found.select("x", "y").distinct()
-    good = cut(verified(plain, texts, n, unit, threshold))
-    hot = found.where("hot is not null")
-    if hot.isEmpty():
-        return good
-    rest = hot.join(good, ["x", "y"], "left_anti").select(F.col("hot").alias("h"), F.col("y").alias("one")).distinct()
-    bucket = hot.select(F.col("hot").alias("h"), "x", "y")
-    members = bucket.select("h", F.col("x").alias("tid")).union(bucket.select("h", F.col("y").alias("tid"))).distinct()
-    more = rest.join(members, "h").where("one <> tid").select(F.least("one", "tid").alias("x"), F.greatest("one", "tid").alias("y")).distinct()
-    more = more.join(plain, ["x", "y"], "left_anti")
-    return cut(good.unionByName(verified(more, texts, n, unit, threshold)))
+    spread = hot_buckets(texts, n, unit, bands, rows)
+    found = cut(bucket_pairs(band_rows(texts, n, unit, bands, rows, spread), spread=spread).distinct())
+    known = found.select("x", "y").distinct()
+    good = cut(verified(known, texts, n, unit, threshold))
+    for turn in range(most_rounds + 1):
+        hot = found.where("hot is not null").select(F.col("hot").alias("h"), "x", "y")
+        if hot.isEmpty():
+            return good
+        # The text that a bucket's others are compared with is in all its pairs.
+        first = hot.groupBy("h").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+        lead = F.when(F.col("x0") == F.col("x1"), F.col("x0")).otherwise(F.when(F.col("y0") == F.col("y1"), F.col("y0")))
+        one = F.when(F.col("x") == F.col("lead"), F.col("y")).when(F.col("y") == F.col("lead"), F.col("x"))
+        sides = hot.join(good.select("x", "y"), ["x", "y"], "left_anti").join(first.select("h", lead.alias("lead")), "h")
+        rest = cut(sides.select("h", F.explode(F.when(one.isNotNull(), F.array(one)).otherwise(F.array("x", "y"))).alias("one")).distinct())
+        if rest.isEmpty():
+            return good
+        members = hot.select("h", F.col("x").alias("tid")).union(hot.select("h", F.col("y").alias("tid"))).distinct().join(rest.select("h").distinct(), "h", "left_semi")
+        if turn < most_rounds:
+            found = cut(bucket_pairs(_narrowed(rest, members, texts, n, unit, threshold)).distinct())
+        else:
+            found = rest.join(members, "h").where("one <> tid").select(F.least("one", "tid").alias("x"), F.greatest("one", "tid").alias("y"), F.lit(None).cast("bigint").alias("hot")).distinct()
+        new = cut(found.select("x", "y").distinct().join(known, ["x", "y"], "left_anti"))
+        known = known.unionByName(new)
+        good = cut(good.unionByName(verified(new, texts, n, unit, threshold)))
+    return good
 
 
 def near_duplicates(records: DataFrame, key: str, text: str, n: int = 5, unit: str = "word", threshold: float = 0.8, recall: float = 0.98) -> tuple[DataFrame, DataFrame, DataFrame]:
