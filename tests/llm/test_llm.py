@@ -75,11 +75,19 @@ def test_pieces_round_trip(seed):
     cuts = pieces.cut_text(text, 300, 40, sp)
     assert all(b - a <= 300 for a, b, _ in cuts)
     assert cuts[0][0] == 0 and cuts[-1][1] == len(text)
-    assert all(y[0] == x[1] - 40 for x, y in zip(cuts, cuts[1:]))
+    assert all(y[0] == max(x[1] - 40, y[1] - 300) for x, y in zip(cuts, cuts[1:]))
     # No two neighbours could still be merged.
     assert all(y[1] - x[0] > 300 for x, y in zip(cuts, cuts[1:]))
 
 
+def test_level_is_that_of_the_cuts(spark):
+    """A paragraph between the limit and the limit less the overlap stays whole."""
+    text = "Intro.\n\n" + ("Aa bb cc. " * 289).strip() + "\n\n" + "Tail words here. " * 78
+    df = frame(spark, [(1, text.strip(), "s")], "passage_seq bigint, text string, section string")
+    out = pieces.split_items(df).orderBy("piece").collect()
+    assert {r["level"] for r in out} == {"paragraph"} and {r["boundary"] for r in out} == {"paragraph"} and all(len(r["text"]) <= 3000 for r in out)
+
+
 def test_piece_levels(spark):
     para = ("Aa bb. " * 100).strip()
     rows = [(1, "\n\n".join([para] * 6)), (2, "Aa bb cc. " * 400), (3, "aa bb " * 600), (4, "y" * 5000), (5, "short"), (6, None), (7, ""), (8, "z" * 100_000)]
@@ -167,6 +175,33 @@ def test_hot_bucket_keeps_classes(spark):
     assert {r["key_b"] for r in pairs.where("key_a = 'v000'").collect()} == {f"v{i:03}" for i in range(1, 150)}
 
 
+def test_unlike_texts_of_a_hot_bucket_are_not_paired_off(spark, monkeypatch):
+    """300 texts in one bucket, in 100 groups of 3: the groups are found, far
+    fewer than all 44,850 pairs are verified."""
+    rnd = random.Random(5)
+    texts, groups = {}, {}
+    for g in range(100):
+        own = [f"g{g}x{rnd.randrange(10**6)}" for _ in range(40)]
+        for v in range(3):
+            texts[g * 3 + v], groups[g * 3 + v] = " ".join(["the common head of all", *own, f"v{v}"]), g
+    df = frame(spark, list(texts.items()), "tid bigint, text string")
+    monkeypatch.setattr(neardup, "band_rows", lambda t, n, unit, bands, rows, hot=None: t.select(F.lit(7).cast("bigint").alias("h"), "tid"))
+    monkeypatch.setattr(neardup, "hot_buckets", lambda *a: {})
+    compared = []
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *a, real=neardup.verified: compared.append(pairs.count()) or real(pairs, *a))
+    found = {(r["x"], r["y"]) for r in neardup.links(df, 3, "word", 0.6, 0.98).collect()}
+    for a in texts:
+        assert all((min(a, b), max(a, b)) in found for b in texts if a != b and groups[a] == groups[b])
+    assert sum(compared) < 12_000
+
+
+def test_spread_buckets_keep_classes(spark, monkeypatch):
+    rows = [(f"v{i:03}", " ".join([*(f"w{j}" for j in range(50)), f"x{i}"])) for i in range(150)]
+    monkeypatch.setattr(neardup, "hot_buckets", lambda t, n, unit, bands, rows, real=neardup.hot_buckets: real(t, n, unit, bands, rows, 1))
+    members, found, classes = neardup.near_duplicates(frame(spark, rows, "k string, t string"), "k", "t", 3, "word", 0.6)
+    assert classes.select("root").distinct().count() == 1 and classes.count() == 150
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.linked_pairs(*neardup.near_duplicates(frame(spark, [], "k string, t string"), "k", "t")).count() == 0
 
@@ -204,13 +239,31 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.contained_items(frame(spark, [], "doc_id bigint, text string"), frame(spark, items, "item_id bigint, text string")).count() == 0
 
 
+def test_leaks_report_what_is_too_short(spark):
+    items = frame(spark, [(1, "a b c"), (2, None), (3, " ".join("abcdefghijklm")), (4, "")], "item_id bigint, text string")
+    assert sorted(tuple(r) for r in leaks.too_short(items).collect()) == [(1, 3), (2, 0), (4, 0)]
+
+
+def test_bitmap_holds_what_was_put_in(spark):
+    from evidora.llm.sketch import bitmap, bits_for
+
+    ids = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    import numpy as np
+
+    own = np.array([r[0] for r in ids.collect()], np.int64).view(np.uint64)
+    bits = bitmap(ids, bits_for(5000))
+    other = np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64)
+    assert bits.held(own).all() and bits.held(other).mean() < 0.02
+    assert not bitmap(ids.limit(0), bits_for(0)).held(own).any()
+
+
 # 7 mixing
 
 
 def test_schedule_is_pfair():
     blocks = {"a": 50, "b": 30, "c": 17, "d": 3}
     total, done = sum(blocks.values()), dict.fromkeys(blocks, 0)
-    order = mixing.schedule(blocks)
+    order = list(mixing.schedule(blocks))
     assert len(order) == total and len(set(order)) == total
     for slot, s, j in order:
         assert j == done[s]
@@ -224,9 +277,10 @@ def test_mix_shares_and_caps(spark):
     counted = mixing.token_counts(frame(spark, rows, "doc_id string, source string, text string"))
     targets = frame(spark, [("a", 0.4, 1), ("b", 0.4, 3), ("c", 0.1, 2), ("gone", 0.1, 9)], "source string, target_share double, max_passes int")
     out = {r["source"]: r for r in mixing.shares(counted, targets).collect()}
+    assert [(out[s]["contributed"] - out[s]["wanted"] < 0) == out[s]["short"] for s in out] == [True] * 4
     assert out["a"]["short"] is False and out["b"]["short"] is False and out["c"]["short"] and out["gone"]["short"]
     assert abs(sum(r["actual_share"] for r in out.values()) - 1) < 1e-9
-    mixed = mixing.mix(counted, targets, slots=64).collect()
+    mixed = mixing.mix(counted, targets, block=64).collect()
     used = {}
     for r in mixed:
         used[r["source"]] = used.get(r["source"], 0) + r["tokens"]
@@ -235,6 +289,16 @@ def test_mix_shares_and_caps(spark):
     assert max(r["pass"] for r in mixed if r["source"] == "c") == 1 and {r["source"] for r in mixed} == {"a", "b", "c"}
 
 
+def test_shares_are_measured_on_the_mix(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(mixing, "slots", lambda spark, blocks, real=mixing.slots: made.append(dict(blocks)) or real(spark, blocks))
+    counted = mixing.token_counts(frame(spark, [(i, "ab"[i % 2], "alpha beta") for i in range(40)], "doc_id bigint, source string, text string"))
+    targets = frame(spark, [("a", 0.9, 1), ("b", 0.1, 1)], "source string, target_share double, max_passes int")
+    out = {r["source"]: r for r in mixing.shares(counted, targets, block=4).collect()}
+    held = {r["source"]: r["n"] for r in mixing.mix(counted, targets, block=4).groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    assert made and {s: r["contributed"] for s, r in out.items()} == held and out["a"]["short"] and not out["b"]["short"]
+
+
 def test_mix_of_nothing(spark):
     counted = mixing.token_counts(frame(spark, [], "doc_id string, source string, text string"))
     targets = frame(spark, [("a", 1.0, 1)], "source string, target_share double, max_passes int")
