@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidora.session import cut
+
 
 def fingerprints(text: str, k: int, w: int) -> np.ndarray:
     """Hashes of the k-grams that are smallest in a window of w of them: two
@@ -31,8 +33,10 @@ def fingerprints(text: str, k: int, w: int) -> np.ndarray:
     return np.unique(least)
 
 
-# k and w by the length from which they find every shared stretch.
-TIERS = ((32, 12, 21), (12, 6, 7), (1, 1, 1))
+# k and w by the length from which they find every shared stretch. Short ones
+# go by all their k-grams.
+TIERS = ((32, 12, 21), (12, 6, 7), (6, 6, 1), (3, 3, 1), (2, 2, 1), (1, 1, 1))
+BROADCAST_DOCS = 100_000
 
 
 def marks(frame: DataFrame, key: str, text: str) -> DataFrame:
@@ -58,31 +62,37 @@ def marks(frame: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col("key").alias(key), F.xxhash64("doc", "tier", "mark").alias("mark"))
 
 
-def containing(needles: DataFrame, texts: DataFrame, hot: int = 256, share: float = 1e-5) -> DataFrame:
-    """(q_id, p_id): the texts (p_id, doc_id, body) of a needle's own document
-    that contain the needle (q_id, doc_id, form).
+def containing(needles: DataFrame, texts: DataFrame, hot: int = 256) -> DataFrame:
+    """(q_id, p_id, same): the texts (p_id, doc_id, body[, form]) of a needle's
+    own document that contain the needle (q_id, doc_id, body[, form]). Where
+    there is a ``form``, it is compared instead of the body, and ``same`` tells
+    whether the bodies also match.
 
-    Documents of at most ``hot`` texts, or of ``share`` of them all, join on
-    doc_id. In larger ones, of which there are at most ``1/share``, a needle
+    Documents of at most ``hot`` texts join on doc_id. In larger ones a needle
     meets only the texts that hold its rarest fingerprint, so that a document
-    with any share of all rows isn't matched pair by pair. Empty needles and
-    nulls match nothing.
+    with any share of all rows isn't matched pair by pair. The list of larger
+    documents is broadcast up to :data:`BROADCAST_DOCS`, beyond that joined.
+    Empty needles and nulls match nothing.
     """
-    q = needles.where((F.col("form") != "") & F.col("doc_id").isNotNull()).select("q_id", "doc_id", "form")
-    p = texts.where(F.col("body").isNotNull() & F.col("doc_id").isNotNull()).select("p_id", "doc_id", "body")
-    tier = F.coalesce(*[F.when(F.char_length("form") >= least, least) for least, _, _ in TIERS])
-    least = max(hot, int(share * p.count()))
-    sizes = p.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > least)
-    rows = sizes.join(q.groupBy("doc_id").agg(F.collect_set(tier).alias("tiers")), "doc_id").select("doc_id", "tiers").collect()
-    large = F.broadcast(q.sparkSession.createDataFrame(rows, "doc_id string, tiers array<int>"))
-    inside = F.col("body").contains(F.col("form"))
-    plain = p.join(large, "doc_id", "left_anti").join(q, "doc_id").where(inside).select("q_id", "p_id")
-    if not rows:
+    none = F.lit(None).cast("string")
+    q = needles.where(F.col("doc_id").isNotNull()).select("q_id", "doc_id", F.col("body").alias("q_body"), (F.col("form") if "form" in needles.columns else none).alias("q_form"))
+    p = texts.where(F.col("body").isNotNull() & F.col("doc_id").isNotNull()).select("p_id", "doc_id", F.col("body").alias("p_body"), (F.col("form") if "form" in texts.columns else none).alias("p_form"))
+    q_whole, p_whole = F.coalesce("q_form", "q_body"), F.coalesce("p_form", "p_body")
+    q = q.where(q_whole != "")
+    tier = F.coalesce(*[F.when(F.char_length(q_whole) >= least, least) for least, _, _ in TIERS])
+    sizes = p.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    large = cut(sizes.join(q.groupBy("doc_id").agg(F.collect_set(tier).alias("tiers")), "doc_id").select("doc_id", "tiers"))
+    n = large.count()
+    large = F.broadcast(large) if n <= BROADCAST_DOCS else large
+    inside, same = p_whole.contains(q_whole), F.col("p_body").contains(F.col("q_body")).alias("same")
+    small = p.join(large.select("doc_id"), "doc_id", "left_anti") if n else p
+    plain = small.join(q, "doc_id").where(inside).select("q_id", "p_id", same)
+    if not n:
         return plain
     big_p, big_q = p.join(large, "doc_id"), q.join(large.select("doc_id"), "doc_id").withColumn("tiers", F.array(tier))
-    p_marks = marks(big_p, "p_id", "body")
+    p_marks = marks(big_p.withColumn("whole", p_whole), "p_id", "whole")
     known = p_marks.groupBy("mark").agg(F.count("*").alias("df"))
-    rarest = marks(big_q, "q_id", "form").join(known, "mark").groupBy("q_id").agg(F.min_by("mark", F.struct("df", "mark")).alias("mark"))
+    rarest = marks(big_q.withColumn("whole", q_whole), "q_id", "whole").join(known, "mark").groupBy("q_id").agg(F.min_by("mark", F.struct("df", "mark")).alias("mark"))
     pairs = p_marks.join(rarest, "mark").select("p_id", "q_id").distinct()
-    met = pairs.join(big_q.select("q_id", "form"), "q_id").join(big_p.select("p_id", "body"), "p_id").where(inside).select("q_id", "p_id")
+    met = pairs.join(big_q.select("q_id", "q_body", "q_form"), "q_id").join(big_p.select("p_id", "p_body", "p_form"), "p_id").where(inside).select("q_id", "p_id", same)
     return plain.unionByName(met)

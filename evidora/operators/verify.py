@@ -37,7 +37,7 @@ def verify(cited: DataFrame, passages: DataFrame, docs: DataFrame, own: DataFram
     q = cited.withColumn("form", verify_fold(F.coalesce("quote", F.lit(""))))
     long = q.where(F.char_length("form") >= least).select("doc_id", "form").distinct().withColumn("q_id", F.xxhash64("doc_id", "form"))
     p = passages.where(F.col("text").isNotNull())
-    pairs = containing(long, p.select(F.col("passage_seq").alias("p_id"), "doc_id", verify_fold(F.col("text")).alias("body")))
+    pairs = containing(long.withColumnRenamed("form", "body"), p.select(F.col("passage_seq").alias("p_id"), "doc_id", verify_fold(F.col("text")).alias("body")))
     at = pairs.join(p.select(F.col("passage_seq").alias("p_id"), "passage_id", "ord"), "p_id").groupBy("q_id").agg(F.min_by("passage_id", F.struct("ord", "p_id")).alias("passage_id"))
     hits = long.join(at, "q_id").select("doc_id", "form", "passage_id")
     known = docs.select("doc_id", F.lit(True).alias("known")).distinct()
