@@ -85,7 +85,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from evidora.llm.names import entities
     from evidora.operators.graph import class_pairs
 
-    names = table(spark, d, "docmeta").select(F.explode("authors").alias("name")).unionByName(table(spark, d, "docs").select(F.col("first_author").alias("name")))
+    names = table(spark, d, "docmeta").select(F.col("doc_id").alias("record"), F.explode("authors").alias("name")).unionByName(table(spark, d, "docs").select(F.col("doc_id").alias("record"), F.col("first_author").alias("name")))
     return class_pairs(entities(names), "name", "entity").toDF("name_a", "name_b")
 
 
