@@ -1,6 +1,7 @@
 """One form for text that looks the same (problem 4).
 
-Look-alike pairs of code points and strings are closed transitively by
+Look-alike pairs of code points and strings (Unicode decompositions, the
+published confusables table) are closed transitively by
 union-find; each class is represented by its most frequent member in the
 corpus; texts are rewritten greedily, code points by a table and longer
 strings by a multi-pattern automaton (leftmost, longest first).
@@ -8,20 +9,21 @@ strings by a multi-pattern automaton (leftmost, longest first).
 
 from __future__ import annotations
 
-import re
+import itertools
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidora.operators.contain import TIERS, marks
+from evidora.operators.contain import containing
 
 # Letters of other scripts that are drawn like Latin ones, in
-# order, and below them signs that are drawn alike.
+# order, and below them signs that are drawn alike. More letters come from the
+# table that ICU carries.
 ALIKE = (
     ("АВЕКМНОРСТУХЅІЈԚԜҮ", "ABEKMHOPCTYXSIJQWY"),
     ("аеорсухѕіјһԛԝ", "aeopcyxsijhqw"),
@@ -85,56 +87,86 @@ def alike_pairs(chars: Iterable[str]) -> Iterator[tuple[str, str]]:
                 yield c, chr(int(single[0], 16))
 
 
-_MARKED = re.compile(r"[^\W\d_][̀-ͯ]+")
-
-
-def _strings_of(text: str) -> Counter:
-    return Counter(_MARKED.findall(text))
+def _drawn(c: str) -> str | None:
+    """The case of a letter whose shape is compared: that of cased letters, and
+    upper for Lisu, whose letters are drawn as Latin capitals."""
+    kind = unicodedata.category(c)
+    return kind if kind in ("Lu", "Ll") else "Lu" if "ꓐ" <= c <= "ꓽ" and kind == "Lo" else None
+
+
+def published_pairs(chars: Iterable[str], shapes: dict[str, str]) -> Iterator[tuple[str, str]]:
+    """Look-alike pairs after a published table of shapes (letter -> its
+    prototype, one or several characters): letters of one case that have the
+    same shape, ASCII ones first, and a letter with the string that is its
+    shape where that is a letter under an overlaid sign. Two ASCII letters are
+    never a pair: l and I stay apart."""
+    plain: dict[tuple[str, str], list[str]] = {}
+    for a in map(chr, range(128)):
+        if a.isalpha():
+            plain.setdefault((shapes.get(a, a), _drawn(a)), []).append(a)
+    first: dict[tuple[str, str], str] = {}
+    for c in sorted(chars):
+        case = _drawn(c)
+        if c < "\x80" or case is None or c in NOT_ALIKE:
+            continue
+        shape = shapes.get(c, c)
+        letters = plain.get((shape, case), ())
+        if len(letters) == 1 and letters[0] != c:
+            yield c, letters[0]
+        elif not letters and len(shape) == 1 and (other := first.setdefault((shape, case), c)) != c:
+            yield c, other
+        elif len(shape) == 2 and shape != unicodedata.normalize("NFD", c) and unicodedata.category(shape[1]) == "Mn":
+            yield c, shape
+
+
+def shapes_of(spark: SparkSession, chars: Iterable[str]) -> dict[str, str]:
+    """Prototypes of letters in the confusables table of the Unicode security
+    mechanisms, which the JVM's ICU library carries; empty where it doesn't."""
+    letters = sorted({c for c in chars if _drawn(c)} | {chr(k) for k in range(128) if chr(k).isalpha()})
+    try:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    except (AttributeError, TypeError):
+        return {}
+    out: dict[str, str] = {}
+    for k in range(0, len(letters), 4096):
+        part = letters[k : k + 4096]
+        found = checker.getSkeleton("\n".join(part)).split("\n")
+        out |= dict(zip(part, found)) if len(found) == len(part) else {c: checker.getSkeleton(c) for c in part}
+    return out
 
 
 def char_counts(texts: DataFrame, *columns: str) -> DataFrame:
-    """How often each code point, and each letter with combining marks, occurs
-    in the columns: rows (s, n). Both are counted per partition first; there
-    are at most as many rows as code points, and marked letters as written."""
+    """How often each code point occurs in the columns: rows (s, n), counted per
+    partition first; there are at most as many rows as code points."""
     schema = pa.schema([("s", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = np.zeros(0x110000, np.int64)
-        marked: Counter = Counter()
         for batch in batches:
             for column in batch.columns:
                 whole = "\n".join(t for t in column.to_pylist() if t)
-                if not whole:
-                    continue
-                seen = np.bincount(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32))
-                points[: len(seen)] += seen
-                if len(seen) > 0x300 and seen[0x300:0x370].any():
-                    marked.update(_strings_of(whole))
+                if whole:
+                    seen = np.bincount(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32))
+                    points[: len(seen)] += seen
         found = np.flatnonzero(points)
         found = found[(found < 0xD800) | (found > 0xDFFF)]
-        names = [chr(k) for k in found] + list(marked)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*points[found].tolist(), *marked.values()], pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([chr(k) for k in found], pa.string()), pa.array(points[found])], schema=schema)
 
     return texts.select(*columns).mapInArrow(count, "s string, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
 
 
-def rewriting(counts: dict[str, int]) -> tuple[dict[int, str], dict[str, str]]:
+def rewriting(counts: dict[str, int], shapes: dict[str, str] | None = None) -> tuple[dict[int, str], dict[str, str]]:
     """The rewriting that the counts lead to: code point -> representative, and
     string -> representative. Of a class, the most frequent member represents
     it (ties: the shortest, then the first in code point order); a string
-    counts as often as its rarest letter, unless it was counted itself.
-    Invisible characters are represented by nothing."""
+    counts as often as its rarest letter. Invisible characters are represented
+    by nothing."""
     sets = Classes()
-    for x, y in alike_pairs([s for s in counts if len(s) == 1]):
+    for x, y in itertools.chain(alike_pairs(counts), published_pairs(counts, shapes or {})):
         sets.union(x, y)
-    for s in counts:
-        if len(s) > 1:
-            composed = unicodedata.normalize("NFC", s)
-            if composed != s:
-                sets.union(s, composed)
 
     def often(s: str) -> int:
-        if s in counts or len(s) == 1:
+        if len(s) == 1:
             return counts.get(s, 0)
         if unicodedata.combining(s[-1]):
             return 0
@@ -187,14 +219,14 @@ class Rewriter:
 class Unifier:
     """The corpus's rewriting as a Column function."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.points, self.strings = rewriting(counts)
+    def __init__(self, counts: dict[str, int], shapes: dict[str, str] | None = None):
+        self.points, self.strings = rewriting(counts, shapes)
         self.ascii_stays = not any(k < 128 for k in self.points)
 
     @classmethod
     def of(cls, *parts: DataFrame) -> Unifier:
         """From all texts of one-column frames. What is collected is bounded by
-        the number of code points and of letters with marks."""
+        the number of code points."""
         counted = None
         for part in parts:
             one = char_counts(part, part.columns[0])
@@ -202,7 +234,7 @@ class Unifier:
         total: Counter = Counter()
         for row in counted.toLocalIterator():
             total[row["s"]] += row["n"]
-        return cls(total)
+        return cls(total, shapes_of(parts[0].sparkSession, total))
 
     def column(self, text: Column, sparse: bool = False) -> Column:
         """``text`` in its one form; null stays null. Rows that the rewriting
@@ -220,46 +252,23 @@ class Unifier:
         return changed if sparse else F.coalesce(changed, text)
 
 
-def quote_matches(quotes: DataFrame, passages: DataFrame, unifier: Unifier, hot: int = 256, share: float = 1e-5) -> DataFrame:
+def quote_matches(quotes: DataFrame, passages: DataFrame, unifier: Unifier, hot: int = 256) -> DataFrame:
     """For every distinct (doc_id, quote): ``verbatim``, whether some passage of
     that document contains it as it stands, and ``unified``, whether one does
     in the one form.
 
-    Documents of at most ``hot`` passages, or of ``share`` of them all, join on
-    doc_id. In larger ones, of which there are at most ``1/share``, a quote
-    meets only the passages that hold its rarest fingerprint, so that a
-    document with any share of all rows isn't matched pair by pair. Quotes
-    that are null, empty or nothing but invisible characters match nothing; a
-    document without passages gives false for both. Repeated rows count once.
+    Matched by :func:`evidora.operators.contain.containing`: on doc_id, in
+    documents beyond ``hot`` passages by fingerprints. Quotes that are null,
+    empty or nothing but invisible characters match nothing; a document without
+    passages gives false for both. Repeated rows count once.
     """
     q = quotes.where(F.col("doc_id").isNotNull() & (F.col("quote") != "")).select("doc_id", "quote").distinct()
-    q = q.withColumn("q_form", unifier.column(F.col("quote"), sparse=True)).where(F.trim(F.coalesce("q_form", "quote")) != "")
+    q = q.withColumn("form", unifier.column(F.col("quote"), sparse=True)).where(F.trim(F.coalesce("form", "quote")) != "")
     q = q.withColumn("q_id", F.xxhash64("doc_id", "quote"))
-    p = passages.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    q_form, p_form = F.coalesce("q_form", "quote"), F.coalesce("p_form", "text")
-    tier = F.coalesce(*[F.when(F.char_length(q_form) >= least, least) for least, _, _ in TIERS])
-
-    sizes = p.groupBy("doc_id").agg(F.count("*").alias("n"))
-    least = max(hot, int(share * p.count()))
-    wanted = q.groupBy("doc_id").agg(F.collect_set(tier).alias("tiers"))
-    rows = sizes.where(F.col("n") > least).join(wanted, "doc_id").select("doc_id", "tiers").collect()
-    large = F.broadcast(q.sparkSession.createDataFrame(rows, "doc_id string, tiers array<int>"))
-
-    inside = p_form.contains(q_form)
-    same = F.col("text").contains(F.col("quote"))
-    small_p = p.join(large, "doc_id", "left_anti").withColumn("p_form", unifier.column(F.col("text"), sparse=True))
-    plain = small_p.join(q, "doc_id").where(inside).select("q_id", same.alias("same"))
-
-    big_p = p.join(large, "doc_id").withColumn("p_form", unifier.column(F.col("text"), sparse=True)).withColumn("p_id", F.xxhash64("doc_id", "text"))
-    big_q = q.join(large.select("doc_id"), "doc_id").withColumn("tiers", F.array(tier))
-    p_marks = marks(big_p.withColumn("form", p_form), "p_id", "form")
-    q_marks = marks(big_q.withColumn("form", q_form), "q_id", "form")
-    known = p_marks.groupBy("mark").agg(F.count("*").alias("df"))
-    rarest = q_marks.join(known, "mark").groupBy("q_id").agg(F.min_by("mark", F.struct("df", "mark")).alias("mark"))
-    pairs = p_marks.join(rarest, "mark").select("p_id", "q_id").distinct()
-    met = pairs.join(big_q.select("q_id", "quote", "q_form"), "q_id").join(big_p.select("p_id", "text", "p_form"), "p_id").where(inside).select("q_id", same.alias("same"))
-
-    hits = plain.unionByName(met).groupBy("q_id").agg(F.bool_or("same").alias("verbatim"))
+    p = passages.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    p = p.select("doc_id", F.xxhash64("doc_id", "text").alias("p_id"), F.col("text").alias("body"), unifier.column(F.col("text"), sparse=True).alias("form"))
+    found = containing(q.select("q_id", "doc_id", F.col("quote").alias("body"), "form"), p, hot)
+    hits = found.groupBy("q_id").agg(F.bool_or("same").alias("verbatim"))
     return q.join(hits, "q_id", "left").select("doc_id", "quote", F.coalesce("verbatim", F.lit(False)).alias("verbatim"), F.col("verbatim").isNotNull().alias("unified"))
 
 
