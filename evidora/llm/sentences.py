@@ -30,7 +30,8 @@ _BLANK = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n)\s*")
 _MARKS = re.compile("[" + re.escape("([{«‹„“”」』「『（）《》〈〉【】)]}»›\"") + "]")
 _RUN = re.compile("[" + re.escape(TERMINATORS) + "]+")
 _RUN_GREEK = re.compile("[" + re.escape(TERMINATORS) + ";;]+")
-_THAI_GAP = re.compile(r"(?<=[฀-ๅ็-๎๐-๛])\s+(?=[฀-๛])")
+# Thai and Lao, without their signs of repetition before the gap.
+_THAI_GAP = re.compile(r"(?<=[฀-ๅ็-๎๐-๛\u0e80-\u0ec5\u0ec8-\u0edf])\s+(?=[฀-๛\u0e80-\u0edf])")
 _TOKEN = re.compile(r"\S+")
 _LEAD = "\"'" + OPENERS
 _TRAIL = "\"'" + CLOSERS
@@ -77,12 +78,10 @@ def observations(text: str) -> Counter:
                     if first.isupper() and low:
                         seen["n", low, ""] += 1
                 else:
-                    if len(key) > 12:
-                        pass
-                    elif first.isupper():
+                    if first.isupper() and len(key) <= 12:
                         short = core.endswith(".") and len(word) <= 4
                         seen["p", key, "initial" if short else "U" + low] += 1
-                    else:
+                    elif len(key) <= 12:
                         seen["p", key, "digit" if first.isdigit() else "lower" if first.islower() else "other"] += 1
                     if low and first.isupper():
                         seen["s", low, ""] += 1
@@ -99,7 +98,7 @@ def observations(text: str) -> Counter:
     return seen
 
 
-def corpus_evidence(documents: DataFrame, text: str = "text", share: float = 1e-6) -> DataFrame:
+def corpus_evidence(documents: DataFrame, text: str = "text") -> DataFrame:
     """Counts of :func:`observations` over all documents, as rows of
     (kind, a, b, n). Each partition counts on its own before the shuffle."""
 
@@ -240,6 +239,12 @@ class Splitter:
             own |= {"low": low, "cap": cap, "inner": inner, "ended": ended, "lower_only": not any(c.isupper() for c in own["text"])}
         return own
 
+    def _undotted(self, word: str, own: dict) -> int:
+        """How often the document has a word in lower case without a period."""
+        if "plain" not in own:
+            own["plain"] = Counter(w for t in own["text"].split() if (w := _strip(t).rstrip(_TRAIL + ",;:!?…")).islower())
+        return own["plain"][word]
+
     def _starts(self, word: str, own: dict) -> bool:
         """Whether a capitalised word is one that is else written small."""
         w = word.lower()
@@ -254,7 +259,7 @@ class Splitter:
         spans = _spans(text, a, b)
         greek = bool(_GREEK.search(text, a, b))
         marks = [(m.start(), m.end(), False) for m in (_RUN_GREEK if greek else _RUN).finditer(text, a, b)]
-        if "ก" <= max(text[a:b]) and any("฀" <= c <= "๛" for c in text[a:b]):
+        if "ก" <= max(text[a:b]) and any("฀" <= c <= "\u0edf" for c in text[a:b]):
             marks += [(m.start(), m.start(), True) for m in _THAI_GAP.finditer(text, a, b)]
             marks.sort()
         out: list[int] = []
@@ -333,11 +338,8 @@ class Splitter:
                 return False
         if first in ",;:.%":
             return False
-        if run != "." or end > e:
-            if run[0] == "." and len(run) == 1:
-                pass
-            else:
-                return True
+        if run != ".":
+            return True
         if quoted:
             return True
         # A single period: look at the word before it.
@@ -360,13 +362,16 @@ class Splitter:
             if ends is None:
                 return starts or (not text[p - 1].isupper() and text[s].islower() and s > a and text[: s].rstrip()[-1:].isdigit())
             return starts or (ends and not first.isdigit() and not initial)
+        # The document's own uses decide where they are unambiguous, the corpus
+        # where they are not.
         seen = self._seen(own)
+        inside, ended = seen["inner"][key], seen["ended"][key]
+        if inside >= 2 and inside > 2 * ended:
+            return starts
         if key in self.abbr:
             if first.isdigit():
                 return False
-            return starts or bool(self.abbr[key])
-        if seen["inner"][key] >= 2 and seen["inner"][key] > 2 * seen["ended"][key]:
-            return starts
+            return starts or bool(self.abbr[key]) or (not inside and self._undotted(body, own) >= 2)
         if "." in body and len(body) <= 6:
             return starts
         return True
