@@ -56,6 +56,16 @@ def test_sentences_scripts(text, want):
     assert split(text) == want
 
 
+def test_the_document_decides_before_the_corpus(spark):
+    """A type that the document plainly uses as an abbreviation isn't split at,
+    whatever the corpus says, and one it uses as a word is."""
+    rules = {"abbr": {"xq.": True, "bar.": False}, "starter": set(), "dated": set()}
+    own = "The xq. bars held and the xq. rods held and the xq. pins held. We saw xq. Zorro left."
+    assert split(own, rules) == ["The xq. bars held and the xq. rods held and the xq. pins held.", "We saw xq. Zorro left."]
+    assert split("A bar is a bar here. We passed the bar. Zorro left.", rules) == ["A bar is a bar here.", "We passed the bar.", "Zorro left."]
+    assert split("ທີ່ນີ້ດີ ພວກເຮົາບໍ່ຮູ້") == ["ທີ່ນີ້ດີ", "ພວກເຮົາບໍ່ຮູ້"]
+
+
 def test_sentences_edge_cases(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "  \n\n ", 0), (4, "One. Two.", 0), (4, "One. Two.", 0), (5, "x" * 200_000 + ".", 0), (6, '"unclosed', 0)]
     out = sentences.sentences(frame(spark, rows, "doc_id bigint, text string, ord int")).collect()
@@ -112,6 +122,16 @@ def test_unify_makes_variants_equal(spark):
     assert set(got[:23]) == {plain} and got[23] is None and got[24] == ""
 
 
+def test_letters_of_a_published_table_are_unified(spark):
+    plain = "Gwen sang with Anna and Oscar by the flat reef"
+    odd = ["ɡwen".replace("ɡ", "G") + " sang with ᎪnnΑ".replace("Α", "a") + " and Օscar by the flаt reef", "Gwen sanɡ with ꓮnna and Oscar by the fӏat reef".replace("ӏ", "l"), "Gwen sang with Anna and Oscar by the flat reef​"]
+    df = frame(spark, [(t,) for t in [plain] * 20 + odd + ["o̸re and øre", "øre", "øre"]], "text string")
+    u = lookalike.Unifier.of(df)
+    got = [r[0] for r in df.select(u.column(F.col("text"))).collect()]
+    assert set(got[:23]) == {plain} and got[23] == "øre and øre"
+    assert lookalike.Unifier({"l": 5, "I": 5, "1": 5, "m": 1}, {"l": "l", "I": "l", "1": "l", "m": "rn"}).points.keys() & {ord(c) for c in "lI1m"} == set()
+
+
 def test_quote_matches_equal_brute_force(spark):
     rnd = random.Random(1)
     words = ["reef", "salt", "café", "flats", "mound", "tide", "ﬁlm", "grew", "shrank", "it", "was"]
@@ -333,9 +353,38 @@ def test_close_keys_equal_brute_force(spark):
     for k in list(keys)[:80]:
         i = rnd.randrange(len(k) - 1)
         keys.add(rnd.choice([k[:i] + k[i + 1 :], k[:i] + "z" + k[i:], k[:i] + k[i + 1] + k[i] + k[i + 2 :], k[:i] + "y" + k[i + 1 :]]))
-    got = {(r["a"], r["b"]) for r in names.close_keys(frame(spark, [(k,) for k in keys], "key string"), 6).collect()}
-    want = {(a, b) for a, b in itertools.combinations(sorted(k for k in keys if len(k) >= 6), 2) if names.one_edit(a, b)}
-    assert got == want and len(want) > 50
+    keys |= {"li ana", "li anna", "a", "ab", "b"}
+    for k in (1, 2):
+        got = {(r["a"], r["b"]) for r in names.close_keys(frame(spark, [(x,) for x in keys], "key string"), k).collect()}
+        want = {(a, b) for a, b in itertools.combinations(sorted(keys), 2) if edits(a, b) <= k}
+        assert got == want and len(want) > 50
+
+
+def edits(a, b):
+    """Insertions, deletions, substitutions and swaps of neighbours."""
+    d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_short_forms_are_learned_from_records(spark):
+    rows = [(r, n) for r, s in enumerate(("Abarnel", "Bedrosov", "Cordellan")) for n in (f"{s}, Quirinius", f"{s}, Quirinius", f"{s}, Rinek")]
+    rows += [(9, "Dastemil, Quirinius"), (8, "Rinek Dastemil"), (7, "Ewaldun, Ottoline"), (7, "Ewaldun, Pernilla")]
+    df = frame(spark, rows, "record int, name string")
+    out = {r["name"]: r["entity"] for r in names.entities(df).collect()}
+    assert out["Dastemil, Quirinius"] == out["Rinek Dastemil"] and out["Ewaldun, Ottoline"] != out["Ewaldun, Pernilla"]
+    plain = {r["name"]: r["entity"] for r in names.entities(df.select("name")).collect()}
+    assert plain["Dastemil, Quirinius"] != plain["Rinek Dastemil"]
+
+
+def test_short_names_and_ambiguous_acronyms(spark):
+    rows = ["Li Anna", "Li Ana", "Tidal Institute for Alpine Botany", "Tidal Institute for Arctic Biology", "Tidal IAB"]
+    out = {r["name"]: r["entity"] for r in names.entities(frame(spark, [(n,) for n in rows], "name string")).collect()}
+    assert out["Li Anna"] == out["Li Ana"] and out["Tidal IAB"] not in (out[rows[2]], out[rows[3]])
 
 
 def test_entities_of_nothing(spark):
