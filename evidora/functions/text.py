@@ -17,7 +17,7 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 STOPWORDS = tuple(
     "the and for are was were been being with without from into onto over under above below between among about against during before after since until while this that these those there here their them they his her its our your you she him who whom whose which what when where why how has have had having does did doing can could may might must shall should will would not nor but yet also than then thus such some any all each every both either neither more most less least many much few own same other another only very too just even still again further once per via out off upon within across along around because though although unless whether".split()
 )
-# Folded signs of the verifier: ligatures, dashes, quotes and spaces.
+# Folded signs of the verifier (ligatures, dashes and quotes).
 LIGATURES = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"))
 DASHES = "‐‑‒–—―−"
 QUOTES = "‘’‚“”„"
@@ -53,15 +53,15 @@ def word_count(text: Column) -> Column:
 
 
 def verify_fold(text: Column) -> Column:
-    """The form in which quotes are compared: ligatures, dashes and quotes
-    plain, line-end hyphens closed, white space single, lower case. Texts that
-    need NFKC go through :func:`nfkc` first."""
-    out = text
+    """The form in which quotes are compared: NFKC, ligatures, dashes and quotes
+    plain, hyphens at a line's end closed with the white space around them,
+    white space single, lower case."""
+    out = nfkc(text)
     for sign, plain in LIGATURES:
         out = F.replace(out, F.lit(sign), F.lit(plain))
     out = F.translate(out, DASHES, "-" * len(DASHES))
     out = F.translate(out, QUOTES, "'''\"\"\"")
-    out = F.regexp_replace(out, "-\n", "")
+    out = F.regexp_replace(out, r"-\s*\n\s*", "")
     out = F.regexp_replace(out, r"[\s  -  　]+", " ")
     return F.lower(F.trim(out))
 

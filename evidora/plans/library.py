@@ -64,10 +64,6 @@ def text_functions(spark: SparkSession, d: str) -> DataFrame:
     return m.select("seq", tx.doi(F.col("doi")).alias("doi"), tx.extract_year(F.coalesce("pub_date", "retrieved_at")).alias("found_year"), tx.slug(F.col("venue")).alias("venue_slug"), F.coalesce("year", tx.extract_year(F.col("pub_date"))).alias("year_known"), tx.word_count(F.col("title")).cast("int").alias("n_words"), F.sha2(F.col("title"), 256).alias("title_sha")).distinct()
 
 
-def attribution(spark: SparkSession, d: str) -> DataFrame:
-    return idn.attribute(table(spark, d, "seats"), _authored(spark, d))
-
-
 def coauthor_overlap(spark: SparkSession, d: str) -> DataFrame:
     return idn.coauthor_counts(_authored(spark, d))
 
@@ -86,26 +82,6 @@ def holdout_pairs(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy("year", "doc_id"))).where("r <= 5").select("topic", "doc_id", "r")
 
 
-def canon_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """How many titles hold each seat's probe words, all of them in one."""
-    probe = table(spark, d, "seats").select("name", F.split(F.lower("probe"), " ").alias("ws"))
-    titles = table(spark, d, "docs").select("doc_id", F.array_distinct(tx.index_tokens(F.col("title"))).alias("ts"))
-    hit = titles.select("doc_id", F.explode("ts").alias("w")).join(probe.select("name", F.size(F.array_distinct("ws")).alias("k"), F.explode(F.array_distinct("ws")).alias("w")), "w")
-    held = hit.groupBy("name", "doc_id", "k").agg(F.count("*").alias("n"))
-    per = held.groupBy("name").agg(F.count_if(F.col("n") == F.col("k")).alias("full"), F.count("*").alias("part"))
-    return probe.select("name").join(per, "name", "left").select("name", F.coalesce("full", F.lit(0)).alias("n_full"), F.coalesce("part", F.lit(0)).alias("n_part"))
-
-
-def contamination(spark: SparkSession, d: str) -> DataFrame:
-    """Titles under a seat's topics that hold another seat's display name."""
-    s = table(spark, d, "seats").select("name", F.lower("display").alias("fragment"), "own_topics")
-    t = table(spark, d, "docs").select("doc_id", F.lower("title").alias("title"), F.explode("topics").alias("topic"))
-    own = s.select("name", F.explode("own_topics").alias("topic")).join(t, "topic").select("name", "doc_id", "title").distinct()
-    frag = F.broadcast(s.select(F.col("name").alias("other"), F.array_distinct(F.split("fragment", " ")).alias("ws")).select("other", F.explode("ws").alias("w")))
-    words = own.select("name", "doc_id", F.explode(F.array_distinct(tx.index_tokens(F.col("title")))).alias("w"))
-    return words.join(frag, "w").where("name <> other").groupBy("name", "other").agg(F.count_distinct("doc_id").alias("n_docs"))
-
-
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """Unit vectors in long form (label, vec_id, term, w)."""
     v = table(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("term", "x")).withColumn("x", F.col("x").cast("double"))
@@ -157,7 +133,7 @@ def duplicate_versions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (manifest_current, alias_groups, identity_classes, library_merge, library_audit, manifest_difference, library_stats, fulltext_class, passage_pack, text_functions, attribution, coauthor_overlap, reads_topk, holdout_pairs, canon_coverage, contamination, vector_vendi, centroid_label, event_entropy, event_properties, event_monitor, duplicate_versions)
+    for f in (manifest_current, alias_groups, identity_classes, library_merge, library_audit, manifest_difference, library_stats, fulltext_class, passage_pack, text_functions, coauthor_overlap, reads_topk, holdout_pairs, vector_vendi, centroid_label, event_entropy, event_properties, event_monitor, duplicate_versions)
 }
 _CUR = "cur as (select * from docmeta where doc_id is not null qualify row_number() over (partition by doc_id order by seq desc) = 1)"
 _PSG = "psg as (select distinct on (passage_seq) passage_seq, passage_id, doc_id, ord, text from passages)"
@@ -198,24 +174,17 @@ select doc_id, 'bad_date' from b where listed and not coalesce(regexp_full_match
 select doc_id, 'short_title' from b where listed and coalesce(length(title), 0) < 4)""",
     "manifest_difference": f"with {_PSG}, p as (select doc_id, count(*) as n from psg where doc_id is not null group by 1) select case when d.doc_id is null then 'index_only' when n is null then 'manifest_only' else 'both' end as side, count(*) as n_docs, cast(coalesce(sum(n), 0) as bigint) as n_passages from docs d full join p on p.doc_id = d.doc_id group by 1",
     "library_stats": " union all ".join(f"select '{n}' as dimension, coalesce({x}, '?') as value, count(*) as n_docs, cast(sum(coalesce(n_passages, 0)) as bigint) as n_passages from docs group by 2" for n, x in (("status", "fulltext_status"), ("type", "doc_type"), ("channel", "channel"), ("decade", "cast(year // 10 * 10 as varchar)"))),
-    "fulltext_class": f"with {_CUR} select doc_id, {_class('n_passages', 'n_chars', chr(102) + 'ulltext_status = ' + chr(39) + 'abstract_only' + chr(39))} as derived, fulltext_status from cur",
+    "fulltext_class": f"with {_CUR} select doc_id, {_class('n_passages', 'n_chars', "fulltext_status = 'abstract_only'")} as derived, fulltext_status from cur",
     "passage_pack": """with recursive l as (select doc_id, row_number() over (partition by doc_id order by ord) as i, t from (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as ord from documents) where length(trim(t, ' ')) > 0),
 w as (select doc_id, i, t as body, 1 as g from l where i = 1 union all select l.doc_id, l.i, case when length(w.body) < 1500 and length(w.body) + 1 + length(l.t) <= 3000 then w.body || chr(10) || l.t else l.t end, case when length(w.body) < 1500 and length(w.body) + 1 + length(l.t) <= 3000 then w.g else w.g + 1 end from w join l on l.doc_id = w.doc_id and l.i = w.i + 1),
 ps as (select doc_id, g, arg_max(body, i) as body from w group by 1, 2)
 select doc_id, cast(row_number() over (partition by doc_id order by g) - 1 as int) as n, cast(length(body) as int) as n_chars, md5(body) as digest from ps where len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) >= 3""",
     "text_functions": f"""select distinct seq, regexp_replace(lower(trim(doi)), '^(?:https?://)?(?:dx\\.)?doi\\.org/|^doi:\\s*', '') as doi, {_YEAR.format(x='coalesce(pub_date, retrieved_at)')} as found_year, regexp_replace(translate(lower(venue), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]+', '', 'g') as venue_slug,
 coalesce(year, {_YEAR.format(x='pub_date')}) as year_known, len(regexp_extract_all(title, '[A-Za-z0-9][A-Za-z0-9\\-''/.]*')) as n_words, sha256(title) as title_sha from docmeta""",
-    "attribution": f"""with {_CUR}, au as (select doc_id, unnest(authors) as author from cur), w as (select doc_id, author, list_filter(string_split({_plain('author')}, ' '), lambda x: x <> '') as ws from au), s as (select name, {_plain('surname')} as sn, list_transform(initials, lambda i: {_plain('i')}) as ini from seats where surname is not null),
-m as (select name, doc_id, author, list_filter(ws, lambda x: x <> sn) as rest, ini from w join s on list_contains(ws, sn))
-select distinct name, doc_id, author from m where case when len(ini) = 0 then true when len(rest) = 0 then false else len(list_filter(ini, lambda i: len(list_filter(rest, lambda x: starts_with(x, i) or starts_with(i, x))) > 0 or starts_with(array_to_string(list_transform(rest, lambda x: x[1]), ''), i) or starts_with(i, array_to_string(list_transform(rest, lambda x: x[1]), '')))) > 0 end""",
-    "coauthor_overlap": f"""with {_CUR}, w as (select doc_id, list_filter(string_split({_plain('author')}, ' '), lambda x: x <> '') as ws from (select doc_id, unnest(authors) as author from cur)), k as (select distinct doc_id, ws[-1] || '|' || ws[1][1] as k from w where len(ws) >= 2), few as (select doc_id from k group by 1 having count(*) <= 30)
+    "coauthor_overlap": f"""with {_CUR}, w as (select doc_id, list_filter(string_split({_plain('author')}, ' '), lambda x: x <> '') as ws from (select doc_id, unnest(authors) as author from cur)), k as (select distinct doc_id, case when len(ws) >= 2 then ws[-1] || '|' || ws[1][1] else ws[1] end as k from w where len(ws) >= 1), few as (select doc_id from k group by 1 having count(*) <= 30)
 select a.k as a, b.k as b, count(*) as n_docs from k a join k b on a.doc_id = b.doc_id and a.k < b.k where a.doc_id in (select doc_id from few) group by 1, 2""",
     "reads_topk": f"with {_CITED}, c as (select seat, doc_id, count(*) as n from cits where seat is not null and doc_id is not null group by 1, 2 having count(*) >= 2) select * from (select *, row_number() over (partition by seat order by n desc, doc_id) as r from c) where r <= 20",
     "holdout_pairs": "select topic, doc_id, r from (select topic, doc_id, row_number() over (partition by topic order by year, doc_id) as r from (select doc_id, year, unnest(topics) as topic from docs where year >= 2015 and n_passages >= 5)) where r <= 5",
-    "canon_coverage": f"""with p as (select name, list_distinct(string_split(lower(probe), ' ')) as ws from seats), t as (select doc_id, list_distinct({tok('title')}) as ts from docs), h as (select name, len(list_intersect(ws, ts)) as n, len(ws) as k from p cross join t)
-select name, count(*) filter (where n = k) as n_full, count(*) filter (where n > 0) as n_part from h group by 1""",
-    "contamination": f"""with o as (select distinct s.name, d.doc_id, d.title from (select name, unnest(own_topics) as t from seats) s join (select doc_id, title, unnest(topics) as t from docs) d using (t)), f as (select distinct name as other, unnest(string_split(lower(display), ' ')) as w from seats), x as (select name, doc_id, unnest(list_distinct({tok('title')})) as w from o)
-select name, other, count(distinct doc_id) as n_docs from x join f using (w) where name <> other group by 1, 2""",
     "vector_vendi": f"with {_VEC}, m as (select x.label, x.term as i, y.term as j, sum(x.w * y.w) as m from v x join v y using (vec_id) group by 1, 2, 3), n as (select label, count(distinct vec_id) as n from v group by 1), s as (select label, sum(m * m) as sq from m group by 1) select label, n, round(n * n / sq, 5) as vs2 from n join s using (label)",
     "centroid_label": f"with {_VEC}, c0 as (select label as predicted, term, avg(w) as c from v group by 1, 2), c as (select predicted, term, c / sqrt(sum(c * c) over (partition by predicted)) as c from c0), s as (select vec_id, label, predicted, round(sum(w * c), 9) as s from v join c using (term) group by 1, 2, 3) select label, predicted, count(*) as n from (select *, row_number() over (partition by vec_id, label order by s desc, predicted) as r from s) where r = 1 group by 1, 2",
     "event_entropy": "with c as (select user_id, event_type, count(*) as c from events where event_type is not null group by 1, 2) select user_id, cast(sum(c) as bigint) as n, count(*) as k, round(least(1, greatest(0, (ln(sum(c)) - sum(c * ln(c)) / sum(c) + (count(*) - 1) / (2 * sum(c))) / ln(5))), 6) as entropy, round(1 - max(c) / sum(c), 6) as modal from c group by 1",

@@ -13,15 +13,14 @@ from evidora.operators import scope
 from evidora.operators.corpus import current
 from evidora.operators.verify import citations
 from evidora.plans import panel, search
-from evidora.plans.panel import _C, _W
+from evidora.plans.panel import _C, _CITS, _W
 from evidora.plans.sqltext import content
 from evidora.session import cut
 from evidora.sources.tables import table
 
 
 def _handed(spark: SparkSession, d: str) -> DataFrame:
-    p = search.passages_of(spark, d).select("passage_seq", "doc_id")
-    return cut(search.packets(spark, d).select(F.col("name").alias("seat"), "passage_seq").join(p, "passage_seq"))
+    return cut(search.packets(spark, d).select("seat", "passage_seq", "doc_id"))
 
 
 def out_of_scope(spark: SparkSession, d: str) -> DataFrame:
@@ -144,8 +143,8 @@ select run, turn, axis, round(observed, 5) as observed, round(nul, 5) as null_me
 round(case when axis = 'positions' then observed when nul >= 1 then 0 else least(1, greatest(0, (observed - nul) / (1 - nul))) end, 4) as separation, axis = 'positions' or nul < 0.95 as informative from o join z using (axis, run, turn)"""
 
 SQL = {
-    "out_of_scope": f"with {_PK}, {_C}, ho as (select distinct name, doc_id from packet join psg using (passage_seq)) select claim_id, cit_no, seat, doc_id from cits c where doc_id is not null and seat is not null and not exists (select 1 from ho where ho.name = c.seat and ho.doc_id = c.doc_id)",
-    "preflight": f"""with {_PK}, ho as (select distinct name as seat, doc_id from packet join psg using (passage_seq)), hs as (select seat, count(*) as n from ho group by 1),
+    "out_of_scope": f"with {_PK}, {_CITS}, ho as (select distinct seat, doc_id from packet) select claim_id, cit_no, seat, doc_id from cits c where doc_id is not null and seat is not null and not exists (select 1 from ho where ho.seat = c.seat and ho.doc_id = c.doc_id)",
+    "preflight": f"""with {_PK}, ho as (select distinct seat, doc_id from packet), hs as (select seat, count(*) as n from ho group by 1),
 pj as (select avg(1 - coalesce(sh, 0) / (a.n + b.n - coalesce(sh, 0))) as packet from hs a join hs b on a.seat < b.seat left join (select x.seat as sa, y.seat as sb, count(*) as sh from ho x join ho y using (doc_id) where x.seat < y.seat group by 1, 2) k on sa = a.seat and sb = b.seat),
 ru as (select seat, term, count(*) as n from (select name as seat, unnest({content("concat_ws(' ', display, probe, territory)")}) as term from seats) group by 1, 2), rp as (select *, n / sum(n) over (partition by seat) as p from ru), rs as (select distinct seat from ru),
 rk as (select x.seat as a, y.seat as b, sum(0.5 * x.p * log2(2 * x.p / (x.p + y.p)) + 0.5 * y.p * log2(2 * y.p / (x.p + y.p)) - 0.5 * x.p - 0.5 * y.p) as part from rp x join rp y using (term) where x.seat < y.seat group by 1, 2),
@@ -169,7 +168,9 @@ an as (select seat, work as anchor from own join wt using (work) qualify row_num
 by1 as (select seat, anchor, src as work, coalesce(wt.n, 0) as n from an join e on e.dst = an.anchor left join wt on wt.work = e.src), by2 as (select seat, work, max(n) as n from (select * from by1 qualify row_number() over (partition by seat, anchor order by n desc, work) <= 8) group by 1, 2),
 al as (select seat, work, 0 as p, 'authored' as node, 0 as n from own union all select seat, work, 1, 'reads', n from rd2 union all select seat, work, 2, 'cited_by', n from by2)
 select seat, work, node, n, not exists (select 1 from docs d where d.doc_id = work) as new from (select * from al qualify row_number() over (partition by seat, work order by p) = 1)""",
-    "document_ids": f"""with {_CUR}, b as (select doc_id, coalesce(nullif(case when contains(first_author, ',') then replace({_P(x="split_part(first_author, ',', 1)")}, ' ', '') else list_extract(string_split({_P(x='first_author')}, ' '), -1) end, ''), 'anon') || coalesce(year::varchar, 'nd') || replace({_P(x="coalesce(venue, '')")}, ' ', '')[1:12] as base,
-list_sort(list_filter(string_split({_P(x='first_author')}, ' '), lambda w: length(w) > 1)) as ws from cur), r as (select *, row_number() over (partition by base order by doc_id) as n from b)
-select doc_id, base || case when n = 1 then '' when n <= 27 then chr((n + 95)::int) else 'v' || n end as id, case when len(ws) >= 2 then array_to_string(ws, ' ') else '' end as name_key from r""",
+    "document_ids": f"""with {_CUR}, a as (select doc_id, year, venue, trim(regexp_replace(coalesce(first_author, ''), '\\s+', ' ', 'g')) as q from cur), w as (select *, string_split(q, ' ') as ws from a),
+n as (select *, ws[-1] as z, array_to_string(ws[1:len(ws) - 1], ' ') as r from w), f as (select *, case when contains(q, ',') then split_part(q, ',', 1) when len(ws) > 1 and length(z) <= 3 and upper(z) = z then r else regexp_extract(r, '(?i)(?:^|\\s)((?:(?:{"|".join(idn.PARTICLES)})(?:\\s|$))+)$', 1) || ' ' || z end as fam from n),
+s as (select *, replace({_P(x="fam")}, ' ', '') as sn, coalesce(nullif(year, 0)::varchar, '') as y, replace({_P(x="coalesce(venue, '')")}, ' ', '')[1:12] as vt from f),
+b as (select doc_id, case when sn <> '' then sn || y || case when vt = '' then 'na' else vt end else 'anon' || y || sha256(coalesce(nullif(venue, ''), 'unknown'))[1:10] end as base, list_sort(list_filter(string_split({_P(x="q")}, ' '), lambda w: length(w) > 1)) as ks from s), i as (select *, row_number() over (partition by base order by doc_id) as k from b)
+select doc_id, base || case when k = 1 then '' when k <= 27 then chr((k + 95)::int) else 'v' || (k - 26) end as id, case when len(ks) >= 2 then array_to_string(ks, ' ') else '' end as name_key from i""",
 }

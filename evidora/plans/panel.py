@@ -9,12 +9,13 @@ from evidora.functions.text import DASHES, LIGATURES, QUOTES, content_tokens
 from evidora.operators import measure as ms
 from evidora.operators import verify as vf
 from evidora.operators.index import once
-from evidora.plans.search import own_documents
-from evidora.plans.sqltext import LLR, content
+from evidora.plans.search import _PACKET_SQL, own_documents, packets
+from evidora.plans.sqltext import CLAIMS, LLR, content, nfkc
 from evidora.session import cut
 from evidora.sources.tables import table
 
 TURN = ["run", "turn"]
+DEALS = 200
 MARKERS = ["contrary to", "disagree", "argues against", "unclear", "whether", "could not repeat", "cannot be", "however", "although", "alternative", "not robust", "underpowered", "preliminary", "artefact", "debate", "debated", "dispute", "contested", "controvers", "conflict", "inconsisten", "contradict", "uncertain", "challenge", "doubt"]
 
 
@@ -42,7 +43,20 @@ def verify_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verify_report(spark: SparkSession, d: str) -> DataFrame:
-    return vf.report(_verified(spark, d), "run", "seat")
+    v = cut(_verified(spark, d))
+    return vf.report(v, vf.grounded(_claims(spark, d), v), "run", "seat")
+
+
+def verify_permitted(spark: SparkSession, d: str) -> DataFrame:
+    """Statuses where a seat may only cite what its packet holds."""
+    handed = packets(spark, d).select("seat", "doc_id").distinct()
+    v = vf.verify(vf.citations(table(spark, d, "ledger")), once(table(spark, d, "passages")), table(spark, d, "docs"), own_documents(spark, d), permitted=handed)
+    return v.select("claim_id", "cit_no", "status", "tier")
+
+
+def claim_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """What to say of claims whose citations failed."""
+    return vf.repair_text(_verified(spark, d)).select("claim_id", "n_failed", F.md5("text").alias("digest"))
 
 
 def claim_grounded(spark: SparkSession, d: str) -> DataFrame:
@@ -94,11 +108,20 @@ def contestedness(spark: SparkSession, d: str) -> DataFrame:
     return ms.contestedness(once(table(spark, d, "passages")), "doc_id", "text", MARKERS)
 
 
-def consensus_docs(spark: SparkSession, d: str) -> DataFrame:
-    s = _cited(spark, d)
+def _consensus(s: DataFrame, share: float = 0.5) -> DataFrame:
+    """Documents that at least 2 and ``share`` of a turn's citing seats cite."""
     seats = s.groupBy(*TURN).agg(F.count_distinct("seat").alias("n_seats"))
     c = s.groupBy(*TURN, "doc_id").agg(F.count_distinct("seat").alias("n"))
-    return c.join(seats, TURN).where(F.col("n") >= F.greatest(F.lit(2), F.ceil(0.1 * F.col("n_seats")))).select(*TURN, "doc_id", "n")
+    return c.join(seats, TURN).where(F.col("n") >= F.greatest(F.lit(2), F.ceil(share * F.col("n_seats")))).select(*TURN, "doc_id", "n")
+
+
+def consensus_docs(spark: SparkSession, d: str) -> DataFrame:
+    return _consensus(_cited(spark, d))
+
+
+def consensus_docs_wide(spark: SparkSession, d: str) -> DataFrame:
+    """As consensus_docs, for a tenth of the seats."""
+    return _consensus(_cited(spark, d), 0.1)
 
 
 def contested_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +131,7 @@ def contested_docs(spark: SparkSession, d: str) -> DataFrame:
 def _null(spark: SparkSession, d: str) -> DataFrame:
     s = cut(_cited(spark, d))
     seen = ms.jaccard_pairs(s, TURN, "seat", "doc_id").groupBy(*TURN).agg(F.avg("distance").alias("observed"))
-    dealt = ms.redeal(s, TURN, "seat", "doc_id", 20)
+    dealt = ms.redeal(s, TURN, "seat", "doc_id", DEALS)
     null = ms.jaccard_pairs(dealt, ["perm", *TURN], "seat", "doc_id").groupBy("perm", *TURN).agg(F.avg("distance").alias("m")).groupBy(*TURN).agg(F.avg("m").alias("null"))
     return seen.join(null, TURN)
 
@@ -223,23 +246,25 @@ def turn_roster(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (verify_status, verify_report, claim_grounded, jaccard_pairs, js_divergence, tfidf_top_terms, cosine_pairs, vendi2, distant_peers, stance_entropy, modal_disagreement, contestedness, consensus_docs, contested_docs, perm_null_evidence, novelty, self_restatement, herding, trajectory, monitor_llr, territory, evidenced_minority, disclosure_set, audit_cases, stylometry, turn_roster)
+    for f in (verify_status, verify_report, verify_permitted, claim_repairs, claim_grounded, jaccard_pairs, js_divergence, tfidf_top_terms, cosine_pairs, vendi2, distant_peers, stance_entropy, modal_disagreement, contestedness, consensus_docs, consensus_docs_wide, contested_docs, perm_null_evidence, novelty, self_restatement, herding, trajectory, monitor_llr, territory, evidenced_minority, disclosure_set, audit_cases, stylometry, turn_roster)
 }
 
 
 def _fold(x: str) -> str:
+    x = nfkc(x)
     for sign, plain in LIGATURES:
         x = f"replace({x}, '{sign}', '{plain}')"
     quotes = QUOTES.replace("'", "''")
     x = f"translate(translate({x}, '{DASHES}', '{'-' * len(DASHES)}'), '{quotes}', '''''''\"\"\"')"
-    return f"lower(trim(regexp_replace(regexp_replace({x}, '-\\n', '', 'g'), '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'), ' '))"
+    return f"lower(trim(regexp_replace(regexp_replace({x}, '-\\s*\\n\\s*', '', 'g'), '[\\s\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'), ' '))"
 
 
-_C = """claims as (select distinct on (claim_id) * from ledger order by claim_id, ingested_at desc nulls last),
-cits as (select claim_id, run, turn, seat, i - 1 as cit_no, c.doc_id as doc_id, c.quote as quote from (select *, unnest(citations) as c, generate_subscripts(citations, 1) as i from claims)),
+_CITS = """cits as (select claim_id, run, turn, seat, i - 1 as cit_no, c.doc_id as doc_id, c.quote as quote from (select *, unnest(citations) as c, generate_subscripts(citations, 1) as i from claims)),
 cited as (select distinct run, turn, seat, doc_id from cits where doc_id is not null)"""
+_C = f"{CLAIMS},\n{_CITS}"
 _OWN = "own as (select distinct s.name, d.doc_id from (select name, unnest(own_topics) as t from seats) s join (select doc_id, unnest(topics) as t from docs) d using (t))"
-_V = f"""{_C}, {_OWN}, psg as (select distinct on (passage_seq) passage_seq, passage_id, doc_id, ord, text from passages),
+_PSG_V = "psg as (select distinct on (passage_seq) passage_seq, passage_id, doc_id, ord, text from passages)"
+_V = f"""{_C}, {_OWN}, {_PSG_V},
 folded as (select *, {_fold("coalesce(quote, '')")} as form from cits), bodies as (select *, {_fold('text')} as body from psg),
 hits as (select f.doc_id, f.form, arg_min(passage_id, (ord, passage_seq)) as passage_id from (select distinct doc_id, form from folded where length(form) >= 40) f join bodies b on b.doc_id = f.doc_id and contains(b.body, f.form) group by 1, 2),
 ver as (select f.*, case when length(form) < 40 then 'too_short' when not exists (select 1 from docs d where d.doc_id = f.doc_id) then 'invented' when not exists (select 1 from psg p where p.doc_id = f.doc_id) then 'doc_not_held' when h.passage_id is not null then 'verified' else 'quote_not_found' end as status, h.passage_id as pid from folded f left join hits h using (doc_id, form)),
@@ -274,7 +299,11 @@ _COS_MARKS = " + ".join(f"(length(x) - length(replace(x, '{m}', ''))) / {len(m)}
 
 SQL = {
     "verify_status": f"with {_V} select claim_id, cit_no, status, tier, passage_id from verified",
-    "verify_report": f"with {_V} select run, seat, count(*) as n_citations, count(*) filter (where status = 'verified') as n_verified, count(*) filter (where status = 'invented') as n_invented, round(count(*) filter (where status in ('quote_not_found', 'doc_not_held')) / count(*), 6) as fabrication, round(count(*) filter (where status <> 'verified') / count(*), 6) as ungrounded from verified group by 1, 2",
+    "verify_report": f"""with {_V}, per as (select claim_id, count(*) as n, count(*) filter (where status = 'verified') as ok, count(*) filter (where tier = 'own') as own from verified group by 1), g as (select c.run, c.seat, coalesce(n > 0 and n = ok, false) as gr, coalesce(own > 0, false) as sa from claims c left join per using (claim_id)),
+a as (select run, seat, count(*) as n_claims, count(*) filter (where gr) as n_grounded, count(*) filter (where gr and sa) as anchored from g group by 1, 2), b as (select run, seat, count(*) as n, count(*) filter (where status = 'verified') as v, count(*) filter (where status = 'invented') as i, count(*) filter (where status in ('quote_not_found', 'doc_not_held')) as f from verified group by 1, 2)
+select a.run, a.seat, n_claims, n_grounded, coalesce(n, 0) as n_citations, coalesce(v, 0) as n_verified, coalesce(i, 0) as n_invented, 0::bigint as n_out_of_scope, round(coalesce(f / nullif(n, 0), 0), 6) as fabrication, round(coalesce((n - v) / nullif(n, 0), 0), 6) as ungrounded, round(coalesce(anchored / nullif(n_grounded, 0), 0), 6) as self_anchor from a left join b on a.run is not distinct from b.run and a.seat is not distinct from b.seat""",
+    "verify_permitted": f"with ho as ({_PACKET_SQL} select distinct seat, doc_id from packet), v as (with {_V} select claim_id, cit_no, seat, doc_id, status, tier from verified), x as (select v.*, ho.doc_id is not null as handed from v left join ho using (seat, doc_id)) select claim_id, cit_no, case when status in ('too_short', 'invented') or handed then status else 'out_of_scope' end as status, case when handed then tier end as tier from x",
+    "claim_repairs": f"with {_V} select claim_id, count(*) as n_failed, md5(string_agg('- citation ' || cit_no || ' of ' || coalesce(doc_id, 'no document') || ': ' || status, chr(10) order by cit_no)) as digest from verified where status <> 'verified' group by 1",
     "claim_grounded": f"with {_V}, per as (select claim_id, count(*) as n, count(*) filter (where status = 'verified') as ok, count(*) filter (where tier = 'own') as own from verified group by 1) select claim_id, coalesce(n, 0) as n_citations, coalesce(n > 0 and n = ok, false) as grounded, coalesce(own > 0, false) as self_anchored from claims left join per using (claim_id)",
     "jaccard_pairs": f"with {_C}, {_JT} select run, turn, a, b, shared, round(1 - shared / (na + nb - shared), 6) as distance from jac",
     "js_divergence": f"""with {_T}, p as (select *, n / sum(n) over (partition by run, turn, seat) as p from terms), mem as (select distinct run, turn, seat from terms),
@@ -287,10 +316,11 @@ select a.run, a.turn, a.seat as a, b.seat as b, round(greatest(0, 1 + coalesce(p
     "stance_entropy": f"{_STANCE} select run, turn, cast(sum(c) as bigint) as n, count(*) as k, round(least(1, greatest(0, (ln(sum(c)) - sum(c * ln(c)) / sum(c) + (count(*) - 1) / (2 * sum(c))) / ln(4))), 6) as entropy from c group by 1, 2",
     "modal_disagreement": f"{_STANCE} select run, turn, round(1 - max(c) / sum(c), 6) as modal from c group by 1, 2",
     "contestedness": f"with t as (select doc_id, lower(coalesce(text, '')) as x from (select distinct on (passage_seq) * from passages)), per as (select doc_id, sum({_COS_MARKS}) as marks, sum(len(list_filter(regexp_split_to_array(x, '[^a-z0-9]+'), lambda w: w <> ''))) as words from t group by 1) select doc_id, cast(marks as bigint) as marks, cast(words as bigint) as words, round(case when words > 0 then 1 - exp(-500 * marks / words) else 0 end, 6) as score from per",
-    "consensus_docs": f"with {_C}, s as (select run, turn, count(distinct seat) as k from cited group by 1, 2), c as (select run, turn, doc_id, count(distinct seat) as n from cited group by 1, 2, 3) select run, turn, doc_id, n from c join s using (run, turn) where n >= greatest(2, ceil(0.1 * k))",
+    "consensus_docs": f"with {_C}, s as (select run, turn, count(distinct seat) as k from cited group by 1, 2), c as (select run, turn, doc_id, count(distinct seat) as n from cited group by 1, 2, 3) select run, turn, doc_id, n from c join s using (run, turn) where n >= greatest(2, ceil(0.5 * k))",
+    "consensus_docs_wide": f"with {_C}, s as (select run, turn, count(distinct seat) as k from cited group by 1, 2), c as (select run, turn, doc_id, count(distinct seat) as n from cited group by 1, 2, 3) select run, turn, doc_id, n from c join s using (run, turn) where n >= greatest(2, ceil(0.1 * k))",
     "contested_docs": f"with {_C} select run, doc_id, count(distinct seat) as n_seats from cited group by 1, 2 having count(distinct seat) > 1",
     "perm_null_evidence": f"""with {_C}, {_JT}, obs as (select run, turn, avg(1 - shared / (na + nb - shared)) as observed from jac group by 1, 2),
-s as (select cited.*, p as perm from cited cross join range(20) r(p)),
+s as (select cited.*, p as perm from cited cross join range({DEALS}) r(p)),
 mixed as (select *, row_number() over (partition by perm, run, turn order by md5(concat_ws('|', perm, run, turn, seat, doc_id)), seat, doc_id) as slot from s),
 places as (select *, row_number() over (partition by perm, run, turn order by seat, doc_id) as slot from s),
 dealt as (select distinct p.perm, p.run, p.turn, p.seat, m.doc_id from places p join mixed m using (perm, run, turn, slot)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from evidora.functions.text import ACCENTED, PLAIN, STOPWORDS
 
 STOP = "[" + ",".join(f"'{w}'" for w in STOPWORDS) + "]"
@@ -19,6 +21,7 @@ def question(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({x}),'[^a-z0-9]+'), lambda t: length(t) >= 3 and not list_contains({STOP}, t) and not regexp_matches(t,'^[0-9]+$'))"
 
 
+CLAIMS = "claims as (select distinct on (claim_id) * from ledger order by claim_id, ingested_at desc nulls last)"
 PSG = "psg as (select distinct on (passage_seq) passage_seq, passage_id, doc_id, ord, section, year, text from passages)"
 POST = f"""{PSG},
 occ as (select passage_seq, unnest({tok('text')}) as term from psg),
@@ -40,3 +43,13 @@ LLR = """steps as (select {run}, row_number() over (partition by {run} order by
 walk as (select {run}, i, inc as raw, case when abs(inc) >= ln(19) then 0.0 else inc end as llr, case when abs(inc) >= ln(19) then 1 else 0 end as fired from steps where i = 1
   union all select s.{run}, s.i, w.llr + s.inc, case when abs(w.llr + s.inc) >= ln(19) then 0.0 else w.llr + s.inc end, w.fired + case when abs(w.llr + s.inc) >= ln(19) then 1 else 0 end from walk w join steps s on s.{run} = w.{run} and s.i = w.i + 1)
 select {run} as run, round(arg_max(llr, i), 6) as llr, arg_max(fired, i) as fired{more} from walk group by 1"""
+
+
+def nfkc(x: str) -> str:
+    """NFKC of a column as far as one character stands for one, and for the
+    signs below that stand for several, in DuckDB, which has only NFC."""
+    one = {c: n for c in map(chr, range(0x80, 0x2FA20)) if len(n := unicodedata.normalize("NFKC", c)) == 1 and n != c and c not in "'"}
+    for sign in "…ﬀﬁﬂﬃﬄﬅﬆ½¼¾™℃℉№ŀ‼⁇⁈⁉﷼ĳǆ":
+        x = f"replace({x}, '{sign}', '{unicodedata.normalize('NFKC', sign)}')"
+    plain = "".join(one.values()).replace("'", "''")
+    return f"nfc_normalize(translate({x}, '{''.join(one)}', '{plain}'))"
