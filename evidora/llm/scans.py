@@ -1,7 +1,7 @@
 """Repair of text from scanned pages (problem 1).
 
-Running headers and page numbers are taken out of the line structure; what is
-left is one stream of characters, which is read along the cheapest path under the
+Running headers and page numbers are taken out of the line structure, by their
+look and by recurring over the texts of a document; what is left is one stream of characters, which is read along the cheapest path under the
 corpus's word counts, hyphenated breaks, missing and stray spaces and confused
 characters being edges with a price; paragraph boundaries are chosen by dynamic programming over lines.
 """
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidora.session import cut
+
 # What a scanner reads (left) and what may stand there (right).
 # SIGNS never belong inside a word, LETTERS may.
 SIGNS = {"€": "ec", "¢": "ce", "@": "ao", "|": "li", "!": "il", "ſ": "fs", "$": "s", "0": "o", "1": "li", "3": "e", "4": "a", "5": "s", "6": "b", "7": "t", "8": "b", "9": "g", "£": "e", "¦": "li"}
@@ -33,17 +35,20 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _EDGE = "\"'“”‘’«»()[]{}.,;:!?…"
 _NOT_LATIN = re.compile(r"[^\x20-\x7e -ɏ€ſ‐‑–—’‘“”…]")
 _BREAK = re.compile(r"[-‐‑¬­](?:[ \t]*\r?\n\s*|[ \t]+)(?=[^\W\d_])")
-_LETTERS_BEFORE, _LETTERS = re.compile(r"[^\W\d_]+$"), re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def breaks(text: str) -> Iterator[tuple[int, int, str, str, str, bool]]:
     """Words broken by a hyphen and white space: (start, end, left part, mark,
     right part, whether at a line's end)."""
     for m in _BREAK.finditer(text):
-        left = _LETTERS_BEFORE.search(text[max(0, m.start() - 40) : m.start()])
-        if left:
+        a = m.start()
+        while a and text[a - 1].isalpha():
+            a -= 1
+        if a < m.start():
             right = _LETTERS.match(text, m.end())[0]
-            yield m.start() - len(left[0]), m.end() + len(right), left[0], m[0][0], right, "\n" in m[0]
+            yield a, m.end() + len(right), text[a : m.start()], m[0][0], right, "\n" in m[0]
+
 
 _PAGE = r"(?:[-—–] ?\d{1,4} ?[-—–]|(?:Page|Seite|Pagina|Página|Sida|S\.) \d{1,4}(?: (?:of|von|de|sur) \d{1,4})?|\[\d{1,4}\]|\d{1,4} ?/ ?\d{1,4}|pp?\. ?\d{1,4})"
 _CAPS = r"[A-Z][A-Z'’.,&·:;()\-]{0,40}(?:[ ]{1,3}[A-Z0-9][A-Z0-9'’.,&·:;()\-]{0,40}){1,30}"
@@ -60,14 +65,43 @@ _NUMBER_BEHIND, _NUMBER_AHEAD = re.compile(r"(?: {2,}| ?\| ?)\d{1,4}(?=\s|$)"),
 _SEE = re.compile(r"(?:\b(?:see|cf|on|vgl|siehe|auf|at|and|to|from|of|by|in)\.?|[(,;])\s*$", re.I)
 
 
-def furniture(text: str) -> list[tuple[int, int, str]]:
+def _whole_title(text: str, at: int, found: str) -> int:
+    """Where a title begins of which the pattern took the last eight words."""
+    if len(found.split(" vol. ")[0].split()) < 8 or " vol. " not in found:
+        return at
+    while m := re.search(r"(?<![\w(])(?:[A-Z]\w+|[A-Z]\w+ [a-z]{1,3}) $", text[max(0, at - 60) : at]):
+        at -= len(m[0])
+    return at
+
+
+def line_mark(line: str) -> str:
+    """A line as it recurs over the pages: digits alike, single spaces; empty
+    for what reads as text (a lower-case beginning, the end of a sentence)."""
+    s = line.strip()
+    if len(s) < 4 or s[-1] in ".,;:?!" or s[0].islower() or not any(c.isalpha() for c in s):
+        return ""
+    return re.sub(r"\s+", " ", re.sub(r"\d+", "#", s))
+
+
+def furniture(text: str, recurring: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """Running headers and page numbers of a text as (start, end, kind), kind
-    header, page_number, or both for a line that has both."""
+    header, page_number, or both for a line that has both: lines and stretches
+    with the look of one, and lines that recur over the document's texts."""
+    again = _recurring(text, recurring) if recurring and "\n" in text else []
     out = _furniture(text)
     if out:
         letters = [c for c in text if c.isalpha()]
         if sum(c.isupper() for c in letters) > 0.5 * len(letters):
-            return []
+            out = []
+    return out + [x for x in again if not any(a < x[1] and x[0] < b for a, b, _ in out)]
+
+
+def _recurring(text: str, recurring: frozenset[str]) -> list[tuple[int, int, str]]:
+    out, at = [], 0
+    for line in text.split("\n"):
+        if line_mark(line) in recurring:
+            out.append((at, at + len(line), "header"))
+        at += len(line) + 1
     return out
 
 
@@ -109,13 +143,35 @@ def _furniture(text: str) -> list[tuple[int, int, str]]:
             continue
         if " vol. " in m[0] and text[: m.start()].rstrip().endswith(("in", "see", "cf.")):
             continue
-        out.append((m.start(), m.end(), "header"))
+        out.append((_whole_title(text, m.start(), m[0]), m.end(), "header"))
         for beside in (_NUMBER_BEHIND.match(text, m.end()), _NUMBER_AHEAD.search(text, max(0, m.start() - 12), m.start())):
             if beside and not any(a <= beside.start() < b or a < beside.end() <= b for a, b, k in out if k == "page_number"):
                 out.append((beside.start(), beside.end(), "page_number"))
     return out
 
 
+def recurring_lines(passages: DataFrame, key: str, doc: str, text: str = "text", least: int = 3) -> DataFrame:
+    """(doc, lines): the marks of lines that stand in at least ``least`` texts of
+    a document that have several lines. Counted per task first; repeated rows
+    count once."""
+    schema = pa.schema([("at", pa.int32()), ("line", pa.string())])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, lines = [], []
+            for row, t in enumerate(batch.column(2).to_pylist()):
+                marks = {m for line in t.split("\n") if (m := line_mark(line))}
+                at += [row] * len(marks)
+                lines += marks
+            took = pa.array(at, schema.field("at").type)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(lines, pa.string())], names=["doc", "key", "line"])
+
+    several = passages.where(F.col(doc).isNotNull() & F.col(text).contains("\n")).select(F.col(doc).alias("doc"), F.col(key).alias("key"), F.col(text).alias("text"))
+    kinds = {f.name: f.dataType.simpleString() for f in several.schema}
+    each = several.mapInArrow(work, f"doc {kinds['doc']}, key {kinds['key']}, line string")
+    return each.groupBy("doc", "line").agg(F.count_distinct("key").alias("n")).where(F.col("n") >= least).groupBy("doc").agg(F.collect_list("line").alias("lines"))
+
+
 def corpus_words(texts: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): how often each word is written, counted per task first."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
@@ -127,7 +183,7 @@ def corpus_words(texts: DataFrame, text: str = "text") -> DataFrame:
             words: Counter = Counter()
             for token, n in total.items():
                 w = token.strip(_EDGE)
-                if w and len(w) <= 40:
+                if w:
                     words[w] += n
             total.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], schema=schema)
@@ -147,8 +203,6 @@ def lexicon(texts: DataFrame, text: str = "text", share: float = 1e-6, least: in
     """(word -> count, the count from which words are held, all words): the
     words with at least ``share`` of all written words, hence at most
     ``1/share`` of them, and at least ``least``. Rarer words are unknown."""
-    from evidora.session import cut
-
     counted = cut(corpus_words(texts, text))
     total = counted.agg(F.sum("n")).first()[0] or 0
     floor = max(least, math.ceil(share * total))
@@ -159,6 +213,7 @@ class Decoder:
     """Joint decoding of words under a lexicon."""
 
     UNKNOWN, PER_CHAR = 9.0, 2.1
+    HEAD = 6  # how much of a spelling is looked up before the sorted list is searched
     JOIN, SPLIT, MERGE, SIGN, LETTER = 0.5, 7.0, 5.0, 4.0, 4.5
 
     def __init__(self, known: dict[str, int], floor: int = 3, total: int = 1):
@@ -170,11 +225,14 @@ class Decoder:
         for word in known:
             self.spelled.setdefault(word.lower().translate(ATOMS), []).append(word)
         self.spellings = sorted(self.spelled)
+        self.heads = {w[:k] for w in self.spellings for k in range(1, min(len(w), self.HEAD) + 1)}
+        self.longest = 3 * max(map(len, known), default=0)
         self.shut: set[tuple[str, str]] = set()
         self.ajar: set[tuple[str, str]] = set()
         self.read: dict[str, list[tuple[str, float, bool]]] = {}
         self.runs: dict[tuple[str, ...], tuple] = {}
         self.alone: dict[str, list[tuple[str, bool]] | None] = {}
+        self.parts: dict[str, tuple[str, str, bool]] = {}
 
     def count(self, word: str) -> int:
         n = self.known.get(word, 0)
@@ -232,7 +290,7 @@ class Decoder:
         return found
 
     def _reading(self, token: str) -> str | None:
-        if _NOT_LATIN.search(token) or len(token) > 40:
+        if len(token) > self.longest + 20 or _NOT_LATIN.search(token):
             return None
         core = token.strip("\"'“”‘’«»()[]{}.,;:?…").rstrip("!")
         if core[-1:] in BREAK_MARKS or core[:1] in BREAK_MARKS:
@@ -273,15 +331,26 @@ class Decoder:
         return self.count(core) > 40 * self.floor
 
     def core(self, token: str) -> str:
-        """The letters (and signs) of a token that may be decoded, or nothing."""
+        """The letters (and signs) of a token that may be decoded, or nothing:
+        no longer than three of the longest known words."""
         core = token.strip(_EDGE)
-        if not core or len(core) > 40 or len(core) > 1 and core.isupper() or _NOT_LATIN.search(core):
+        if not core or len(core) > self.longest or len(core) > 1 and core.isupper() or not core.isascii() and _NOT_LATIN.search(core):
             return ""
         if core.isalpha():
             return core
         plain = all(c.isalpha() or c in SIGNS for c in core) and any(c.isalpha() for c in core)
         return core if plain and sum(c.isdigit() for c in core) <= 2 else ""
 
+    def part(self, token: str) -> tuple[str, str, bool]:
+        """The core of a token, its atoms, and whether it is settled. Cached."""
+        found = self.parts.get(token)
+        if found is None:
+            if len(self.parts) > 300_000:
+                self.parts.clear()
+            core = self.core(token)
+            self.parts[token] = found = (core, core.lower().translate(ATOMS), bool(core) and self.settled(core))
+        return found
+
     def open(self, left: str, right: str) -> bool:
         """Whether some word may reach over the gap between two tokens. Cached."""
         pair = (left, right)
@@ -297,11 +366,11 @@ class Decoder:
         return found
 
     def _open(self, left: str, right: str) -> bool:
-        a, b = self.core(left), self.core(right)
+        a, x, firm = self.part(left)
+        b, y, last = self.part(right)
         if not a or not b or not left.endswith(a) or not right.startswith(b):
             return False
-        x = a.lower().translate(ATOMS)
-        both, at, firm, last = x + b.lower().translate(ATOMS), len(x), self.settled(a), self.settled(b)
+        both, at = x + y, len(x)
         for k in (0,) if firm else range(at):
             if not self._begins(both[k : at + 1]):
                 continue
@@ -319,6 +388,10 @@ class Decoder:
         return any((n := self.count(w)) >= 8 * rare and self.MERGE + paid + self.log - math.log(n) < apart for w, paid, _ in words)
 
     def _begins(self, atoms: str, longer: bool = False) -> bool:
+        if atoms[: self.HEAD] not in self.heads:
+            return False
+        if len(atoms) <= self.HEAD and not longer:
+            return True
         i = bisect_left(self.spellings, atoms)
         if longer and i < len(self.spellings) and self.spellings[i] == atoms:
             i += 1
@@ -388,7 +461,7 @@ class Decoder:
                 if i != starts[k]:
                     put(i, ends[k], self.cost(chars[i : ends[k]]), chars[i : ends[k]], False, False)
             atoms, first = "", chars[i].isupper()
-            for j in range(i + 1, min(n, i + 40) + 1):
+            for j in range(i + 1, n + 1):
                 atoms += spelt[j - 1]
                 if not self._begins(atoms):
                     break
@@ -482,14 +555,24 @@ class Decoder:
         character i inside a word; where there is none, a new word costs
         ``SPLIT``."""
         n = len(chars)
-        best = [0.0] + [math.inf] * n
-        back = [0] * (n + 1)
+        best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+        reach = self.longest // 3
+        fresh = max(self.log - math.log(self.floor), self.UNKNOWN)
+        unknown, since = math.inf, 0  # an unknown word that is still open: its price, where it began
+
+        def begin(i: int) -> float:
+            return best[i] + (self.SPLIT if i and not gaps[i] else 0.0)
+
         for j in range(1, n + 1):
-            for i in range(max(0, j - 30), j):
-                w = chars[i:j]
-                c = best[i] + self.cost(w) + sum(gaps[i + 1 : j]) + (self.SPLIT if i and not gaps[i] else 0.0)
-                if c < best[j]:
+            on, new = unknown + (gaps[j - 1] if j > 1 else 0.0), begin(j - 1) + fresh
+            unknown, since = (on, since) if on <= new else (new, j - 1)
+            unknown += self.PER_CHAR
+            best[j], back[j] = unknown, since
+            inner = 0.0
+            for i in range(j - 1, max(-1, j - 1 - reach), -1):
+                if self.count(chars[i:j]) and (c := begin(i) + self.cost(chars[i:j]) + inner) < best[j]:
                     best[j], back[j] = c, i
+                inner += gaps[i]
         out, j = [], n
         while j:
             out.append(chars[back[j] : j])
@@ -535,11 +618,15 @@ def paragraphs(lines: list[str], blank_before: list[bool]) -> list[str]:
         return c - (1.5 if ended and len(lines[k - 1]) < 0.6 * usual else 0.0)
 
     best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    least, at = math.inf, 0  # the best beginning of a paragraph of several lines
     for j in range(1, n + 1):
-        for i in range(max(0, j - 400), j):
-            c = best[i] + (cut(i) if i else 0.0) + (1.0 if j - i == 1 and len(lines[i]) < 40 else 0.0)
-            if c < best[j]:
-                best[j], back[j] = c, i
+        i = j - 1
+        begun = best[i] + (cut(i) if i else 0.0)
+        best[j], back[j] = begun + (1.0 if len(lines[i]) < 40 else 0.0), i
+        if least < best[j]:
+            best[j], back[j] = least, at
+        if begun < least:
+            least, at = begun, i
     out, j = [], n
     while j:
         out.append(" ".join(lines[back[j] : j]))
@@ -622,12 +709,12 @@ def decode(rest: str, decoder: Decoder) -> tuple[str, set[str]]:
     return "".join([*out, rest[at:]]), kinds
 
 
-def examine(text: str, decoder: Decoder, repair: bool) -> tuple[list[str], str | None]:
+def examine(text: str, decoder: Decoder, repair: bool, recurring: frozenset[str] = frozenset()) -> tuple[list[str], str | None]:
     """Kinds of damage in a text, and the repaired text if asked for."""
     kinds = set()
     spans: list[tuple[int, int, str]] = []
     if any(c.isdigit() or c.isupper() for c in text):
-        spans = furniture(text)
+        spans = furniture(text, recurring)
         for *_, kind in spans:
             kinds.update(("header", "page_number") if kind == "both" else (kind,))
     rest = _without(text, spans) if spans else text
@@ -688,12 +775,14 @@ class Labels:
                         yield key[:i] + x.upper() + key[i + size :]
 
 
-def scan_repair(passages: DataFrame, key: str = "passage_seq", text: str = "text", section: str = "section", repair: bool = True, share: float = 1e-6) -> DataFrame:
+def scan_repair(passages: DataFrame, key: str = "passage_seq", text: str = "text", section: str = "section", repair: bool = True, share: float = 1e-6, doc: str = "doc_id") -> DataFrame:
     """Rows (key, kinds, section, text): for every passage the kinds of damage
     found (hyphen, chars, header, page_number, section), its repaired section
     label and, with ``repair``, its repaired text in paragraphs.
 
-    Null texts and labels stay null, empty ones empty. Words are judged by
+    Lines that recur over the texts of a document (column ``doc``, if there is
+    one) are running headers whatever they look like. Null texts and labels stay
+    null, empty ones empty. Words are judged by
     their counts over all passages, labels by theirs; repeated rows are
     repaired alike. Only words and labels of at least ``share`` and a
     thousandth of all are taken to the workers.
@@ -704,6 +793,12 @@ def scan_repair(passages: DataFrame, key: str = "passage_seq", text: str = "text
     often = {r[section]: r["count"] for r in labels.where(F.col("count") >= max(2, 1e-4 * n)).toLocalIterator()}
     spark = passages.sparkSession
     sent = spark.sparkContext.broadcast({"known": known, "often": often})
+    source = passages.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(section).alias("section"), *([F.col(doc).alias("doc")] if doc in passages.columns else []))
+    if doc in passages.columns:
+        lines = cut(recurring_lines(passages, key, doc, text))
+        source = source.join(F.broadcast(lines) if lines.count() <= 100_000 else lines, "doc", "left").select("key", "text", "section", "lines")
+    else:
+        source = source.withColumn("lines", F.lit(None).cast("array<string>"))
     schema = passages.select(F.col(key).alias("key")).schema.add("kinds", "string").add("section", "string").add("text", "string")
     spec = ", ".join(f"{f.name} {'array<string>' if f.name == 'kinds' else f.dataType.simpleString()}" for f in schema)
 
@@ -715,8 +810,8 @@ def scan_repair(passages: DataFrame, key: str = "passage_seq", text: str = "text
         cache: dict[str | None, str | None] = {}
         for batch in batches:
             kinds, texts, sections = [], [], []
-            for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found, new = examine(t, decoder, repair) if t else ([], t)
+            for t, s, again in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found, new = examine(t, decoder, repair, frozenset(again or ())) if t else ([], t)
                 if s not in cache:
                     if len(cache) > 100_000:
                         cache.clear()
@@ -728,5 +823,5 @@ def scan_repair(passages: DataFrame, key: str = "passage_seq", text: str = "text
                 sections.append(cache[s])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.list_(pa.string())), pa.array(sections, pa.string()), pa.array(texts, pa.string())], names=["key", "kinds", "section", "text"])
 
-    out = passages.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(section).alias("section")).mapInArrow(work, spec)
+    out = source.mapInArrow(work, spec)
     return out.withColumnRenamed("key", key)

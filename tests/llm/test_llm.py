@@ -450,6 +450,25 @@ def test_scan_of_nothing(spark):
     assert scans.scan_repair(frame(spark, [], "passage_seq bigint, text string, section string")).count() == 0
 
 
+def test_a_header_without_the_look_of_one_recurs(spark):
+    rows = [(i, "d", f"the panel described the same shoots\nOn the drift of beds {i}\nand concluded that the trend holds", "Methods") for i in range(4)]
+    rows += [(9, "e", "the panel described the same shoots\nOn the drift of beds 7\nand concluded that the trend holds", "Methods"), (10, None, "a\nb", None), (0, "d", rows[0][2], "Methods")]
+    out = {r["passage_seq"]: (r["kinds"], r["text"]) for r in scans.scan_repair(frame(spark, rows, "passage_seq bigint, doc_id string, text string, section string")).collect()}
+    assert all(out[i] == (["header"], "the panel described the same shoots and concluded that the trend holds") for i in range(4)) and out[9][0] == []
+
+
+def test_long_titles_words_and_paragraphs_are_read_whole():
+    title = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda, vol. 12"
+    text = f"the trend holds {title} and the reef grew"
+    assert [text[a:b] for a, b, k in scans.furniture(text) if k == "header"] == [title]
+    left = "w" * 60
+    assert [b[2] for b in scans.breaks(f"{left}-\nrest")] == [left]
+    lines = ["a line that goes on and on"] * 900 + ["and ends."]
+    assert len(scans.paragraphs(lines, [False] * 901)) == 1
+    d = scans.Decoder({"the": 900, "trend": 50}, 3, 10_000)
+    assert d.segment("the" * 40, [0.0] + [0.5] * 120) == ["the"] * 40
+
+
 def test_paragraphs_follow_blank_lines_and_sense():
     lines = ["A first line that goes on", "and ends here.", "A second begins after a gap", "and is torn", "by a header."]
     assert scans.paragraphs(lines, [False, False, True, False, True]) == ["A first line that goes on and ends here.", "A second begins after a gap and is torn by a header."]
