@@ -225,14 +225,17 @@ class Decoder:
         for word in known:
             self.spelled.setdefault(word.lower().translate(ATOMS), []).append(word)
         self.spellings = sorted(self.spelled)
+        self.cheapest = {atoms: self.log - math.log(max(map(known.__getitem__, words))) for atoms, words in self.spelled.items()}
         self.heads = {w[:k] for w in self.spellings for k in range(1, min(len(w), self.HEAD) + 1)}
         self.longest = 3 * max(map(len, known), default=0)
-        self.shut: set[tuple[str, str]] = set()
+        self.shut: dict[str, set[str]] = {}
+        self.n_shut = 0
         self.ajar: set[tuple[str, str]] = set()
         self.read: dict[str, list[tuple[str, float, bool]]] = {}
         self.runs: dict[tuple[str, ...], tuple] = {}
         self.alone: dict[str, list[tuple[str, bool]] | None] = {}
-        self.parts: dict[str, tuple[str, str, bool]] = {}
+        self.parts: dict[str, tuple[str, str, bool, tuple[int, ...]]] = {}
+        self.atoms: dict[str, str] = {}
 
     def count(self, word: str) -> int:
         n = self.known.get(word, 0)
@@ -341,42 +344,57 @@ class Decoder:
         plain = all(c.isalpha() or c in SIGNS for c in core) and any(c.isalpha() for c in core)
         return core if plain and sum(c.isdigit() for c in core) <= 2 else ""
 
-    def part(self, token: str) -> tuple[str, str, bool]:
-        """The core of a token, its atoms, and whether it is settled. Cached."""
+    def part(self, token: str) -> tuple[str, str, bool, tuple[int, ...]]:
+        """The core of a token, its atoms, whether it is settled, and the places
+        from which its rest begins a longer spelling (of a settled one only the
+        first place counts). Cached."""
         found = self.parts.get(token)
         if found is None:
             if len(self.parts) > 300_000:
                 self.parts.clear()
             core = self.core(token)
-            self.parts[token] = found = (core, core.lower().translate(ATOMS), bool(core) and self.settled(core))
+            x, firm = core.lower().translate(ATOMS), bool(core) and self.settled(core)
+            self.parts[token] = found = (core, x, firm, tuple(k for k in ((0,) if firm else range(len(x))) if self._begins(x[k:], longer=True)))
         return found
 
     def open(self, left: str, right: str) -> bool:
         """Whether some word may reach over the gap between two tokens. Cached."""
-        pair = (left, right)
-        if pair in self.shut:
+        held = self.shut.get(left)
+        if held is not None and right in held:
             return False
+        pair = (left, right)
         if pair in self.ajar:
             return True
-        found = self._open(left, right)
-        held = self.ajar if found else self.shut
-        if len(held) > 700_000:
-            held.clear()
-        held.add(pair)
-        return found
+        if self._open(left, right):
+            if len(self.ajar) > 700_000:
+                self.ajar.clear()
+            self.ajar.add(pair)
+            return True
+        self.n_shut += 1
+        if self.n_shut > 700_000:
+            self.shut.clear()
+            self.n_shut = 1
+        self.shut.setdefault(left, set()).add(right)
+        return False
 
     def _open(self, left: str, right: str) -> bool:
-        a, x, firm = self.part(left)
-        b, y, last = self.part(right)
-        if not a or not b or not left.endswith(a) or not right.startswith(b):
+        a, x, _, places = self.part(left)
+        if not places:
+            return False
+        b, y, last, _ = self.part(right)
+        if not b or not left.endswith(a) or not right.startswith(b):
             return False
-        both, at = x + y, len(x)
-        for k in (0,) if firm else range(at):
+        both, at, whole = x + y, len(x), len(x) + len(y)
+        apart = self.cost(a) + self.cost(b)
+        for k in places:
             if not self._begins(both[k : at + 1]):
                 continue
-            if self._begins(both[k:], longer=True) or not last and any(both[k:e] in self.spelled for e in range(at + 1, len(both))):
+            if self._begins(both[k:], longer=True):
+                return True
+            least = self.MERGE + (self.SPLIT if k else 0.0)
+            if not last and any((c := self.cheapest.get(both[k:e])) is not None and least + self.SPLIT + c < apart for e in range(at + 1, whole)):
                 return True
-            if both[k:] in self.spelled and (k or self._pays(a, b)):
+            if both[k:] in self.spelled and (least + self.cheapest[both[k:]] < apart if k else self._pays(a, b)):
                 return True
         return False
 
@@ -420,7 +438,7 @@ class Decoder:
         firm = [self.settled(c) for c in cores]
         best: list[tuple] = [(0.0,)] + [(math.inf,)] * n
         boundary = {*starts, n}
-        spelt = [c.lower().translate(ATOMS) for c in chars]
+        spelt = [self.atoms.get(c) or self.atoms.setdefault(c, c.lower().translate(ATOMS)) for c in chars]
 
         def gap(k: int) -> float:
             return self.MERGE if k not in hyphens else self.JOIN + (0.0 if hyphens[k][1] else 2.0)
@@ -531,12 +549,12 @@ class Decoder:
 
     def gaps_shut(self, words: list[str]) -> bool:
         """Whether no word reaches over a gap of these tokens."""
-        pairs = list(zip(words, words[1:]))
-        reached = {pair for pair in set(pairs) - self.shut if self.open(*pair)}
+        shut = self.shut
+        reached = [k for k, (a, b) in enumerate(zip(words, words[1:])) if b not in shut.get(a, ()) and self.open(a, b)]
         if not reached:
             return True
         first = last = -1
-        for k in [k for k, pair in enumerate(pairs) if pair in reached]:
+        for k in reached:
             if k != last:
                 if first >= 0 and not self.same(tuple(words[first : last + 1])):
                     return False
