@@ -13,6 +13,22 @@ from pyspark.sql import functions as F
 # Accented letters and their plain ones, in order.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# Words that aren't asked for in a question.
+QUESTION_STOPWORDS = tuple(
+    """a an the of in on at to for from by with is are was were be been do does did what why how when which who whom that this these
+those would could should can may might will shall as it its their there than then and or but if after before during between about into over
+you your we our they them his her he she thing things work worked working important importantly extensively question questions panel approach approaches
+useful good better best make makes making idea ideas example examples well lot lots very really just also some such like want need think know
+say says said see get got give gives given use used using one two three first second next step steps way ways case cases point points
+happen happens happened bit little much many more most less least same different additional addition furthermore instance etc sure maybe perhaps rather
+quite even still back around across through help helps helping helpful gaining obtain result results process part parts place places not near""".split()
+)
+# Words that don't tell two claims apart.
+CLAIM_STOPWORDS = tuple(
+    """the and for that this with from are was were not but which these those have has had can may will would could should than then there their its
+our your his her they them what when how why who into over under between within without also been being such more most other same does did
+any all each both some one two three""".split()
+)
 # Words without content of their own; a parameter wherever it is used.
 STOPWORDS = tuple(
     "the and for are was were been being with without from into onto over under above below between among about against during before after since until while this that these those there here their them they his her its our your you she him who whom whose which what when where why how has have had having does did doing can could may might must shall should will would not nor but yet also than then thus such some any all each every both either neither more most less least many much few own same other another only very too just even still again further once per via out off upon within across along around because though although unless whether".split()
@@ -33,7 +49,7 @@ def index_tokens(text: Column) -> Column:
     return F.filter(F.split(fold_accents(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def question_terms(text: Column, least: int = 3, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+def question_terms(text: Column, least: int = 3, stopwords: tuple[str, ...] = QUESTION_STOPWORDS) -> Column:
     """Distinct content terms in order: split at everything but ASCII letters
     and digits, lower case, at least ``least`` long, no stopword, no number."""
     words = F.split(F.lower(text), "[^a-z0-9]+")
@@ -41,7 +57,7 @@ def question_terms(text: Column, least: int = 3, stopwords: tuple[str, ...] = ST
     return F.array_distinct(F.filter(words, lambda t: (F.length(t) >= least) & ~F.array_contains(stop, t) & ~t.rlike("^[0-9]+$")))
 
 
-def content_tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+def content_tokens(text: Column, stopwords: tuple[str, ...] = CLAIM_STOPWORDS) -> Column:
     """Tokens for comparing claims: ASCII words of more than two characters
     that start with a letter and may hold digits and hyphens, with repeats."""
     stop = F.array(*[F.lit(w) for w in stopwords])

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidora.functions.text import doi, fulltext_class, title_in_text
 from evidora.operators.graph import components
 
+# White space as in the JVM's and SQL's \s.
+_WORDS = re.compile(r"[^ \t\n\x0b\f\r]+")
 KEYS = ("doi", "pmid", "pmcid", "arxiv_id", "source_sha256", "text_sha256")
 
 
@@ -85,25 +91,50 @@ def difference(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def pack(blocks: DataFrame, key: str, low: int = 1500, high: int = 3000, least_words: int = 3) -> DataFrame:
-    """Blocks (key, ord, section, text) into passages (key, n, section, text):
-    neighbours of one section are joined by a newline until a passage reaches
-    ``low`` characters, and before one exceeds ``high``; passages of fewer than
-    ``least_words`` words are dropped. A fold over each document's ordered
-    blocks; one document's blocks are held at once."""
-    state = "struct<done:array<struct<section:string,text:string>>,section:string,text:string>"
-    start = F.expr(f"cast(named_struct('done', array(), 'section', null, 'text', null) as {state})")
-
-    def pushed(s: Column) -> Column:
-        return F.when(s["text"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["section"].alias("section"), s["text"].alias("text")))))
-
-    def step(s: Column, b: Column) -> Column:
-        fits = s["text"].isNotNull() & s["section"].eqNullSafe(b["section"]) & (F.length(s["text"]) < low) & (F.length(s["text"]) + 1 + F.length(b["text"]) <= high)
-        return F.struct(F.when(fits, s["done"]).otherwise(pushed(s)).alias("done"), b["section"].alias("section"), F.when(fits, F.concat(s["text"], F.lit("\n"), b["text"])).otherwise(b["text"]).alias("text"))
-
-    ordered = F.sort_array(F.collect_list(F.struct("ord", F.col("section"), F.col("text"))))
-    packed = blocks.where(F.length(F.trim("text")) > 0).groupBy(key).agg(ordered.alias("b")).select(key, F.aggregate("b", start, step, pushed).alias("ps"))
-    each = packed.select(key, F.posexplode(F.filter("ps", lambda p: F.size(F.filter(F.split(p["text"], "\\s+"), lambda w: w != "")) >= least_words)).alias("n", "p"))
-    return each.select(key, "n", F.col("p.section").alias("section"), F.col("p.text").alias("text"))
+    """Blocks (key, ord, section, text) into passages (key, n, section, text,
+    passage_id): neighbours of one section are joined by a newline until a
+    passage reaches ``low`` characters, and before one exceeds ``high``;
+    passages of fewer than ``least_words`` words are dropped. Null and blank
+    blocks count as none. The ordered blocks stream through; a task holds the
+    passage that it is filling, never a document."""
+    kind = blocks.schema[key].dataType
+    spec = f"key {kind.simpleString()}, n int, section string, text string"
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, section, held, size, n = None, None, [], 0, 0
+        out: list[tuple] = []
+
+        def close() -> None:
+            nonlocal n, held, size
+            if held and len(_WORDS.findall(text := "\n".join(held))) >= least_words:
+                out.append((own, n, section, text))
+                n += 1
+            held, size = [], 0
+
+        def done(schema: pa.Schema) -> pa.RecordBatch:
+            columns = list(zip(*out)) or [(), (), (), ()]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (schema.field(0).type, pa.int32(), pa.string(), pa.string()))], names=["key", "n", "section", "text"])
+            out.clear()
+            return batch
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for k, s, t in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if held and (k != own or s != section or size >= low or size + 1 + len(t) > high):
+                    close()
+                if k != own:
+                    own, n = k, 0
+                section, size = s, size + len(t) + (1 if held else 0)
+                held.append(t)
+            yield done(schema)
+        if schema is not None:
+            close()
+            yield done(schema)
+
+    rows = blocks.where(F.length(F.trim("text")) > 0).select(F.col(key).alias("key"), "ord", "section", "text")
+    packed = rows.repartition("key").sortWithinPartitions("key", "ord").mapInArrow(fold, spec)
+    return packed.select(F.col("key").alias(key), "n", "section", "text", F.concat(F.col("key").cast("string"), F.lit("#p"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("passage_id"))
 
 
 def statistics(docs: DataFrame) -> DataFrame:

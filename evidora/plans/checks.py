@@ -182,6 +182,15 @@ def doctor(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(aligned).unionByName(found).unionByName(seats)
 
 
+def registration(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that a row or a passage names: registered ones have a row, and
+    have text if they count passages of which some can be read."""
+    p = table(spark, d, "passages").where("doc_id is not null and length(trim(text)) > 0").select("doc_id", F.lit(True).alias("text")).distinct()
+    docs = table(spark, d, "docs").select("doc_id", F.coalesce("n_passages", F.lit(0)).alias("n")).distinct()
+    both = docs.join(p, "doc_id", "full_outer")
+    return both.select("doc_id", F.col("n").isNotNull().alias("registered"), F.coalesce((F.col("n") > 0) & F.col("text"), F.lit(False)).alias("has_text"))
+
+
 def citation_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Stored verdicts on citations by the seat that made them, and how many
     are adverse."""
@@ -196,7 +205,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         attribution, seat_status, author_ids, given_names, retag, document_filters, title_fragments, canon_coverage, best_title, id_batches, passage_id_repair, acquisition_outcomes,
-        library_put, seat_verify, doctor, citation_verdicts,
+        library_put, seat_verify, doctor, registration, citation_verdicts,
     )
 }
 
@@ -278,5 +287,6 @@ select doc_id, case when reason is not null then 'quarantined: ' || reason when
 n as (select name, (select count(*) from t where contains(x, ' ' || array_to_string({tok('probe')}, ' ') || ' ')) as probe_hits, (select count(*) from own o2 where o2.name = seats.name) as n_own, coalesce(min_docs, 0) as floor from seats)
 select n.name, probe_hits, n_own, coalesce(overlap, 0) as overlap, case when probe_hits = 0 then 'no hits' when n_own = 0 then 'nothing own' when n_own < floor then 'THIN' when coalesce(overlap, 0) > 0.35 then 'overlap' else 'ok' end as state from n left join most using (name)""",
     "doctor": f"with {_STATUS} select 'corpus' as \"check\", count(distinct doc_id) as n, count(distinct doc_id) >= 100 as ok from docs union all select 'index', 1, true union all select 'audit', count(*), count(*) = 0 from ({LIBRARY_SQL["library_audit"]}) union all select 'seats', count(*) filter (where n_topic_docs > 0), count(*) = count(*) filter (where n_topic_docs > 0) from status",
+    "registration": "with p as (select distinct doc_id from passages where doc_id is not null and length(trim(text, ' ')) > 0), d as (select distinct doc_id, coalesce(n_passages, 0) as n from docs) select coalesce(d.doc_id, p.doc_id) as doc_id, d.doc_id is not null as registered, coalesce(n > 0 and p.doc_id is not null, false) as has_text from d full join p on p.doc_id = d.doc_id",
     "citation_verdicts": f"with {CLAIMS}, c as (select seat, coalesce(c.status, 'unrecognised') as verdict from (select seat, unnest(citations) as c from claims where seat is not null)), p as (select seat, verdict, count(*) as n from c group by 1, 2) select *, cast(sum(case when verdict <> 'verified' then n else 0 end) over (partition by seat) as bigint) as adverse from p",
 }

@@ -12,6 +12,8 @@ from evidora.plans import panel, search
 from evidora.plans.panel import _C, TURN
 from evidora.plans.sqltext import content
 from evidora.session import cut
+from evidora.sources.files import mark, once_written, shared_folder
+from evidora.sources.sinks import transcript
 from evidora.sources.tables import table
 
 DEALS, RHO = 50, 0.6
@@ -66,23 +68,30 @@ def _snapshots(spark: SparkSession, d: str) -> DataFrame:
     return cut(out.select(*TURN, "n_claims", "n_seats", "n_expected", F.round("evidence", 6).alias("evidence"), "evidence_ok", F.round("positions", 6).alias("positions"), "positions_ok", F.round("dissent", 6).alias("dissent"), "n_stances", "novelty", "lost", "n_consensus", "has_minority"))
 
 
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshots, taken once for the present tables: a turn that was
+    measured is read, not measured again."""
+    name = "snapshots-" + "".join(mark(spark, f"{d}/{t}.parquet") for t in ("docs", "seats", "ledger"))
+    return spark.read.parquet(once_written(spark, f"{shared_folder(spark)}/{name}", lambda beside: _snapshots(spark, d).write.parquet(beside)))
+
+
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """What each turn is judged by."""
+    """What each turn is judged by, measured anew."""
     return _snapshots(spark, d)
 
 
 def bands(spark: SparkSession, d: str) -> DataFrame:
-    b = gd.bands(_snapshots(spark, d), RHO)
+    b = gd.bands(_measured(spark, d), RHO)
     return b.select("run", "reference_turn", *[F.round(c, 6).alias(c) for c in ("floor_evidence", "floor_positions", "ceiling_positions", "ref_evidence", "ref_positions")], "calibrated")
 
 
 def band_retention(spark: SparkSession, d: str) -> DataFrame:
-    s = _snapshots(spark, d)
+    s = _measured(spark, d)
     return gd.retention(s, gd.bands(s, RHO)).select("run", "turn", F.round("retained", 6).alias("retained"))
 
 
 def turn_standing(spark: SparkSession, d: str) -> DataFrame:
-    s = _snapshots(spark, d)
+    s = _measured(spark, d)
     return gd.standing(s, gd.bands(s, RHO))
 
 
@@ -96,7 +105,7 @@ def band_identity(spark: SparkSession, d: str) -> DataFrame:
 
 def axis_change(spark: SparkSession, d: str) -> DataFrame:
     """How each axis moved since the turn before."""
-    s = _snapshots(spark, d)
+    s = _measured(spark, d)
     w = Window.partitionBy("run").orderBy("turn")
     each = [s.select(*TURN, F.lit(a).alias("axis"), F.round(F.col(a) - F.lag(a).over(w), 5).alias("change")) for a in ("evidence", "positions", "dissent")]
     return each[0].unionByName(each[1]).unionByName(each[2]).where("change is not null")
@@ -112,7 +121,7 @@ def trajectory_flags(spark: SparkSession, d: str) -> DataFrame:
     claims = rows.groupBy(*TURN).agg(F.count("*").alias("n_claims"), F.avg(F.coalesce("grounded", F.lit(False)).cast("double")).alias("grounded"))
     docs = _verified_docs(spark, d).select(*TURN, "doc_id").distinct()
     new = docs.withColumn("new", (F.col("turn") == F.min("turn").over(Window.partitionBy("run", "doc_id"))).cast("double")).groupBy(*TURN).agg(F.avg("new").alias("new_share"))
-    s = _snapshots(spark, d).select(*TURN, F.when(F.col("positions_ok"), F.col("positions")).alias("positions"), "novelty")
+    s = _measured(spark, d).select(*TURN, F.when(F.col("positions_ok"), F.col("positions")).alias("positions"), "novelty")
     out = expected.join(claims, TURN, "left").join(new, TURN, "left").join(s, TURN, "left")
     late = F.col("turn") > 1
 
@@ -145,7 +154,20 @@ def distinct_n(spark: SparkSession, d: str) -> DataFrame:
     return grams.groupBy(*TURN, "seat", "n").agg(F.count_distinct("g").alias("n_distinct"), F.count("*").alias("n_all")).withColumn("share", F.round(F.col("n_distinct") / F.col("n_all"), 6))
 
 
-QUERIES = {f.__name__: f for f in (observations, snapshots, bands, band_retention, turn_standing, turn_controls, band_identity, axis_change, trajectory_flags, prior_context, distinct_n)}
+def transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn's claims as one text, by length and digest."""
+    return transcript(panel._claims(spark, d)).select(*TURN, F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def stylometry_rate(spark: SparkSession, d: str) -> DataFrame:
+    """How often each seat's later claims are taken for its own, beside chance."""
+    s = cut(panel.stylometry(spark, d))
+    seats = s.select("predicted").distinct().count() or 1
+    per = s.groupBy("seat").agg(F.sum("n").alias("n_claims"), F.coalesce(F.sum(F.when(F.col("seat") == F.col("predicted"), F.col("n"))), F.lit(0)).alias("n_hits"))
+    return per.select("seat", "n_claims", "n_hits", F.round(F.col("n_hits") / F.col("n_claims"), 6).alias("rate"), F.round(F.lit(1.0 / seats), 6).alias("chance"))
+
+
+QUERIES = {f.__name__: f for f in (transcripts, stylometry_rate, observations, snapshots, bands, band_retention, turn_standing, turn_controls, band_identity, axis_change, trajectory_flags, prior_context, distinct_n)}
 
 _ROWS = f"{_C}, rws as (select * from claims where run is not null and turn is not null and seat is not null), vd as (select distinct run, turn, seat, c.doc_id as doc_id from (select run, turn, seat, unnest(citations) as c from rws) where c.status = 'verified' and c.doc_id is not null)"
 _NOVEL = panel.SQL["novelty"]
@@ -185,6 +207,9 @@ walk as (select run, i, cast(0 as double) as llr, 0 as used, cast(null as int) a
   from walk w join gate g on g.run = w.run and g.i = w.i + 1, lateral (select acts, barred, case when barred then least(w.used + 1, 7) else least(w.used, 7) end as place, ['{"', '".join(gd.LADDER)}'] as ladder from (select acts, acts and ((w.used = 1 and g.n_consensus = 0) or (w.used = 5 and not g.has_minority)) as barred from (select g.early is null and g.later is null and w.llr + g.inc >= ln(19) as acts))) a),
 judged as (select run, turn, verdict, move, skipped, n_breached, round(raw, 6) as llr, fired from walk where i > 0)"""
 SQL = {
+    "transcripts": f"""with {_C}, l as (select run, turn, seat, coalesce(claim_idx, 0) as i, claim_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce(citations, []), lambda c: c.doc_id), lambda x: x is not null))), ', ') as ds, text, grounded from claims where run is not null and turn is not null and seat is not null),
+t as (select run, turn, string_agg('[' || seat || '] ' || coalesce(text, '') || case when coalesce(grounded, false) then '' else ' (not grounded)' end || case when ds <> '' then ' {{' || ds || '}}' else '' end, chr(10) order by seat, i, claim_id) as x from l group by 1, 2) select run, turn, length(x) as n_chars, md5(x) as digest from t""",
+    "stylometry_rate": f"with s as ({panel.SQL['stylometry']}), k as (select count(distinct predicted) as k from s) select seat, cast(sum(n) as bigint) as n_claims, cast(coalesce(sum(n) filter (where seat = predicted), 0) as bigint) as n_hits, round(coalesce(sum(n) filter (where seat = predicted), 0) / sum(n), 6) as rate, round(1.0 / (select k from k), 6) as chance from s group by 1",
     "observations": f"with {_ROWS} select r.run, r.turn, r.seat, count(*) as n_claims, count(*) filter (where grounded) as n_grounded, cast(coalesce(sum(length(text)) filter (where grounded), 0) as bigint) as n_chars, (select count(*) from vd where vd.run = r.run and vd.turn = r.turn and vd.seat = r.seat) as n_docs from rws r group by 1, 2, 3",
     "snapshots": f"with {_SNAP} select * from snap",
     "bands": f"with {_SNAP} select run, reference_turn, round(floor_evidence, 6) as floor_evidence, round(floor_positions, 6) as floor_positions, round(ceiling_positions, 6) as ceiling_positions, round(ref_evidence, 6) as ref_evidence, round(ref_positions, 6) as ref_positions, true as calibrated from band",

@@ -56,7 +56,7 @@ def fulltext_class(spark: SparkSession, d: str) -> DataFrame:
 def passage_pack(spark: SparkSession, d: str) -> DataFrame:
     """Documents' lines packed into passages, by size and digest."""
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text")).withColumn("section", F.lit(None).cast("string"))
-    return cp.pack(lines, "doc_id").select("doc_id", "n", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    return cp.pack(lines, "doc_id").select("doc_id", "n", "passage_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +178,7 @@ select doc_id, 'short_title' from b where listed and coalesce(length(title), 0)
     "passage_pack": """with recursive l as (select doc_id, row_number() over (partition by doc_id order by ord) as i, t from (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as ord from documents) where length(trim(t, ' ')) > 0),
 w as (select doc_id, i, t as body, 1 as g from l where i = 1 union all select l.doc_id, l.i, case when length(w.body) < 1500 and length(w.body) + 1 + length(l.t) <= 3000 then w.body || chr(10) || l.t else l.t end, case when length(w.body) < 1500 and length(w.body) + 1 + length(l.t) <= 3000 then w.g else w.g + 1 end from w join l on l.doc_id = w.doc_id and l.i = w.i + 1),
 ps as (select doc_id, g, arg_max(body, i) as body from w group by 1, 2)
-select doc_id, cast(row_number() over (partition by doc_id order by g) - 1 as int) as n, cast(length(body) as int) as n_chars, md5(body) as digest from ps where len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) >= 3""",
+select doc_id, cast(row_number() over (partition by doc_id order by g) - 1 as int) as n, doc_id || '#p' || lpad(cast(row_number() over (partition by doc_id order by g) - 1 as varchar), 4, '0') as passage_id, cast(length(body) as int) as n_chars, md5(body) as digest from ps where len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) >= 3""",
     "text_functions": f"""select distinct seq, regexp_replace(lower(trim(doi)), '^(?:https?://)?(?:dx\\.)?doi\\.org/|^doi:\\s*', '') as doi, {_YEAR.format(x='coalesce(pub_date, retrieved_at)')} as found_year, regexp_replace(translate(lower(venue), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]+', '', 'g') as venue_slug,
 coalesce(year, {_YEAR.format(x='pub_date')}) as year_known, len(regexp_extract_all(title, '[A-Za-z0-9][A-Za-z0-9\\-''/.]*')) as n_words, sha256(title) as title_sha from docmeta""",
     "coauthor_overlap": f"""with {_CUR}, w as (select doc_id, list_filter(string_split({_plain('author')}, ' '), lambda x: x <> '') as ws from (select doc_id, unnest(authors) as author from cur)), k as (select distinct doc_id, case when len(ws) >= 2 then ws[-1] || '|' || ws[1][1] else ws[1] end as k from w where len(ws) >= 1), few as (select doc_id from k group by 1 having count(*) <= 30)

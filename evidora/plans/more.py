@@ -96,7 +96,9 @@ def citation_plan(spark: SparkSession, d: str) -> DataFrame:
     own = search.own_documents(spark, d).select(F.col("name").alias("seat"), F.col("doc_id").alias("work"))
     c = citations(table(spark, d, "ledger")).where("doc_id is not null").select("claim_id", "cit_no", "doc_id")
     cites = c.where("cit_no = 0").select("claim_id", F.col("doc_id").alias("src")).join(c.where("cit_no > 0").select("claim_id", F.col("doc_id").alias("dst")), "claim_id").select("src", "dst")
-    return nb.plan(own, cites, table(spark, d, "docs").select(F.col("doc_id").alias("work")))
+    docs, meta = table(spark, d, "docs"), current(table(spark, d, "docmeta"))
+    wrote = meta.select(F.col("doc_id").alias("work"), F.explode("authors").alias("a")).select("work", idn.full_name_key(F.col("a")).alias("author")).where("author <> ''")
+    return nb.plan(own, cites, docs.select(F.col("doc_id").alias("work")), wrote, docs.select(F.col("doc_id").alias("work"), F.explode("topics").alias("topic")))
 
 
 def document_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -160,13 +162,16 @@ select a.run, a.turn, 'lexical', round(avg(greatest(0, 1 + coalesce(part, 0))),
 select run, turn, 'stance', round(avg(case when declared['confidence'] <> 'high' then 1.0 else 0.0 end), 5) from claims where run is not null and turn is not null and declared['confidence'] is not null group by 1, 2 union all
 select run, turn, 'positions', round((m * m / (m + 2 * coalesce(sq, 0)) - 1) / (m - 1), 5) from vm left join vs using (run, turn) where m > 1""",
     "panel_null": _null_sql(),
-    "citation_plan": f"""with {_C}, own as (select distinct s.name as seat, d.doc_id as work from (select name, unnest(own_topics) as t from seats) s join (select doc_id, unnest(topics) as t from docs) d using (t)),
+    "citation_plan": f"""with {_C}, {_CUR}, own as (select distinct s.name as seat, d.doc_id as work from (select name, unnest(own_topics) as t from seats) s join (select doc_id, unnest(topics) as t from docs) d using (t)),
 e as (select distinct a.doc_id as src, b.doc_id as dst from cits a join cits b using (claim_id) where a.cit_no = 0 and b.cit_no > 0 and a.doc_id <> b.doc_id),
 wt as (select dst as work, count(*) as n from e group by 1),
 rd as (select seat, dst as work, count(*) as n from own join e on own.work = e.src group by 1, 2 having count(*) >= 2), rd2 as (select * from rd qualify row_number() over (partition by seat order by n desc, work) <= 120),
 an as (select seat, work as anchor from own join wt using (work) qualify row_number() over (partition by seat order by n desc, work) <= 10),
-by1 as (select seat, anchor, src as work, coalesce(wt.n, 0) as n from an join e on e.dst = an.anchor left join wt on wt.work = e.src), by2 as (select seat, work, max(n) as n from (select * from by1 qualify row_number() over (partition by seat, anchor order by n desc, work) <= 8) group by 1, 2),
-al as (select seat, work, 0 as p, 'authored' as node, 0 as n from own union all select seat, work, 1, 'reads', n from rd2 union all select seat, work, 2, 'cited_by', n from by2)
+wr0 as (select distinct doc_id as work, list_sort(list_filter(string_split({_P(x='a')}, ' '), lambda w: length(w) > 1)) as ks from (select doc_id, unnest(authors) as a from cur)), wr as (select distinct work, array_to_string(ks, ' ') as grp from wr0 where len(ks) >= 2),
+co as (select seat, grp from own join wr using (work) group by 1, 2 qualify row_number() over (partition by seat order by count(*) desc, grp) <= 8), tp as (select distinct doc_id as work, unnest(topics) as grp from docs), fi as (select seat, grp from own join tp using (work) group by 1, 2 qualify row_number() over (partition by seat order by count(*) desc, grp) <= 3),
+pool as (select seat, 2 as p, 'collaborators' as node, 12 as most, grp, work from co join wr using (grp) union all select seat, 3, 'cited_by', 8, anchor, src from an join e on e.dst = an.anchor union all select seat, 4, 'canon', 30, grp, work from fi join tp using (grp)),
+best as (select pool.*, coalesce(wt.n, 0) as n, row_number() over (partition by p, seat, grp order by coalesce(wt.n, 0) desc, work) as r from pool left join wt using (work)),
+al as (select seat, work, 0 as p, 'authored' as node, 0 as n from own union all select seat, work, 1, 'reads', n from rd2 union all select seat, work, p, any_value(node), max(n) from best where r <= most group by seat, work, p)
 select seat, work, node, n, not exists (select 1 from docs d where d.doc_id = work) as new from (select * from al qualify row_number() over (partition by seat, work order by p) = 1)""",
     "document_ids": f"""with {_CUR}, a as (select doc_id, year, venue, trim(regexp_replace(coalesce(first_author, ''), '\\s+', ' ', 'g')) as q from cur), w as (select *, string_split(q, ' ') as ws from a),
 n as (select *, ws[-1] as z, array_to_string(ws[1:len(ws) - 1], ' ') as r from w), f as (select *, case when contains(q, ',') then split_part(q, ',', 1) when len(ws) > 1 and length(z) <= 3 and upper(z) = z then r else regexp_extract(r, '(?i)(?:^|\\s)((?:(?:{"|".join(idn.PARTICLES)})(?:\\s|$))+)$', 1) || ' ' || z end as fam from n),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidora.functions.text import DASHES, LIGATURES, QUOTES, content_tokens
 from evidora.operators import measure as ms
 from evidora.operators import verify as vf
-from evidora.operators.index import once
+from evidora.operators.index import neighbours, once
 from evidora.plans.search import _PACKET_SQL, own_documents, packets
 from evidora.plans.sqltext import CLAIMS, LLR, content, nfkc
 from evidora.session import cut
@@ -16,7 +16,12 @@ from evidora.sources.tables import table
 
 TURN = ["run", "turn"]
 DEALS = 200
-MARKERS = ["contrary to", "disagree", "argues against", "unclear", "whether", "could not repeat", "cannot be", "however", "although", "alternative", "not robust", "underpowered", "preliminary", "artefact", "debate", "debated", "dispute", "contested", "controvers", "conflict", "inconsisten", "contradict", "uncertain", "challenge", "doubt"]
+# Marks of a live argument.
+MARKERS = [
+    "however", "in contrast", "by contrast", "conversely", "nevertheless", "controversial", "controversy", "debate", "debated", "disputed", "conflicting", "inconsistent", "discrepant", "discrepancy", "paradox",
+    "remains unclear", "remains unknown", "not been established", "contrary to", "challenge the", "challenges the", "fail to replicate", "could not be replicated", "unresolved", "at odds with",
+]
+NEAR_DUPLICATE = 0.8
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
@@ -142,20 +147,28 @@ def perm_null_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _against_earlier(spark: SparkSession, d: str, by_seat: bool) -> DataFrame:
-    """(run, turn[, seat], claim_id, most): each claim's largest cosine to the
-    earlier claims of its run (and seat); tf-idf fitted on those and the turn's."""
+    """(run, turn[, seat], a, most): each claim's largest cosine to the earlier
+    claims of its run (and seat), where that is a near duplicate, else what it
+    was found to be at most; tf-idf fitted on those and the turn's."""
     c = _claims(spark, d).where(F.col("turn").isNotNull() & F.col("run").isNotNull() & F.col("seat").isNotNull())
     group = ["run", "seat"] if by_seat else ["run"]
     terms = c.select(*group, "claim_id", F.col("turn").alias("own_turn"), F.explode(content_tokens(F.col("text"))).alias("term")).groupBy(*group, "claim_id", "own_turn", "term").agg(F.count("*").alias("n"))
     turns = c.select(*group, "turn").distinct()
     scope = terms.join(turns, group).where("own_turn <= turn")
-    w = ms.tfidf(scope, [*group, "turn"], "claim_id").join(terms.select("claim_id", "own_turn").distinct(), "claim_id")
+    key = [*group, "turn"]
+    w = cut(ms.tfidf(scope, key, "claim_id").join(terms.select("claim_id", "own_turn").distinct(), "claim_id"))
+    # Rarest terms first; what lies behind a claim's prefix is shorter than the
+    # threshold, so two claims that reach it share a term of both prefixes.
+    order = Window.partitionBy(*key, "claim_id").orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ranked = w.join(w.groupBy(*key, "term").agg(F.count("*").alias("df")), [*key, "term"])
+    prefix = ranked.withColumn("left", F.sum(F.col("w") * F.col("w")).over(order)).where(F.col("left") >= NEAR_DUPLICATE**2 - 1e-6)
     new, old = w.where("own_turn = turn"), w.where("own_turn < turn")
-    dot = new.select(*group, "turn", F.col("claim_id").alias("a"), "term", F.col("w").alias("wa")).join(old.select(*group, "turn", F.col("claim_id").alias("b"), "term", F.col("w").alias("wb")), [*group, "turn", "term"])
-    best = dot.groupBy(*group, "turn", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos")).groupBy(*group, "turn", "a").agg(F.max("cos").alias("most"))
-    base = new.select(*group, "turn", F.col("claim_id").alias("a")).distinct()
-    earlier = old.select(*group, "turn").distinct()
-    return base.join(earlier, [*group, "turn"], "left_semi").join(best, [*group, "turn", "a"], "left").fillna(0.0, ["most"])
+    met = prefix.where("own_turn = turn").select(*key, F.col("claim_id").alias("a"), "term").join(prefix.where("own_turn < turn").select(*key, F.col("claim_id").alias("b"), "term"), [*key, "term"]).select(*key, "a", "b").distinct()
+    dot = met.join(new.select(*key, F.col("claim_id").alias("a"), "term", F.col("w").alias("wa")), [*key, "a"]).join(old.select(*key, F.col("claim_id").alias("b"), "term", F.col("w").alias("wb")), [*key, "b", "term"])
+    best = dot.groupBy(*key, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos")).groupBy(*key, "a").agg(F.max("cos").alias("most"))
+    base = new.select(*key, F.col("claim_id").alias("a")).distinct()
+    earlier = old.select(*key).distinct()
+    return base.join(earlier, key, "left_semi").join(best, [*key, "a"], "left").fillna(0.0, ["most"])
 
 
 def novelty(spark: SparkSession, d: str) -> DataFrame:
@@ -213,15 +226,16 @@ def disclosure_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Verified citations handed to the next seat of the turn, with the
-    passages at most 2 places around."""
-    v = _verified(spark, d).where("status = 'verified'")
-    seats = _claims(spark, d).where("seat is not null").select(*TURN, "seat").distinct()
-    w = Window.partitionBy(*TURN).orderBy("seat")
-    following = seats.withColumn("reviewer", F.coalesce(F.lead("seat").over(w), F.first("seat").over(w))).where("reviewer <> seat")
-    p = once(table(spark, d, "passages")).select("doc_id", "passage_id", "ord", "passage_seq")
-    at = v.join(following, [*TURN, "seat"]).join(p.groupBy("passage_id").agg(F.min("ord").alias("at")), "passage_id")
-    return at.join(p.select("doc_id", F.col("passage_seq").alias("near_seq"), "ord"), "doc_id").where("ord between at - 2 and at + 2").select("claim_id", "cit_no", "reviewer", "near_seq")
+    """Verified citations of grounded claims handed to every other seat of the
+    turn, with the passages at most 4 places around."""
+    every = cut(_verified(spark, d))
+    sound = vf.grounded(_claims(spark, d), every).where("grounded").select("claim_id")
+    v = every.where("status = 'verified'").join(sound, "claim_id", "left_semi")
+    others = _claims(spark, d).where("seat is not null").select(*TURN, F.col("seat").alias("reviewer")).distinct()
+    places = once(table(spark, d, "passages")).select("doc_id", "passage_id", "ord", "passage_seq")
+    at = v.join(places.groupBy("passage_id").agg(F.min("ord").alias("ord")), "passage_id").select(*TURN, "seat", "claim_id", "cit_no", "doc_id", "ord")
+    near = neighbours(at, places, 4)
+    return near.join(others, TURN).where("seat <> reviewer").select("claim_id", "cit_no", "reviewer", "near_seq")
 
 
 def stylometry(spark: SparkSession, d: str) -> DataFrame:
@@ -337,7 +351,7 @@ select run, turn, round(observed, 6) as observed, round(nul, 6) as null_mean, ro
     "territory": f"with {_C}, {_OWN}, per as (select run, turn, seat, count(o.doc_id) / count(*) as share from cited c left join own o on o.name = c.seat and o.doc_id = c.doc_id group by 1, 2, 3) select run, turn, seat, round(share, 6) as own_share, case when share >= 0.2 then 'home' when share >= 0.05 then 'adjacent' else 'foreign' end as zone from per",
     "evidenced_minority": f"with {_C}, alone as (select run, turn, doc_id, min(seat) as seat from cited group by 1, 2, 3 having count(*) = 1), o as (select run, turn, seat, count(*) as n_only from alone group by 1, 2, 3), low as (select distinct run, turn, seat from claims where declared['confidence'] = 'low') select run, turn, seat, n_only from (select *, row_number() over (partition by run, turn order by n_only desc, seat) as r from o join low using (run, turn, seat)) where r = 1",
     "disclosure_set": f"with {_V}, c as (select run, turn, doc_id, count(distinct seat) as n_seats, count(distinct quote) as n_quotes from verified where status = 'verified' group by 1, 2, 3) select * from (select *, row_number() over (partition by run, turn order by n_seats desc, doc_id) as r from c) where r <= 16",
-    "audit_cases": f"with {_V}, st as (select distinct run, turn, seat from claims where seat is not null), fo as (select *, coalesce(lead(seat) over w, first_value(seat) over w) as reviewer from st window w as (partition by run, turn order by seat)), p as (select passage_id, min(ord) as mid from psg group by 1) select claim_id, cit_no, reviewer, q.passage_seq as near_seq from verified v join fo using (run, turn, seat) join p using (passage_id) join psg q on q.doc_id = v.doc_id and q.ord between mid - 2 and mid + 2 where status = 'verified' and reviewer <> seat",
+    "audit_cases": f"with {_V}, gr as (select claim_id from verified group by 1 having count(*) = count(*) filter (where status = 'verified')), st as (select distinct run, turn, seat as reviewer from claims where seat is not null), p as (select passage_id, min(ord) as mid from psg group by 1) select claim_id, cit_no, reviewer, q.passage_seq as near_seq from verified v join gr using (claim_id) join st using (run, turn) join p using (passage_id) join psg q on q.doc_id = v.doc_id and q.ord between mid - 4 and mid + 4 where status = 'verified' and reviewer <> seat",
     "stylometry": f"""with {_C}, c as (select claim_id, seat, turn, unnest({content('text')}) as term from claims where seat is not null), e0 as (select seat, term, ln(1 + count(*)) as w from c where turn <= 2 group by 1, 2), e as (select seat, term, w / sqrt(sum(w * w) over (partition by seat)) as w from e0),
 l as (select claim_id, seat, term, ln(1 + count(*)) as v from c where turn > 2 group by 1, 2, 3), s as (select claim_id, l.seat, e.seat as predicted, round(sum(v * w), 9) as s from l join e using (term) group by 1, 2, 3)
 select seat, predicted, count(*) as n from (select *, row_number() over (partition by claim_id order by s desc, predicted) as r from s) where r = 1 group by 1, 2""",

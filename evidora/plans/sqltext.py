@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
-from evidora.functions.text import ACCENTED, PLAIN, STOPWORDS
+from evidora.functions.text import ACCENTED, CLAIM_STOPWORDS, PLAIN, QUESTION_STOPWORDS, STOPWORDS
 
-STOP = "[" + ",".join(f"'{w}'" for w in STOPWORDS) + "]"
+STOP, ASKED_STOP, CLAIM_STOP = ("[" + ",".join(f"'{w}'" for w in words) + "]" for words in (STOPWORDS, QUESTION_STOPWORDS, CLAIM_STOPWORDS))
 
 
 def tok(x: str) -> str:
@@ -14,11 +14,11 @@ def tok(x: str) -> str:
 
 
 def content(x: str) -> str:
-    return f"list_filter(list_transform(regexp_extract_all({x},'[A-Za-z][A-Za-z0-9\\-]+'), lambda t: lower(t)), lambda t: length(t) > 2 and not list_contains({STOP}, t))"
+    return f"list_filter(list_transform(regexp_extract_all({x},'[A-Za-z][A-Za-z0-9\\-]+'), lambda t: lower(t)), lambda t: length(t) > 2 and not list_contains({CLAIM_STOP}, t))"
 
 
 def question(x: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({x}),'[^a-z0-9]+'), lambda t: length(t) >= 3 and not list_contains({STOP}, t) and not regexp_matches(t,'^[0-9]+$'))"
+    return f"list_filter(regexp_split_to_array(lower({x}),'[^a-z0-9]+'), lambda t: length(t) >= 3 and not list_contains({ASKED_STOP}, t) and not regexp_matches(t,'^[0-9]+$'))"
 
 
 CLAIMS = "claims as (select distinct on (claim_id) * from ledger order by claim_id, ingested_at desc nulls last)"

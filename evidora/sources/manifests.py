@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidora.sources.files import exists
+
 MANIFEST = """seq bigint, doc_id string, title string, first_author string, n_authors int, year int, pub_date string, venue string, doc_type string, provenance string, doi string, pmid string, pmcid string, arxiv_id string,
 source_sha256 string, text_sha256 string, source_filename string, source_bytes bigint, fulltext_status string, n_passages int, n_chars int, topics array<string>, channel string, retrieved_at string"""
 
@@ -33,17 +33,18 @@ def split_valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def freeze_turn(ledger: DataFrame, path: str, turn: int, force: bool = False) -> str:
-    """Writes a turn's claims under ``turn=n`` once, and returns their digest, a
-    hash over the ordered rows' hashes. A frozen turn is refused unless forced.
-    A turn holds the claims of one table of seats, so its digest is made in one
-    aggregate."""
-    target = os.path.join(path, f"turn={turn}")
-    if os.path.exists(target) and not force:
+    """Writes a turn's claims under ``turn=n`` once, and returns their digest: a
+    hash over the hashes of 4096 buckets, each over its ordered rows' hashes, so
+    that no task sees all rows. A frozen turn is refused unless forced."""
+    target = f"{path}/turn={turn}"
+    if exists(ledger.sparkSession, target) and not force:
         raise FileExistsError(f"turn {turn} is frozen")
     one = ledger.where(F.col("turn") == turn).drop("turn")
     one.write.mode("overwrite").parquet(target)
     row = F.sha2(F.to_json(F.struct(*sorted(one.columns))), 256)
-    return one.sparkSession.read.parquet(target).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256)).first()[0]
+    hashed = one.sparkSession.read.parquet(target).select(row.alias("h")).withColumn("bucket", F.substring("h", 1, 3))
+    per = hashed.groupBy("bucket").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
+    return per.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("bucket", "h"))), ""), 256)).first()[0]
 
 
 def replace_partitions(rows: DataFrame, path: str, *by: str) -> None:

@@ -17,6 +17,11 @@ SKIPPED_TITLES = ("references", "acknowledgements", "acknowledgments", "funding"
 SKIPPED_TAGS = {"xref", "fig", "table-wrap", "disp-formula", "inline-formula", "graphic", "media", "object-id"}
 
 
+def _skipped(title: str | None) -> bool:
+    """Whether a heading, without its number, begins like a part that is no text."""
+    return bool(title) and re.sub(r"^[\d\s.:()]+", "", title).lower().strip(" .:").startswith(SKIPPED_TITLES)
+
+
 def _tag(node: ElementTree.Element) -> str:
     return node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
 
@@ -47,7 +52,7 @@ def article_blocks(xml: str) -> list[tuple[str | None, str]]:
     def walk(node: ElementTree.Element, heading: str | None) -> None:
         title = next((c for c in node if _tag(c) == "title"), None)
         own = _flat(_text(title)) if title is not None else heading
-        if own and own.lower().strip(" .:") in SKIPPED_TITLES:
+        if _skipped(own):
             return
         for child in node:
             if _tag(child) == "sec":
@@ -82,7 +87,7 @@ class _Page(HTMLParser):
         self.held = []
         if text and self.in_heading:
             self.heading = text
-        elif text and (self.heading or "").lower().strip(" .:") not in SKIPPED_TITLES:
+        elif text and not _skipped(self.heading):
             self.out.append((self.heading, text))
 
     def handle_starttag(self, tag, attrs):

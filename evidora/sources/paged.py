@@ -36,7 +36,7 @@ class _Query(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.queries, self.most = options["path"], options["queries"].split("|"), int(options.get("maxrecords", 10_000))
+        self.folder, self.queries, self.most = options["path"], options["queries"].split("|"), int(options["maxrecords"]) if "maxrecords" in options else None
 
     def partitions(self) -> list[InputPartition]:
         return [_Query(q) for q in self.queries]
@@ -46,7 +46,7 @@ class _Reader(DataSourceReader):
         while True:
             page = transport.page(partition.query, "start" if cursor == "*" else cursor)
             for r in page.get("records", []):
-                if n >= self.most:
+                if self.most is not None and n >= self.most:
                     return
                 yield (partition.query, n, r.get("pmid"), r.get("doi"), r.get("title"), r.get("year"), r.get("cited_by"))
                 n += 1
@@ -58,7 +58,8 @@ class _Reader(DataSourceReader):
 class PagedSearch(DataSource):
     """``spark.dataSource.register(PagedSearch)``, then
     ``spark.read.format("paged_search").option("queries", "a|b").load(folder)``:
-    a partition a query, following cursors until one is empty or repeats."""
+    a partition a query, following cursors until one is empty or repeats; an
+    option ``maxrecords`` ends each query there."""
 
     @classmethod
     def name(cls) -> str:

@@ -42,10 +42,25 @@ def claims(parsed: DataFrame) -> DataFrame:
     return c.select("seat", "claim_idx", text.alias("text"), F.col("c.type").alias("type"), F.col("c.territory").alias("territory"), F.col("c.declared").alias("declared"), F.filter(cited, lambda x: x.isNotNull()).alias("citations")).where("text is not null")
 
 
-def checks(parsed: DataFrame, shown: DataFrame) -> DataFrame:
-    """(seat, doc_id, verdict, state): citation checks; an unknown verdict reads
-    unrecognised, a document that the seat wasn't shown not_under_examination."""
+def checks(parsed: DataFrame, shown: DataFrame, quoted: DataFrame | None = None) -> DataFrame:
+    """(seat, doc_id, verdict, state): citation checks. An unknown verdict reads
+    unrecognised; a document that the seat wasn't shown is not_under_examination;
+    a verdict other than supported or unreachable needs a verified quote of the
+    document by that seat, in ``quoted`` (seat, doc_id) if given, else it is
+    unsupported_verdict."""
     k = parsed.select("seat", F.explode("r.citation_checks").alias("k")).where("k.doc_id is not null")
     verdict = F.when(F.lower("k.verdict").isin(*VERDICTS), F.lower("k.verdict")).otherwise("unrecognised")
     k = k.select("seat", F.col("k.doc_id").alias("doc_id"), verdict.alias("verdict")).join(shown.select("seat", "doc_id", F.lit(True).alias("shown")).distinct(), ["seat", "doc_id"], "left")
-    return k.select("seat", "doc_id", "verdict", F.when(F.col("shown"), "recorded").otherwise("not_under_examination").alias("state"))
+    bare = F.lit(False)
+    if quoted is not None:
+        k = k.join(quoted.select("seat", "doc_id", F.lit(True).alias("quoted")).distinct(), ["seat", "doc_id"], "left")
+        bare = F.col("quoted").isNull() & ~F.col("verdict").isin("supported", "unreachable")
+    state = F.when(F.col("shown").isNull(), "not_under_examination").when(bare, "unsupported_verdict").otherwise("recorded")
+    return k.select("seat", "doc_id", "verdict", state.alias("state"))
+
+
+def verdict_counts(checked: DataFrame) -> DataFrame:
+    """(seat, verdict, n, adverse): checks by reviewer and verdict, and how many
+    are adverse: overstated, misread or irrelevant, and recorded."""
+    bad = F.col("verdict").isin("overstated", "misread", "irrelevant") & (F.col("state") == "recorded")
+    return checked.groupBy("seat", "verdict").agg(F.count("*").alias("n"), F.count_if(bad).alias("adverse"))

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evidora.operators.corpus import current
+from evidora.session import cut
+from evidora.sources.files import exists
 
 OUT = "run string, turn bigint, llr double, fired boolean"
 STATE = "llr double, last bigint"
@@ -53,25 +55,28 @@ def event_rates(events: DataFrame, kind: str = "purchase", late: str = "2 days")
     return out.select(F.col("window.start").alias("day"), "n", "share")
 
 
-def compact_into(log: DataFrame, path: str, checkpoint: str):
+BUCKETS = 64
+
+
+def compact_into(log: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
     """Keeps the current row of each document of a streamed change log at
-    ``path``: every batch is merged with what is there, and written beside it
-    before it takes its place."""
-    import os
+    ``path``, in ``buckets`` folders by the document's hash. A batch touches
+    only the folders of its documents: their rows are merged with the batch and
+    put in their place. A replayed batch changes nothing, as the last row by
+    ``seq`` stays. :func:`compacted` reads the store."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        pointer = os.path.join(path, "CURRENT")
-        before = None
-        if os.path.exists(pointer):
-            with open(pointer) as f:
-                before = f.read().strip()
-        rows = batch if before is None else spark.read.parquet(before).select(*batch.columns).unionByName(batch)
-        target = os.path.join(path, f"v{number}")
-        current(rows).write.mode("overwrite").parquet(target)
-        with open(pointer + ".new", "w") as f:
-            f.write(target)
-        os.replace(pointer + ".new", pointer)
-
-    os.makedirs(path, exist_ok=True)
+        rows = batch.where(F.col("doc_id").isNotNull()).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        if exists(spark, path):
+            rows = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(*rows.columns).unionByName(rows)
+        cut(current(rows)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compacted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidora.operators import measure as ms
-from evidora.sources import manifests, markup, paged, responses
+from evidora.sources import feeds, manifests, markup, paged, responses, sinks, specs
 from evidora.streaming import monitor
 
 
@@ -21,6 +21,9 @@ def test_responses(spark, tmp_path):
     assert got == {"c1": ["d"], "c2": ["e"]}
     shown = spark.createDataFrame([("a", "d")], "seat string, doc_id string")
     assert {(r["doc_id"], r["verdict"], r["state"]) for r in responses.checks(parsed, shown).collect()} == {("d", "misread", "recorded"), ("z", "unrecognised", "not_under_examination")}
+    bare = responses.checks(parsed, shown, shown.where("doc_id = 'other'"))
+    assert {r["state"] for r in bare.where("doc_id = 'd'").collect()} == {"unsupported_verdict"} and {r["state"] for r in responses.checks(parsed, shown, shown).where("doc_id = 'd'").collect()} == {"recorded"}
+    assert sum(r["adverse"] for r in responses.verdict_counts(responses.checks(parsed, shown)).collect()) == 1
 
 
 def test_manifest_lines(spark, tmp_path):
@@ -51,7 +54,7 @@ def test_partition_replacement(spark, tmp_path):
 
 
 def test_markup(spark):
-    xml = "<article><front><article-title>On <i>reefs</i></article-title><abstract><p>Short.</p></abstract><abstract abstract-type='graphical'><p>no</p></abstract></front><body><sec><title>Methods</title><p>We saw<xref>1</xref> it.</p><sec><p>Inner.</p></sec></sec><sec><title>References</title><p>no</p></sec></body></article>"
+    xml = "<article><front><article-title>On <i>reefs</i></article-title><abstract><p>Short.</p></abstract><abstract abstract-type='graphical'><p>no</p></abstract></front><body><sec><title>Methods</title><p>We saw<xref>1</xref> it.</p><sec><p>Inner.</p></sec></sec><sec><title>7. References</title><p>no</p></sec></body></article>"
     df = spark.createDataFrame([(1, xml), (2, "<broken"), (3, None), (4, "")], "k bigint, b string")
     got = [(r["section"], r["text"]) for r in markup.blocks(df, "k", "b", "xml").orderBy("ord").collect()]
     assert got == [("Title", "On reefs"), ("Abstract", "Short."), ("Methods", "We saw it."), ("Methods", "Inner.")]
@@ -101,5 +104,54 @@ def test_stream_compaction(spark, tmp_path):
     monitor.compact_into(log(), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
     spark.createDataFrame([("a", 3, "new"), ("a", 0, "late")], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     monitor.compact_into(log(), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
-    rows = spark.read.parquet((tmp_path / "out" / "CURRENT").read_text()).collect()
+    rows = monitor.compacted(spark, str(tmp_path / "out")).collect()
     assert {(r["doc_id"], r["title"]) for r in rows} == {("a", "new"), ("b", "b")}
+
+
+def test_seat_specifications(spark, tmp_path):
+    a, b = {"name": "a", "display": "A", "queries": ["x"]}, {"name": "b", "display": "B"}
+    assert [r["name"] for r in specs.seats(spark, [a, b], ["b", "a"]).orderBy("place").collect()] == ["b", "a"]
+    for bad in ({"name": "a"}, {"name": "a", "display": "A", "extra": 1}, {"name": "a", "display": "TODO"}):
+        with pytest.raises(ValueError):
+            specs.checked(bad)
+    with pytest.raises(KeyError):
+        specs.seats(spark, [a], ["nobody"])
+    (tmp_path / "q.txt").write_text("﻿ Why reefs? \n")
+    assert specs.question(spark, path=str(tmp_path / "q.txt")) == "Why reefs?"
+    for wrong in ({}, {"inline": "x", "path": "y"}, {"inline": "  "}):
+        with pytest.raises(ValueError):
+            specs.question(spark, **wrong)
+
+
+def test_feeds_and_providers(spark):
+    feed = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://x/abs/1.2v3</id><title>On\n reefs</title><author><name>A B</name></author></entry><entry><id>http://x/abs/1.2v1</id><title>Old</title></entry></feed>'
+    out = feeds.entries(spark.createDataFrame([(feed,), (feed,), ("<broken",), (None,)], "body string")).collect()
+    assert [(r["id"], r["title"], list(r["authors"])) for r in out] == [("1.2", "On reefs", ["A B"])]
+    wanted = spark.createDataFrame([("p1",), ("p2",), ("p3",)], "pmcid string")
+    one = spark.createDataFrame([("p1", "x" * 600), ("p2", "short")], "pmcid string, body string")
+    two = spark.createDataFrame([("p2", "y" * 900), ("p3", "This article is not available " + "z" * 900)], "pmcid string, body string")
+    got = {r["pmcid"]: r["provider"] for r in feeds.first_provider(wanted, [("one", one, 500), ("two", two, 800)]).collect()}
+    assert got == {"p1": "one", "p2": "two", "p3": None}
+    rel, cit = spark.createDataFrame([("a", 0), ("b", 1)], "key string, place int"), spark.createDataFrame([("b", 0), ("c", 1)], "key string, place int")
+    era = spark.createDataFrame([(1990, f"e{i}", i) for i in range(60)] + [(2000, "c", 0)], "era int, key string, place int")
+    found = {r["key"]: r["pass"] for r in feeds.era_passes(rel, cit, era, 50).collect()}
+    assert found["b"] == "relevance" and found["c"] == "cited" and sum(p == "era" for p in found.values()) == 40
+
+
+def test_sinks(spark, tmp_path):
+    with sinks.writing(spark, str(tmp_path), "me"):
+        with pytest.raises(RuntimeError, match="me|another"), sinks.writing(spark, str(tmp_path), "you"):
+            pass
+    with sinks.writing(spark, str(tmp_path), "again"):
+        pass
+    for bad in ("", "/etc/x", "../x", "a/../../b", "s3://x"):
+        with pytest.raises(ValueError):
+            sinks.inside("run", bad)
+    assert sinks.inside("run", "a/b.txt") == "run/a/b.txt"
+    rows = spark.createDataFrame([("k", "p", "absent", None), ("k", "q", "found", None)], "key string, provider string, outcome string, detail string")
+    sinks.journal(rows, str(tmp_path / "j"))
+    sinks.journal(rows.limit(1), str(tmp_path / "j"))
+    assert sum(r["n"] for r in sinks.outcomes(spark.read.json(str(tmp_path / "j"))).collect()) == 3
+    for turn in (1, 2, 1):
+        sinks.write_turn({"report": rows.limit(turn)}, str(tmp_path), turn)
+    assert spark.read.json(str(tmp_path / "report")).count() == 3
