@@ -213,7 +213,9 @@ BLOOM_BITS = 1 << 26
 def _among(ids: DataFrame, column: str):
     """A condition that holds for all of ``ids`` and for few others: a bitmap of
     :data:`BLOOM_BITS` places, 8 MB whatever the number of ids. It only
-    spares the shuffle texts that are in no pair; the join decides."""
+    spares the shuffle texts that are in no pair; the join decides. Marked as
+    not deterministic, lest the planner also puts it to the other side of the
+    join or computes the column twice."""
     place = F.xxhash64(F.col(column), F.lit(7))
     bits = bitmap(ids.select(place.alias("at")), BLOOM_BITS)
     sent = ids.sparkSession.sparkContext.broadcast((bits.bits, bits.words))
@@ -222,7 +224,7 @@ def _among(ids: DataFrame, column: str):
     def held(at: pa.Array) -> pa.Array:
         return pa.array(Bits(*sent.value).held(at.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
 
-    return held(place)
+    return held.asNondeterministic()(place)
 
 
 def _narrowed(rest: DataFrame, members: DataFrame, texts: DataFrame, n: int, unit: str, threshold: float) -> DataFrame:
@@ -251,19 +253,33 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, unit: str, threshold: f
     """The pairs (x, y) whose texts' n-gram sets have at least the Jaccard
     similarity ``threshold``, with it."""
     ids = pairs.select(F.col("x").alias("tid")).union(pairs.select(F.col("y").alias("tid"))).distinct()
-    held = texts.where(_among(ids, "tid")).join(ids, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    held = texts.where(_among(ids, "tid")).join(ids.hint("merge"), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("similarity", pa.float64())])
 
-    @F.arrow_udf("double")
-    def jaccard(p: pa.Array, q: pa.Array) -> pa.Array:
-        out = []
-        for s, t in zip(p.to_pylist(), q.to_pylist()):
-            a, b = grams(s, n, unit), grams(t, n, unit)
-            both = len(a & b)
-            out.append(both / (len(a) + len(b) - both) if a or b else 0.0)
-        return pa.array(out, pa.float64())
-
-    joined = pairs.join(held.select(F.col("tid").alias("x"), F.col("text").alias("p")), "x").join(held.select(F.col("tid").alias("y"), F.col("text").alias("q")), "y")
-    return joined.select("x", "y", jaccard("p", "q").alias("similarity")).where(F.col("similarity") >= threshold)
+    def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, set] = {}
+        size = 0
+        for batch in batches:
+            out = []
+            ends = [(column.to_pylist(), batch.column(k)) for k, column in ((2, batch.column(0)), (3, batch.column(1)))]
+            for row, (x, y) in enumerate(zip(ends[0][0], ends[1][0])):
+                if size > 500_000:
+                    sets.clear()
+                    size = 0
+                for tid, texts_of in ((x, ends[0][1]), (y, ends[1][1])):
+                    if tid not in sets:
+                        sets[tid] = grams(texts_of[row].as_py(), n, unit)
+                        size += len(sets[tid])
+                a, b = sets[x], sets[y]
+                both = len(a & b)
+                similarity = both / (len(a) + len(b) - both) if a or b else 0.0
+                if similarity >= threshold:
+                    out.append((x, y, similarity))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else ((), (), ()), schema)], schema=schema)
+
+    pairs = pairs.hint("merge")
+    joined = pairs.join(held.select(F.col("tid").alias("x"), F.col("text").alias("p")), "x").hint("merge").join(held.select(F.col("tid").alias("y"), F.col("text").alias("q")), "y")
+    return joined.select("x", "y", "p", "q").mapInArrow(alike, "x bigint, y bigint, similarity double")
 
 
 def links(texts: DataFrame, n: int, unit: str, threshold: float, recall: float, most_bands: int = 50, most_rounds: int = 8) -> DataFrame:
@@ -277,8 +293,10 @@ def links(texts: DataFrame, n: int, unit: str, threshold: float, recall: float,
     """
     bands, rows = choose_bands(threshold, recall, most_bands)
     spread = hot_buckets(texts, n, unit, bands, rows)
-    found = cut(bucket_pairs(band_rows(texts, n, unit, bands, rows, spread), spread=spread).distinct())
-    known = found.select("x", "y").distinct()
+    # Sizes estimated from the texts tell nothing about the number of pairs:
+    # the hints keep tables of pairs from being broadcast on such an estimate.
+    found = cut(bucket_pairs(band_rows(texts, n, unit, bands, rows, spread), spread=spread).distinct()).hint("merge")
+    known = cut(found.select("x", "y").distinct())
     good = cut(verified(known, texts, n, unit, threshold))
     for turn in range(most_rounds + 1):
         hot = found.where("hot is not null").select(F.col("hot").alias("h"), "x", "y")
@@ -292,9 +310,9 @@ def links(texts: DataFrame, n: int, unit: str, threshold: float, recall: float,
         rest = cut(sides.select("h", F.explode(F.when(one.isNotNull(), F.array(one)).otherwise(F.array("x", "y"))).alias("one")).distinct())
         if rest.isEmpty():
             return good
-        members = hot.select("h", F.col("x").alias("tid")).union(hot.select("h", F.col("y").alias("tid"))).distinct().join(rest.select("h").distinct(), "h", "left_semi")
+        members = hot.select("h", F.col("x").alias("tid")).union(hot.select("h", F.col("y").alias("tid"))).distinct().join(rest.select("h").distinct(), "h", "left_semi").hint("merge")
         if turn < most_rounds:
-            found = cut(bucket_pairs(_narrowed(rest, members, texts, n, unit, threshold)).distinct())
+            found = cut(bucket_pairs(_narrowed(rest, members, texts, n, unit, threshold)).distinct()).hint("merge")
         else:
             found = rest.join(members, "h").where("one <> tid").select(F.least("one", "tid").alias("x"), F.greatest("one", "tid").alias("y"), F.lit(None).cast("bigint").alias("hot")).distinct()
         new = cut(found.select("x", "y").distinct().join(known, ["x", "y"], "left_anti"))
@@ -313,7 +331,7 @@ def near_duplicates(records: DataFrame, key: str, text: str, n: int = 5, unit: s
     Records with a null key, or a null or blank text, are in no class.
     Repeated rows count once; a key with several texts has several rows.
     """
-    base = records.select(F.col(key).cast("string").alias("key"), F.lower(F.col(text)).alias("text")).where(F.col("key").isNotNull() & (F.trim("text") != ""))
+    base = records.where(F.col(key).isNotNull() & (F.trim(F.col(text)) != "")).select(F.col(key).cast("string").alias("key"), F.lower(F.col(text)).alias("text"))
     base = base.withColumn("tid", F.xxhash64("text"))
     found = links(base.select("tid", "text"), n, unit, threshold, recall)
     return base.select("key", "tid").distinct(), found, components(found, "x", "y")

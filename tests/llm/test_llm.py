@@ -222,6 +222,13 @@ def test_spread_buckets_keep_classes(spark, monkeypatch):
     assert classes.select("root").distinct().count() == 1 and classes.count() == 150
 
 
+def test_tables_of_pairs_are_not_broadcast_and_texts_are_compared_once(spark):
+    texts = frame(spark, [(k, f"a text of its own {k} and more") for k in range(6)], "tid bigint, text string")
+    pairs = frame(spark, [(0, 1), (2, 3)], "x bigint, y bigint")
+    plan = neardup.verified(pairs, texts, 3, "word", 0.6)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("MapInArrow") == 1 and "jaccard" not in plan
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.linked_pairs(*neardup.near_duplicates(frame(spark, [], "k string, t string"), "k", "t")).count() == 0
 
