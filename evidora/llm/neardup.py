@@ -56,6 +56,8 @@ class _Words(dict):
 class Signer:
     """Band hashes of texts."""
 
+    STRETCH = 1 << 16  # units that are hashed at once, and what the last text has beyond
+
     def __init__(self, n: int, unit: str, bands: int, rows: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         k = bands * rows
@@ -67,17 +69,24 @@ class Signer:
         self.band = rng.integers(0, 2**63, bands, dtype=np.uint64)
         self.words = _Words()
 
-    def hashes(self, text: str) -> np.ndarray:
+    def codes(self, text: str) -> np.ndarray:
+        """The units of a text as numbers."""
         if self.unit == "word":
             parts = text.split()
-            codes = np.fromiter(map(self.words.__getitem__, parts), np.uint64, len(parts))
-        else:
-            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            return np.fromiter(map(self.words.__getitem__, parts), np.uint64, len(parts))
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+    def hashes(self, text: str) -> np.ndarray:
+        codes = self.codes(text)
         if not len(codes):
             return np.empty(0, np.uint32)
-        m = len(codes) - self.n + 1
-        if m < 1:
+        if len(codes) < self.n:
             return np.array([xxhash.xxh32_intdigest(codes.tobytes())], np.uint32)
+        return self.mixed(codes)
+
+    def mixed(self, codes: np.ndarray) -> np.ndarray:
+        """A hash of every n units in a row."""
+        m = max(0, len(codes) - self.n + 1)
         h = np.zeros(m, np.uint64)
         for i in range(self.n):
             h = (h ^ (h >> np.uint64(31))) * self.lift[i] + codes[i : i + m]
@@ -85,20 +94,41 @@ class Signer:
         h *= np.uint64(0xFF51AFD7ED558CCD)
         return (h >> np.uint64(32)).astype(np.uint32)
 
-    def __call__(self, text: str) -> np.ndarray | None:
-        x = self.hashes(text)
-        if not len(x):
-            return None
-        if len(x) <= 4096:
-            low = (self.a * x + self.b).min(axis=1)
-        else:
-            low = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
-            for i in range(0, len(x), 4096):
-                low = np.minimum(low, (self.a * x[i : i + 4096] + self.b).min(axis=1))
-        h = (low.reshape(self.bands, self.rows).astype(np.uint64) * self.mix).sum(axis=1) + self.band
+    def lowest(self, x: np.ndarray) -> np.ndarray:
+        """The least value of each hash function over the grams of a text."""
+        a, b = self.a[:, 0], self.b[:, 0]
+        low = (x[:4096, None] * a + b).min(axis=0)
+        for i in range(4096, len(x), 4096):
+            low = np.minimum(low, (x[i : i + 4096, None] * a + b).min(axis=0))
+        return low
+
+    def many(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
+        """The places of the texts that have grams, and their band hashes, a
+        row a text. Grams are hashed over the texts of a stretch at once."""
+        at, lows, k = [], [], 0
+        while k < len(texts):
+            codes, size, begin = [], 0, k
+            while k < len(texts) and size < self.STRETCH:
+                codes.append(self.codes(texts[k]))
+                size += len(codes[-1])
+                k += 1
+            whole, start = self.mixed(np.concatenate(codes)), 0
+            for i, own in enumerate(codes, begin):
+                m = len(own) - self.n + 1
+                if len(own):
+                    at.append(i)
+                    lows.append(self.lowest(whole[start : start + m] if m > 0 else self.hashes(texts[i])))
+                start += len(own)
+        if not at:
+            return at, np.empty((0, self.bands), np.uint64)
+        h = (np.stack(lows).reshape(-1, self.bands, self.rows).astype(np.uint64) * self.mix).sum(axis=2) + self.band
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x9E3779B97F4A7C15)
-        return h ^ (h >> np.uint64(29))
+        return at, h ^ (h >> np.uint64(29))
+
+    def __call__(self, text: str) -> np.ndarray | None:
+        at, h = self.many([text])
+        return h[0] if at else None
 
 
 def band_rows(texts: DataFrame, n: int, unit: str, bands: int, rows: int, hot: dict[int, int] | None = None) -> DataFrame:
@@ -114,19 +144,18 @@ def band_rows(texts: DataFrame, n: int, unit: str, bands: int, rows: int, hot: d
         seen: set[int] = set()
         with np.errstate(over="ignore"):
             for batch in batches:
-                ids, marks = [], []
+                ids, new = [], []
                 for tid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     if tid in seen:
                         continue
                     if len(seen) > 2_000_000:
                         seen.clear()
                     seen.add(tid)
-                    h = signer(text)
-                    if h is not None:
-                        ids.append(tid)
-                        marks.append(h)
-                if ids:
-                    h, t = np.concatenate(marks).view(np.int64), np.repeat(np.array(ids, np.int64), bands)
+                    ids.append(tid)
+                    new.append(text)
+                at, marks = signer.many(new)
+                if at:
+                    h, t = marks.ravel().view(np.int64), np.repeat(np.array(ids, np.int64)[at], bands)
                     if len(spread):
                         swap = np.isin(h, spread)
                         h, t = np.where(swap, t, h), np.where(swap, h, t)
@@ -138,27 +167,60 @@ def band_rows(texts: DataFrame, n: int, unit: str, bands: int, rows: int, hot: d
 def hot_buckets(texts: DataFrame, n: int, unit: str, bands: int, rows: int, one_in: int = 64, share: float = 1e-3) -> dict[int, int]:
     """(bucket -> a text of it) for the buckets that a 64th of the texts shows
     to hold ``share`` of them all: at most ``bands / share``. It only decides
-    which rows aren't brought together by bucket; the pairs are the same."""
+    which rows aren't brought together by bucket; the pairs are the same. A
+    text has a row a band, so the sample's rows tell how many texts it has."""
     some = texts.where(F.pmod(F.xxhash64("tid", F.lit(3)), F.lit(one_in)) == 0)
-    banded = band_rows(some, n, unit, bands, rows).groupBy("h").agg(F.count_distinct("tid").alias("c"), F.min("tid").alias("first"))
-    least = max(16, share * some.count())
+    banded = cut(band_rows(some, n, unit, bands, rows).groupBy("h").agg(F.count_distinct("tid").alias("c"), F.min("tid").alias("first")))
+    all_rows = banded.agg(F.sum("c")).first()[0] or 0
+    least = max(16, share * all_rows / bands)
     return {r["h"]: r["first"] for r in banded.where(F.col("c") >= least).collect()}
 
 
-def bucket_pairs(banded: DataFrame, all_pairs_up_to: int = 64, spread: dict[int, int] | None = None) -> DataFrame:
+def bucket_pairs(banded: DataFrame, all_pairs_up_to: int = 64, spread: dict[int, int] | None = None, most_held: int = 1_000_000) -> DataFrame:
     """Candidate pairs (x, y, hot) of the texts in a band bucket. A bucket of
     fewer than ``all_pairs_up_to`` texts gives all its pairs; a larger one also
     pairs every text with its first one, as ``hot`` pairs with the bucket's
     ``h``: :func:`links` sees to what doesn't match it. Buckets stream through
-    in order, none is held at once; rows of the ``spread`` buckets come as
-    (text, bucket) and are paired with the text named there wherever they are."""
+    in order, of a bucket at most ``most_held`` rows and a batch are held, and
+    the first of these pairs with those behind; rows of the ``spread`` buckets
+    come as (text, bucket) and are paired with the text named there wherever
+    they are."""
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("hot", pa.int64())])
     spread = spread or {}
     far = np.sort(np.array(list(spread), np.int64))
     leader = np.array([spread[int(h)] for h in far], np.int64)
 
+    def rows(x: np.ndarray, y: np.ndarray, hot: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), hot], schema=schema)
+
+    def whole(h: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of whole buckets, whose rows lie together."""
+        same = h[1:] == h[:-1]
+        keep = np.zeros(len(h), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        h, t = h[keep], t[keep]
+        order = np.lexsort((t, h))
+        h, t = h[order], t[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+        h, t = h[new], t[new]
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(starts, len(h)))
+        for size in np.unique(np.minimum(sizes, all_pairs_up_to)):
+            if size > 1:
+                own = t[starts[np.minimum(sizes, all_pairs_up_to) == size][:, None] + np.arange(size)]
+                for some in np.array_split(own, -(-len(own) * int(size) ** 2 // 1_000_000)):
+                    i, j = np.triu_indices(size, 1)
+                    x = some[:, i].ravel()
+                    yield rows(x, some[:, j].ravel(), pa.nulls(len(x), pa.int64()))
+        for k in np.flatnonzero(sizes >= all_pairs_up_to):
+            a, b = starts[k], starts[k] + sizes[k]
+            yield rows(np.repeat(t[a], b - a - 1), t[a + 1 : b], pa.array(h[a + 1 : b]))
+
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members, last = None, [], None
+        left_h = left_t = np.empty(0, np.int64)  # of the bucket that may go on
+        led: tuple[int, int] | None = None  # the bucket too large to be held, and its first text
         for batch in batches:
             h = batch.column(0).to_numpy()
             t = batch.column(1).to_numpy()
@@ -168,43 +230,27 @@ def bucket_pairs(banded: DataFrame, all_pairs_up_to: int = 64, spread: dict[int,
                     bucket, one = t[out], h[out]
                     first = leader[np.searchsorted(far, bucket)]
                     differ = first != one
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, one)[differ]), pa.array(np.maximum(first, one)[differ]), pa.array(bucket[differ])], schema=schema)
+                    yield rows(first[differ], one[differ], pa.array(bucket[differ]))
                     h, t = h[~out], t[~out]
-                    if not len(h):
-                        continue
-            xs, ys, hots = [], [], []
-            # Rows alone in their bucket within the batch can't form a pair,
-            # but for the first and the last.
-            same = h[1:] == h[:-1]
-            keep = np.zeros(len(h), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            keep[0] = keep[-1] = True
-            for k in np.flatnonzero(keep):
-                a, b = int(h[k]), int(t[k])
-                if a != now:
-                    now, members, last = a, [b], b
-                    continue
-                if b == last:
-                    continue
-                last = b
-                if len(members) < all_pairs_up_to:
-                    for m in members:
-                        xs.append(m)
-                        ys.append(b)
-                        hots.append(None)
-                    members.append(b)
-                    if len(members) == all_pairs_up_to:
-                        xs += [members[0]] * (len(members) - 1)
-                        ys += members[1:]
-                        hots += [a] * (len(members) - 1)
-                else:
-                    xs.append(members[0])
-                    ys.append(b)
-                    hots.append(a)
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), pa.array(hots, pa.int64())], schema=schema)
-
-    return banded.repartition("h").sortWithinPartitions("h", "tid").mapInArrow(pairs, "x bigint, y bigint, hot bigint")
+            if led and len(h):
+                on = np.searchsorted(h, led[0], "right")
+                one = t[:on][t[:on] != led[1]]
+                yield rows(np.repeat(led[1], len(one)), one, pa.array(np.repeat(led[0], len(one))))
+                h, t = h[on:], t[on:]
+                led = None if len(h) else led
+            if not len(h):
+                continue
+            h, t = np.concatenate((left_h, h)), np.concatenate((left_t, t))
+            last = np.searchsorted(h, h[-1])
+            yield from whole(h[:last], t[:last])
+            left_h, left_t = h[last:], t[last:]
+            if len(left_h) > most_held:
+                yield from whole(left_h, left_t)
+                led = int(left_h[0]), int(left_t.min())
+                left_h = left_t = np.empty(0, np.int64)
+        yield from whole(left_h, left_t)
+
+    return banded.repartition("h").sortWithinPartitions("h").mapInArrow(pairs, "x bigint, y bigint, hot bigint")
 
 
 BLOOM_BITS = 1 << 26

@@ -229,6 +229,38 @@ def test_tables_of_pairs_are_not_broadcast_and_texts_are_compared_once(spark):
     assert "Broadcast" not in plan and plan.count("MapInArrow") == 1 and "jaccard" not in plan
 
 
+def test_what_is_held_of_a_bucket_is_bounded(spark):
+    rows = [(h, t) for h in (1, 2, 3) for t in range(h, 40 * h) if t % h == 0]
+    banded = frame(spark, rows, "h bigint, tid bigint").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = [tuple(r) for r in neardup.bucket_pairs(banded, 4, most_held=7).collect()]
+        whole = {tuple(r) for r in neardup.bucket_pairs(banded, 64).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert whole == {(a, b, None) for h in (1, 2, 3) for a, b in itertools.combinations([t for k, t in rows if k == h], 2)}
+    for h in (1, 2, 3):
+        hot = [(x, y) for x, y, k in got if k == h]
+        led = set.intersection(*map(set, hot))
+        assert len(led) == 1 and {t for p in hot for t in p} == {t for k, t in rows if k == h}
+
+
+@pytest.mark.parametrize("unit", ["word", "char"])
+def test_band_hashes_of_many_texts_are_those_of_each(unit, monkeypatch):
+    texts = ["", "a b", "a b c d e f", "  ", "one two three", "x" * 5000 + " y z", "a b c d e f"]
+    signer = neardup.Signer(3, unit, 4, 2)
+    monkeypatch.setattr(signer, "STRETCH", 6)
+    with neardup.np.errstate(over="ignore"):
+        at, h = signer.many(texts)
+        assert at == [i for i, t in enumerate(texts) if (t.split() if unit == "word" else t)]
+        for i, row in zip(at, h):
+            x = signer.hashes(texts[i])
+            low = (signer.a * x + signer.b).min(axis=1).reshape(4, 2).astype("uint64")
+            one = (low * signer.mix).sum(axis=1) + signer.band
+            one = (one ^ (one >> neardup.np.uint64(32))) * neardup.np.uint64(0x9E3779B97F4A7C15)
+            assert (row == one ^ (one >> neardup.np.uint64(29))).all()
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.linked_pairs(*neardup.near_duplicates(frame(spark, [], "k string, t string"), "k", "t")).count() == 0
 
