@@ -60,7 +60,7 @@ _INLINE_PAGE = re.compile(rf"(?<=[\s]){_PAGE}(?=\s|$)|^{_PAGE}(?=\s)")
 _INLINE_HEAD = re.compile(rf"(?<![\w(]){_TITLED},? vol\. \d+(?=\s|$)|(?<![\w(]){_TITLED}[ ]{{1,3}}\d+\(\d+\)(?=\s|$)|(?<!\w)[A-Z][A-Z'’\-]{{3,}} · \S+(?: \S+){{0,5}}|(?<![\w.])[A-Z]{{2,30}}[:,'’\-]?[A-Z'’\-]{{0,20}}:?(?: [A-Z][A-Z'’\-]{{0,30}}[:,]?){{2,12}}(?![a-z])|(?<!\w)[A-Z]\w{{2,30}}(?:-[A-Z]\w{{1,30}})? et al\.(?=\s)|(?<!\w)(?:[A-Z] ){{2,}}[A-Z](?:   (?:[A-Z] )*[A-Z])*(?!\w)")
 _PAGE_WORDS = ("/", "[", "p.", "Page ", "Seite ", "Pagina ", "Página ", "Sida ", "S. ")
 _PAGE_DASH = re.compile(r"[-—–] ?\d")
-_CAPITALS = re.compile(r"[A-Z] {1,3}[A-Z]|\d ?\(\d")
+_CAPITALS, _ISSUE = re.compile(r" (?<=[A-Z] ) {0,2}[A-Z]"), re.compile(r"\d ?\(\d")
 _NUMBER_BEHIND, _NUMBER_AHEAD = re.compile(r"(?: {2,}| ?\| ?)\d{1,4}(?=\s|$)"), re.compile(r"(?:(?<=\s)|^)\d{1,4}(?: {2,}| ?\| ?)$")
 _SEE = re.compile(r"(?:\b(?:see|cf|on|vgl|siehe|auf|at|and|to|from|of|by|in)\.?|[(,;])\s*$", re.I)
 
@@ -90,8 +90,8 @@ def furniture(text: str, recurring: frozenset[str] = frozenset()) -> list[tuple[
     again = _recurring(text, recurring) if recurring and "\n" in text else []
     out = _furniture(text)
     if out:
-        letters = [c for c in text if c.isalpha()]
-        if sum(c.isupper() for c in letters) > 0.5 * len(letters):
+        letters = [*filter(str.isalpha, text)]
+        if sum(map(str.isupper, letters)) > 0.5 * len(letters):
             out = []
     return out + [x for x in again if not any(a < x[1] and x[0] < b for a, b, _ in out)]
 
@@ -129,14 +129,14 @@ def _furniture(text: str) -> list[tuple[int, int, str]]:
                 out.append((a, b, "header"))
         if out:
             return out
-    for m in _INLINE_PAGE.finditer(text) if any(w in text for w in _PAGE_WORDS) or _PAGE_DASH.search(text) else ():
+    for m in _INLINE_PAGE.finditer(text) if any(w in text for w in _PAGE_WORDS) or ("-" in text or "—" in text or "–" in text) and _PAGE_DASH.search(text) else ():
         before = text[: m.start()]
         if m[0][0] in "pPS" and m[0][1:2] in ".p" and _SEE.search(before[-12:]):
             continue
         if "/" in m[0] and _SEE.search(before[-12:]) and not text[m.end() : m.end() + 3] == "   ":
             continue
         out.append((m.start(), m.end(), "page_number"))
-    for m in _INLINE_HEAD.finditer(text) if "·" in text or " vol. " in text or " et al." in text or _CAPITALS.search(text) else ():
+    for m in _INLINE_HEAD.finditer(text) if "·" in text or " vol. " in text or " et al." in text or _CAPITALS.search(text) or "(" in text and _ISSUE.search(text) else ():
         if m[0].isupper() and len(m[0]) > 90:
             continue
         if m[0].endswith("et al.") and (not (before := text[: m.start()].split()[-1:]) or before[0].rstrip(",").lower() in ("by", "and", "of", "from", "with", "in", "see", "cf.", "to", "as") or before[0][-1] in ".(;:"):
@@ -209,11 +209,35 @@ def lexicon(texts: DataFrame, text: str = "text", share: float = 1e-6, least: in
     return {r["word"]: r["n"] for r in counted.where(F.col("n") >= floor).toLocalIterator()}, floor, total
 
 
+class Beginnings(dict):
+    """Atoms -> 0 if no spelling begins with them, 1 if they are only a
+    spelling themselves, 2 if a longer one begins with them. Cached."""
+
+    HEAD = 6  # how much of a spelling is looked up before the sorted list is searched
+
+    def __init__(self, spellings: list[str]):
+        super().__init__()
+        self.spellings = spellings
+        self.heads = {w[:k] for w in spellings for k in range(1, min(len(w), self.HEAD) + 1)}
+
+    def __missing__(self, atoms: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        found = 0
+        if atoms[: self.HEAD] in self.heads:
+            i = bisect_left(self.spellings, atoms)
+            if i < len(self.spellings) and self.spellings[i] == atoms:
+                found, i = 1, i + 1
+            if i < len(self.spellings) and self.spellings[i].startswith(atoms):
+                found = 2
+        self[atoms] = found
+        return found
+
+
 class Decoder:
     """Joint decoding of words under a lexicon."""
 
     UNKNOWN, PER_CHAR = 9.0, 2.1
-    HEAD = 6  # how much of a spelling is looked up before the sorted list is searched
     JOIN, SPLIT, MERGE, SIGN, LETTER = 0.5, 7.0, 5.0, 4.0, 4.5
 
     def __init__(self, known: dict[str, int], floor: int = 3, total: int = 1):
@@ -226,11 +250,12 @@ class Decoder:
             self.spelled.setdefault(word.lower().translate(ATOMS), []).append(word)
         self.spellings = sorted(self.spelled)
         self.cheapest = {atoms: self.log - math.log(max(map(known.__getitem__, words))) for atoms, words in self.spelled.items()}
-        self.heads = {w[:k] for w in self.spellings for k in range(1, min(len(w), self.HEAD) + 1)}
+        self.begun = Beginnings(self.spellings)
         self.longest = 3 * max(map(len, known), default=0)
         self.shut: dict[str, set[str]] = {}
         self.n_shut = 0
         self.ajar: set[tuple[str, str]] = set()
+        self.closed: set[str] = set()  # what no word reaches on from, whatever follows
         self.read: dict[str, list[tuple[str, float, bool]]] = {}
         self.runs: dict[tuple[str, ...], tuple] = {}
         self.alone: dict[str, list[tuple[str, bool]] | None] = {}
@@ -354,18 +379,31 @@ class Decoder:
                 self.parts.clear()
             core = self.core(token)
             x, firm = core.lower().translate(ATOMS), bool(core) and self.settled(core)
-            self.parts[token] = found = (core, x, firm, tuple(k for k in ((0,) if firm else range(len(x))) if self._begins(x[k:], longer=True)))
+            self.parts[token] = found = (core, x, firm, tuple(k for k in ((0,) if firm else range(len(x))) if self.begun[x[k:]] == 2))
         return found
 
     def open(self, left: str, right: str) -> bool:
         """Whether some word may reach over the gap between two tokens. Cached."""
+        if left in self.closed:
+            return False
         held = self.shut.get(left)
         if held is not None and right in held:
             return False
         pair = (left, right)
         if pair in self.ajar:
             return True
-        if self._open(left, right):
+        a, _, _, places = self.part(left)
+        if not places or not left.endswith(a):
+            if len(self.closed) > 300_000:
+                self.closed.clear()
+            self.closed.add(left)
+            return False
+        b = self.part(right)[0]
+        if not b or not right.startswith(b):
+            found = False
+        else:  # the marks around the two don't matter
+            found = self._open(a, b) if (a, b) == pair else self.open(a, b)
+        if found:
             if len(self.ajar) > 700_000:
                 self.ajar.clear()
             self.ajar.add(pair)
@@ -379,18 +417,16 @@ class Decoder:
 
     def _open(self, left: str, right: str) -> bool:
         a, x, _, places = self.part(left)
-        if not places:
-            return False
         b, y, last, _ = self.part(right)
-        if not b or not left.endswith(a) or not right.startswith(b):
-            return False
         both, at, whole = x + y, len(x), len(x) + len(y)
-        apart = self.cost(a) + self.cost(b)
+        begun, apart = self.begun, None
         for k in places:
-            if not self._begins(both[k : at + 1]):
+            if not begun[both[k : at + 1]]:
                 continue
-            if self._begins(both[k:], longer=True):
+            if begun[both[k:]] == 2:
                 return True
+            if apart is None:
+                apart = self.cost(a) + self.cost(b)
             least = self.MERGE + (self.SPLIT if k else 0.0)
             if not last and any((c := self.cheapest.get(both[k:e])) is not None and least + self.SPLIT + c < apart for e in range(at + 1, whole)):
                 return True
@@ -405,16 +441,6 @@ class Decoder:
         words = [*self.readings(a + b), (a + b, 0.0, False)]
         return any((n := self.count(w)) >= 8 * rare and self.MERGE + paid + self.log - math.log(n) < apart for w, paid, _ in words)
 
-    def _begins(self, atoms: str, longer: bool = False) -> bool:
-        if atoms[: self.HEAD] not in self.heads:
-            return False
-        if len(atoms) <= self.HEAD and not longer:
-            return True
-        i = bisect_left(self.spellings, atoms)
-        if longer and i < len(self.spellings) and self.spellings[i] == atoms:
-            i += 1
-        return i < len(self.spellings) and self.spellings[i].startswith(atoms)
-
     def path(self, tokens: list[str], hyphens: dict[int, tuple[str, bool]]) -> tuple[str, list[tuple[int | None, str, bool, bool]], str]:
         """The cheapest way to read tokens whose gaps are open: the marks before,
         the words as (token at which it begins if at a gap, text, whether a
@@ -439,6 +465,7 @@ class Decoder:
         best: list[tuple] = [(0.0,)] + [(math.inf,)] * n
         boundary = {*starts, n}
         spelt = [self.atoms.get(c) or self.atoms.setdefault(c, c.lower().translate(ATOMS)) for c in chars]
+        begun, spelled = self.begun, self.spelled
 
         def gap(k: int) -> float:
             return self.MERGE if k not in hyphens else self.JOIN + (0.0 if hyphens[k][1] else 2.0)
@@ -481,10 +508,12 @@ class Decoder:
             atoms, first = "", chars[i].isupper()
             for j in range(i + 1, n + 1):
                 atoms += spelt[j - 1]
-                if not self._begins(atoms):
+                if not begun[atoms]:
                     break
+                if atoms not in spelled:
+                    continue
                 e = inside[j - 1]
-                if atoms not in self.spelled or j != ends[e] and firm[e] or (i == starts[k] and j == ends[k] and firm[k]):
+                if j != ends[e] and firm[e] or (i == starts[k] and j == ends[k] and firm[k]):
                     continue
                 piece = chars[i:j]
                 over = [x for x in range(k, e)]
@@ -516,12 +545,18 @@ class Decoder:
         return lead, out, tail
 
     def run(self, tokens: tuple[str, ...]) -> tuple[str, list[tuple[int | None, str, bool, bool]], str]:
-        """The path of tokens without hyphens, cached."""
-        if tokens not in self.runs:
-            if len(self.runs) > 200_000:
-                self.runs.clear()
-            self.runs[tokens] = self.path(list(tokens), {})
-        return self.runs[tokens]
+        """The path of tokens without hyphens, cached without the marks before
+        and after them."""
+        if tokens in self.runs:
+            return self.runs[tokens]
+        first, last = tokens[0].lstrip(_EDGE), tokens[-1].rstrip(_EDGE)
+        if len(tokens) > 1 and first and last and (first, last) != (tokens[0], tokens[-1]):
+            _, out, _ = self.run((first, *tokens[1:-1], last))
+            return tokens[0][: len(tokens[0]) - len(first)], out, tokens[-1][len(last) :]
+        if len(self.runs) > 200_000:
+            self.runs.clear()
+        self.runs[tokens] = found = self.path(list(tokens), {})
+        return found
 
     def single(self, token: str) -> tuple[str, bool] | None:
         """A token between shut gaps as it is read, and whether a confusion was
@@ -534,8 +569,9 @@ class Decoder:
             self.alone.clear()
         found, core = None, self.core(token)
         if core and len(core) > 3 and not self.settled(core):
-            lead, pieces, tail = self.path([token], {})
-            new = lead + " ".join(text for _, text, *_ in pieces) + tail
+            at = token.index(core)
+            _, pieces, _ = self.run((core,))
+            new = token[:at] + " ".join(text for _, text, *_ in pieces) + token[at + len(core) :]
             found = (new, any(p[2] for p in pieces)) if new != token else None
         elif word := self.reading(token):
             found = (word, True)
@@ -549,8 +585,8 @@ class Decoder:
 
     def gaps_shut(self, words: list[str]) -> bool:
         """Whether no word reaches over a gap of these tokens."""
-        shut = self.shut
-        reached = [k for k, (a, b) in enumerate(zip(words, words[1:])) if b not in shut.get(a, ()) and self.open(a, b)]
+        shut, ajar, closed = self.shut, self.ajar, self.closed
+        reached = [k for k, pair in enumerate(zip(words, words[1:])) if pair[0] not in closed and pair[1] not in shut.get(pair[0], ()) and (pair in ajar or self.open(*pair))]
         if not reached:
             return True
         first = last = -1
@@ -599,6 +635,7 @@ class Decoder:
 
 
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_] ){3,}[^\W\d_](?!\w)")
+_SPACED_INSIDE = re.compile(r" [^\W\d_] [^\W\d_] ")  # of each such stretch, and quicker to look for
 
 
 def _unspace(text: str, decoder: Decoder) -> str:
@@ -606,7 +643,7 @@ def _unspace(text: str, decoder: Decoder) -> str:
         chars = m[0].replace(" ", "")
         return " ".join(decoder.segment(chars, [0.0] + [decoder.MERGE / 10] * len(chars)))
 
-    return _SPACED.sub(close, text)
+    return _SPACED.sub(close, text) if _SPACED_INSIDE.search(text) else text
 
 
 def _without(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -660,7 +697,7 @@ def decode(rest: str, decoder: Decoder) -> tuple[str, set[str]]:
     over its characters, and the kinds of damage (hyphen, chars) on the path.
     Tokens between gaps that no word can reach over are read by themselves."""
     words = rest.split()
-    broken = bool(_BREAK.search(rest))
+    broken = any(c in rest for c in BREAK_MARKS) and bool(_BREAK.search(rest))
     shut = decoder.gaps_shut(words)
     if not broken and shut and not any(decoder.single(t) for t in set(words) - decoder.fine):
         return rest, set()

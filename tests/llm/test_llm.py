@@ -531,6 +531,24 @@ def test_atoms_agree_with_the_confusions():
     assert all(spell(k) == spell(x) for table in (scans.SIGNS, scans.LETTERS) for k, v in table.items() for x in v)
 
 
+def test_beginnings_of_spellings_are_exact_and_kept():
+    words = sorted({"trend", "trends", "the", "then", "therefore", "holds", "a"})
+    begun = scans.Beginnings(words)
+    for x in {w[:k] + tail for w in words for k in range(len(w) + 1) for tail in ("", "x", "e")} - {""}:
+        assert begun[x] == (2 if any(w.startswith(x) and w != x for w in words) else int(x in words)), x
+        assert x in begun
+
+
+def test_runs_are_read_once_whatever_marks_surround_them(monkeypatch):
+    words = {"the": 900, "trend": 500, "holds": 500}
+    d, read = scans.Decoder(words, 3, 10_000), []
+    monkeypatch.setattr(d, "path", lambda tokens, hyphens, real=d.path: read.append(tokens) or real(tokens, hyphens))
+    for lead, tail in (("", ""), ("(", ")."), ("“", ""), ("", ",")):
+        got = d.run((f"{lead}tre", f"nd{tail}"))
+        assert got == scans.Decoder(words, 3, 10_000).path([f"{lead}tre", f"nd{tail}"], {}) and got[0] + " ".join(p[1] for p in got[1]) + got[2] == f"{lead}trend{tail}"
+    assert read == [["tre", "nd"]]
+
+
 def test_segmentation_splits_and_merges():
     d = scans.Decoder({"the": 900, "trend": 50, "holds": 50}, 3, 10_000)
     assert d.segment("thetrendholds", [0.0] * 14) == ["the", "trend", "holds"]
