@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidora.functions.text import DASHES, LIGATURES, QUOTES, content_tokens
 from evidora.operators import measure as ms
 from evidora.operators import verify as vf
+from evidora.operators.deals import axes_of_turns
 from evidora.operators.index import neighbours, once
 from evidora.plans.search import _PACKET_SQL, own_documents, packets
 from evidora.plans.sqltext import CLAIMS, LLR, content, nfkc
@@ -133,16 +134,13 @@ def contested_docs(spark: SparkSession, d: str) -> DataFrame:
     return _cited(spark, d).groupBy("run", "doc_id").agg(F.count_distinct("seat").alias("n_seats")).where("n_seats > 1")
 
 
-def _null(spark: SparkSession, d: str) -> DataFrame:
-    s = cut(_cited(spark, d))
-    seen = ms.jaccard_pairs(s, TURN, "seat", "doc_id").groupBy(*TURN).agg(F.avg("distance").alias("observed"))
-    dealt = ms.redeal(s, TURN, "seat", "doc_id", DEALS)
-    null = ms.jaccard_pairs(dealt, ["perm", *TURN], "seat", "doc_id").groupBy("perm", *TURN).agg(F.avg("distance").alias("m")).groupBy(*TURN).agg(F.avg("m").alias("null"))
-    return seen.join(null, TURN)
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """(run, turn, seat, docs): what each claim cites."""
+    return _claims(spark, d).select(*TURN, "seat", F.transform("citations", lambda c: c["doc_id"]).alias("docs"))
 
 
 def perm_null_evidence(spark: SparkSession, d: str) -> DataFrame:
-    out = _null(spark, d)
+    out = axes_of_turns(_documents(spark, d), TURN, DEALS, ("evidence",))
     return out.select(*TURN, F.round("observed", 6).alias("observed"), F.round("null", 6).alias("null_mean"), F.round(ms.separation(F.col("observed"), F.col("null")), 5).alias("separation"), (F.col("null") < 0.95).alias("informative"))
 
 
