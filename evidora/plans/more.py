@@ -11,6 +11,7 @@ from evidora.operators import measure as ms
 from evidora.operators import neighbourhood as nb
 from evidora.operators import scope
 from evidora.operators.corpus import current
+from evidora.operators.deals import axes_of_turns
 from evidora.operators.verify import citations
 from evidora.plans import panel, search
 from evidora.plans.panel import _C, _CITS, _W
@@ -36,17 +37,20 @@ def preflight(spark: SparkSession, d: str) -> DataFrame:
     return scope.preflight(handed.select("seat", "doc_id").distinct(), words, ms.contestedness(texts, "k", "text", panel.MARKERS))
 
 
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    """(run, turn, seat, item, tokens, docs) of the claims of seats."""
+    c = panel._claims(spark, d).where("run is not null and turn is not null and seat is not null")
+    return c.select("run", "turn", "seat", F.col("claim_id").alias("item"), content_tokens(F.col("text")).alias("tokens"), F.transform("citations", lambda x: x["doc_id"]).alias("docs"))
+
+
 def panel_axes(spark: SparkSession, d: str) -> DataFrame:
-    """The four axes of every turn in long form."""
+    """The four axes of every turn in long form. Nothing is dealt: a turn has an
+    evidence axis where two seats cite, and then it has a null as well."""
     turn = ["run", "turn"]
-    ev = panel.perm_null_evidence(spark, d).select(*turn, F.lit("evidence").alias("axis"), "observed")
-    terms = cut(panel._terms(spark, d).where("run is not null and turn is not null and seat is not null"))
-    lx = ms.js_pairs(terms, turn, "seat").groupBy(*turn).agg(F.avg("divergence").alias("observed")).select(*turn, F.lit("lexical").alias("axis"), "observed")
+    axes = axes_of_turns(_tokens(spark, d), turn, 0).select(*turn, "axis", F.when(F.col("axis") == "evidence", F.round("observed", 6)).otherwise(F.col("observed")).alias("observed"))
     st = panel._claims(spark, d).where("run is not null and turn is not null").select(*turn, F.col("declared")["confidence"].alias("s")).where("s is not null")
     st = st.groupBy(*turn).agg(F.avg((F.col("s") != "high").cast("double")).alias("observed")).select(*turn, F.lit("stance").alias("axis"), "observed")
-    w = cut(ms.tfidf(terms, turn, "seat"))
-    ps = ms.vendi(ms.cosine_pairs(w, turn, "seat"), w, turn, "seat").where("m > 1").select(*turn, F.lit("positions").alias("axis"), ((F.col("vs2") - 1) / (F.col("m") - 1)).alias("observed"))
-    return ev.unionByName(lx).unionByName(st).unionByName(ps).withColumn("observed", F.round("observed", 5))
+    return axes.unionByName(st).withColumn("observed", F.round("observed", 5))
 
 
 DEALS, POSITION_DEALS = 200, 8  # 8: max(8, DEALS / 25)
