@@ -60,38 +60,10 @@ def panel_null(spark: SparkSession, d: str) -> DataFrame:
     """The evidence, lexical and positions axes of every turn beside their mean
     over re-deals: of documents for evidence, of claims for the others. Positions
     aren't corrected by their null."""
-    turn, dealt = ["run", "turn"], ["perm", "run", "turn"]
-    claims = cut(panel._claims(spark, d).where("run is not null and turn is not null and seat is not null").select(*turn, "seat", "claim_id", F.explode(content_tokens(F.col("text"))).alias("term")).groupBy(*turn, "seat", "claim_id", "term").agg(F.count("*").alias("n")))
-    owners = panel._claims(spark, d).where("run is not null and turn is not null and seat is not null").select(*turn, "seat", "claim_id")
-    cited = cut(panel._cited(spark, d))
-
-    def terms(times: int) -> DataFrame:
-        new = ms.redeal(owners, turn, "seat", "claim_id", times)
-        return cut(new.join(claims.drop("seat"), [*turn, "claim_id"]).groupBy(*dealt, "seat", "term").agg(F.sum("n").alias("n")))
-
-    def evidence(sets: DataFrame, group: list[str]) -> DataFrame:
-        return ms.jaccard_pairs(sets, group, "seat", "doc_id").groupBy(*group).agg(F.avg("distance").alias("v"))
-
-    def lexical(counts: DataFrame, group: list[str]) -> DataFrame:
-        return ms.js_pairs(counts, group, "seat").groupBy(*group).agg(F.avg("divergence").alias("v"))
-
-    def positions(counts: DataFrame, group: list[str]) -> DataFrame:
-        w = cut(ms.tfidf(counts, group, "seat"))
-        v = ms.vendi(ms.cosine_pairs(w, group, "seat"), w, group, "seat")
-        return v.select(*group, F.when(F.col("m") > 1, (F.col("vs2") - 1) / (F.col("m") - 1)).otherwise(0.0).alias("v"), "m")
-
-    seen = claims.groupBy(*turn, "seat", "term").agg(F.sum("n").alias("n"))
-    axes = {
-        "evidence": (evidence(cited, turn), evidence(ms.redeal(cited, turn, "seat", "doc_id", DEALS), dealt)),
-        "lexical": (lexical(seen, turn), lexical(terms(DEALS), dealt)),
-        "positions": (positions(seen, turn).where("m > 1"), positions(terms(POSITION_DEALS), dealt)),
-    }
-    out = []
-    for axis, (observed, null) in axes.items():
-        both = observed.select(*turn, F.col("v").alias("observed")).join(null.groupBy(*turn).agg(F.avg("v").alias("null")), turn)
-        apart, saturates = (F.col("observed"), F.lit(True)) if axis == "positions" else (ms.separation(F.col("observed"), F.col("null")), F.col("null") < 0.95)
-        out.append(both.select(*turn, F.lit(axis).alias("axis"), F.round("observed", 5).alias("observed"), F.round("null", 5).alias("null_mean"), F.round(apart, 4).alias("separation"), saturates.alias("informative")))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    both = axes_of_turns(_tokens(spark, d), ["run", "turn"], DEALS, position_deals=POSITION_DEALS).where(F.col("null").isNotNull())
+    raw = F.col("axis") == "positions"
+    apart = F.when(raw, F.col("observed")).otherwise(ms.separation(F.col("observed"), F.col("null")))
+    return both.select("run", "turn", "axis", F.round("observed", 5).alias("observed"), F.round("null", 5).alias("null_mean"), F.round(apart, 4).alias("separation"), (raw | (F.col("null") < 0.95)).alias("informative"))
 
 
 def citation_plan(spark: SparkSession, d: str) -> DataFrame:
